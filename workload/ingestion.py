@@ -113,7 +113,7 @@ def element_sections(spark, sf):
 # Section rows whose headers repeat: the role of each turn, NULL for users.
 _ROLE_ROWS = """
 SELECT concat('conv', CAST(conv_id AS STRING), '.docx') AS path, turn AS pos,
-  CASE WHEN role = 'user' THEN NULL WHEN turn > 4 THEN 'tail' ELSE role END AS section_header,
+  CASE WHEN turn < 2 THEN NULL WHEN turn > 4 THEN 'tail' ELSE role END AS section_header,
   'section' AS doc_type, CAST(turn AS INT) AS page,
   CASE WHEN turn % 6 = 5 THEN '' ELSE text END AS text FROM {conversations}"""
 

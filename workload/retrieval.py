@@ -194,39 +194,39 @@ def tokenize_chunks(spark, sf):
 
 @R.add(
     "bm25_term_statistics",
-    f"WITH {tok_ctes(CHUNKS_BY_LANG)} SELECT kb_id, term, df, round(idf, 9) AS idf FROM term",
+    f"WITH {tok_ctes(CHUNKS_BY_LANG)} SELECT kb_id, term, df, round(idf, 6) AS idf FROM term",
 )
 def bm25_term_statistics(spark, sf):
     lex = index.build_lexical_index(derive(spark, sf, CHUNKS_BY_LANG))
-    return lex.terms.withColumn("idf", F.round("idf", 9))
+    return lex.terms.withColumn("idf", F.round("idf", 6))
 
 
 @R.add(
     "bm25_base_statistics",
-    f"WITH {tok_ctes(CHUNKS_BY_LANG)} SELECT kb_id, n, round(avgdl, 9) AS avgdl FROM kb",
+    f"WITH {tok_ctes(CHUNKS_BY_LANG)} SELECT kb_id, n, round(avgdl, 6) AS avgdl FROM kb",
 )
 def bm25_base_statistics(spark, sf):
     lex = index.build_lexical_index(derive(spark, sf, CHUNKS_BY_LANG))
-    return lex.stats.withColumn("avgdl", F.round("avgdl", 9))
+    return lex.stats.withColumn("avgdl", F.round("avgdl", 6))
 
 
 @R.add(
     "bm25_scores",
-    f"WITH {bm25_ctes(CHUNKS, QUESTIONS, 10)} SELECT query_id, chunk_id, round(round(s, 10), 9) AS score FROM hit",
+    f"WITH {bm25_ctes(CHUNKS, QUESTIONS, 10)} SELECT query_id, chunk_id, round(round(s, 10), 6) AS score FROM hit",
 )
 def bm25_scores(spark, sf):
     lex = index.build_lexical_index(derive(spark, sf, CHUNKS))
     return lexical.score(derive(spark, sf, QUESTIONS), lex).select(
-        "query_id", "chunk_id", F.round("score", 9).alias("score")
+        "query_id", "chunk_id", F.round("score", 6).alias("score")
     )
 
 
-_TOP = "query_id, chunk_id, round(score, 9) AS score, round(bm25, 9) AS bm25, CAST(rank AS INT) AS rank"
+_TOP = "query_id, chunk_id, round(score, 6) AS score, round(bm25, 6) AS bm25, CAST(rank AS INT) AS rank"
 
 
 def _top(df):
     return df.select(
-        "query_id", "chunk_id", F.round("score", 9).alias("score"), F.round("bm25", 9).alias("bm25"), "rank"
+        "query_id", "chunk_id", F.round("score", 6).alias("score"), F.round("bm25", 6).alias("bm25"), "rank"
     )
 
 
@@ -249,7 +249,7 @@ def bm25_top_chunks_in_scope(spark, sf):
     )
 
 
-_DENSE = "query_id, chunk_id, round(distance, 9) AS distance, round(1 / (1 + distance), 9) AS similarity, CAST(rank AS INT) AS rank"
+_DENSE = "query_id, chunk_id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity, CAST(rank AS INT) AS rank"
 
 
 @R.add("dense_top_chunks", f"WITH {dense_ctes(VECTOR_QUESTIONS, 10)} SELECT {_DENSE} FROM found")
@@ -258,8 +258,8 @@ def dense_top_chunks(spark, sf):
     return found.select(
         "query_id",
         "chunk_id",
-        F.round("distance", 9).alias("distance"),
-        F.round(dense.similarity(F.col("distance")), 9).alias("similarity"),
+        F.round("distance", 6).alias("distance"),
+        F.round(dense.similarity(F.col("distance")), 6).alias("similarity"),
         "rank",
     )
 
@@ -272,8 +272,8 @@ def dense_top_chunks_by_grid(spark, sf):
     return found.select(
         "query_id",
         "chunk_id",
-        F.round("distance", 9).alias("distance"),
-        F.round(dense.similarity(F.col("distance")), 9).alias("similarity"),
+        F.round("distance", 6).alias("distance"),
+        F.round(dense.similarity(F.col("distance")), 6).alias("similarity"),
         "rank",
     )
 
@@ -281,7 +281,7 @@ def dense_top_chunks_by_grid(spark, sf):
 @R.add(
     "dense_scores_in_scope",
     f"""WITH {dense_ctes(VECTOR_QUESTIONS, 30, LABEL_SCOPE)}
-    SELECT query_id, chunk_id, round(similarity, 9) AS similarity, round(dense, 9) AS dense FROM dense""",
+    SELECT query_id, chunk_id, round(similarity, 6) AS similarity, round(dense, 6) AS dense FROM dense""",
 )
 def dense_scores_in_scope(spark, sf):
     vectors = derive(spark, sf, VECTORS)
@@ -291,8 +291,8 @@ def dense_scores_in_scope(spark, sf):
     return dense.with_dense_score(kept).select(
         "query_id",
         "chunk_id",
-        F.round("similarity", 9).alias("similarity"),
-        F.round("dense", 9).alias("dense"),
+        F.round("similarity", 6).alias("similarity"),
+        F.round("dense", 6).alias("dense"),
     )
 
 
@@ -326,7 +326,7 @@ def run_hybrid(spark, sf):
     )
 
 
-_FUSED = """query_id, chunk_id, round(distance, 9) AS distance, round(fusion_score, 9) AS fusion_score,
+_FUSED = """query_id, chunk_id, round(distance, 6) AS distance, round(fusion_score, 6) AS fusion_score,
   CAST(fusion_rank AS INT) AS fusion_rank"""
 
 
@@ -334,8 +334,8 @@ def _fused(df):
     return df.select(
         "query_id",
         "chunk_id",
-        F.round("distance", 9).alias("distance"),
-        F.round("fusion_score", 9).alias("fusion_score"),
+        F.round("distance", 6).alias("distance"),
+        F.round("fusion_score", 6).alias("fusion_score"),
         "fusion_rank",
     )
 
@@ -355,16 +355,16 @@ def rerank_candidates(spark, sf):
 
 @R.add(
     "hybrid_final_sources",
-    f"""WITH {hybrid_ctes()} SELECT query_id, chunk_id, round(distance, 9) AS distance,
-    round(fusion_score, 9) AS fusion_score, round(rerank_score, 9) AS rerank_score, CAST(rank AS INT) AS rank FROM final""",
+    f"""WITH {hybrid_ctes()} SELECT query_id, chunk_id, round(distance, 6) AS distance,
+    round(fusion_score, 6) AS fusion_score, round(rerank_score, 6) AS rerank_score, CAST(rank AS INT) AS rank FROM final""",
 )
 def hybrid_final_sources(spark, sf):
     return run_hybrid(spark, sf).final.select(
         "query_id",
         "chunk_id",
-        F.round("distance", 9).alias("distance"),
-        F.round("fusion_score", 9).alias("fusion_score"),
-        F.round("rerank_score", 9).alias("rerank_score"),
+        F.round("distance", 6).alias("distance"),
+        F.round("fusion_score", 6).alias("fusion_score"),
+        F.round("rerank_score", 6).alias("rerank_score"),
         "rank",
     )
 
