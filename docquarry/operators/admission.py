@@ -16,14 +16,18 @@ TOO_MANY_BYTES = "The cloud knowledge base supports at most 20 MiB of uploaded f
 
 
 def admit_questions(
-    asked: DataFrame, order: list[str], limits: AdmissionLimits = AdmissionLimits()
+    asked: DataFrame,
+    order: list[str],
+    limits: AdmissionLimits = AdmissionLimits(),
+    used: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``admission``: noop, too_long, admitted or over_limit.
 
-    ``asked``: session_id, question and the unique ``order`` columns.  Blank and
-    over-long questions use up no allowance.  Only the few rows that can be
-    admitted are ranked; everything else is compared with its session's cut-off,
-    so a dominant session is never sorted in one task.
+    ``asked``: session_id, question and the unique ``order`` columns; ``used``:
+    (session_id, used) allowance spent earlier.  Blank and over-long questions
+    use up no allowance.  Only the few rows that can be admitted are ranked;
+    everything else is compared with its session's cut-off, so a dominant
+    session is never sorted in one task.
     """
     clean = text.strip(F.coalesce("question", F.lit("")))
     state = (
@@ -31,29 +35,40 @@ def admit_questions(
         .when(F.length(clean) > limits.max_characters, "too_long")
         .otherwise("valid")
     )
-    moment = F.struct(*order)
-    marked = asked.withColumn("__state", state).withColumn("__at", moment)
+    marked = asked.withColumn("__state", state).withColumn("__at", F.struct(*order))
+    by_time = Window.partitionBy("session_id").orderBy("__at")
     first = (
         marked.filter(F.col("__state") == "valid")
         .select("session_id", "__at")
-        .withColumn(
-            "__rn", F.row_number().over(Window.partitionBy("session_id").orderBy("__at"))
-        )
+        .withColumn("__rn", F.row_number().over(by_time))
         .filter(F.col("__rn") <= limits.max_questions)
     )
-    cutoff = (
-        first.filter(F.col("__rn") == limits.max_questions)
-        .select("session_id", F.col("__at").alias("__last"))
+    if used is None:
+        left = first.withColumn("__left", F.lit(limits.max_questions))
+    else:
+        left = first.join(used, "session_id", "left").withColumn(
+            "__left", F.lit(limits.max_questions) - F.coalesce("used", F.lit(0))
+        )
+    fits = F.col("__rn") <= F.col("__left")
+    # A session is capped once its remaining allowance is fully taken.
+    capped = (
+        left.groupBy("session_id")
+        .agg(
+            F.max(F.when(fits, F.col("__at"))).alias("__last"),
+            (F.count_if(fits) == F.any_value("__left")).alias("__capped"),
+        )
+        .filter(F.col("__capped"))
     )
+    over = F.col("__capped").isNotNull() & ~F.coalesce(F.col("__at") <= F.col("__last"), F.lit(False))
     return (
-        marked.join(cutoff, "session_id", "left")
+        marked.join(capped, "session_id", "left")
         .withColumn(
             "admission",
             F.when(F.col("__state") != "valid", F.col("__state"))
-            .when(F.col("__last").isNull() | (F.col("__at") <= F.col("__last")), "admitted")
-            .otherwise("over_limit"),
+            .when(over, "over_limit")
+            .otherwise("admitted"),
         )
-        .drop("__state", "__at", "__last")
+        .drop("__state", "__at", "__last", "__capped")
     )
 
 

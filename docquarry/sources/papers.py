@@ -14,9 +14,14 @@ def read_papers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_saved_papers(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array file of saved papers with their position as paper_ordinal."""
-    whole = spark.read.text(path, wholetext=True)
+    """Saved papers from one or many JSON array files.
+
+    ``file`` and ``paper_ordinal`` (position in the file) give their order.  A
+    file is one value for its task, so large sets are kept as many files.
+    """
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     papers = F.from_json("value", schemas.SAVED_PAPERS_DDL, {"mode": "FAILFAST"})
-    return whole.select(F.posexplode(papers).alias("paper_ordinal", "__p")).select(
-        "paper_ordinal", "__p.*"
-    )
+    return whole.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.posexplode(papers).alias("paper_ordinal", "__p"),
+    ).select("file", "paper_ordinal", "__p.*")

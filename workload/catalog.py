@@ -6,7 +6,7 @@ from importlib import import_module
 
 from workload.tables import Registry
 
-MODULES = ("retrieval", "ingestion", "dialogue", "logs", "evaluation")
+MODULES = ("retrieval", "ingestion", "dialogue", "logs", "evaluation", "integrity", "streams")
 
 REGISTRY = Registry()
 for _name in MODULES:

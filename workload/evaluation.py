@@ -121,19 +121,18 @@ def flattened_questions(spark, sf):
 
 @R.add("saved_papers", f"WITH {_CASE_SQL} SELECT paper_id, question_index, question, question_id FROM qcase")
 def saved_papers(spark, sf):
-    # The reader's input is one JSON array file; it is written as such from the table.
+    # JSON array files of at most 20 consecutive papers each.
     path = scratch_dir(spark, "saved")
-    rows = _papers(spark, sf).select(F.to_json(F.struct("id", "qas")).alias("j"), "paper_ordinal")
-    whole = rows.agg(
-        F.concat(
-            F.lit("["),
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("paper_ordinal", "j"))), lambda x: x["j"]), ","
-            ),
-            F.lit("]"),
-        ).alias("value")
+    rows = _papers(spark, sf).select(
+        F.to_json(F.struct("id", "qas")).alias("j"),
+        "paper_ordinal",
+        F.floor(F.col("paper_ordinal") / 20).alias("part"),
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("paper_ordinal", "j"))), lambda x: x["j"])
+    arrays = rows.groupBy("part").agg(
+        F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("value")
     )
-    whole.write.text(path)
+    arrays.write.partitionBy("part").text(path)
     read = paper_source.read_saved_papers(spark, path)
     return dataset.flatten_questions(read).select("paper_id", "question_index", "question", "question_id")
 
