@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.functions import text
+from docquarry.functions import multiset, text
 from docquarry.functions.digest import sha256_list
 
 ANSWER_TYPES = ("extractive", "abstractive", "boolean", "none")
@@ -106,9 +106,11 @@ def expected_output(answer_type: Column, answer: Column, shown: Column) -> Colum
 # --- scoring --------------------------------------------------------------------
 
 
-def _token_rows(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+def _with_occurrences(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Normalised tokens of a text, each occurrence made distinct."""
     words = F.array_remove(F.split(normalise_answer(F.col(column)), " "), "")
-    return df.select(*keys, F.explode(words).alias("token"))
+    counted = multiset.with_token_counts(df, words, "__counts")
+    return counted.withColumn(name, multiset.numbered(F.col("__counts"))).drop("__counts")
 
 
 def score_references(
@@ -117,39 +119,29 @@ def score_references(
     """F1 of each reference.
 
     ``cases``: keys, status, prediction; ``refs``: keys, annotation_index,
-    answer, answer_type.  The multiset overlap is a join of token counts on
-    (case, token): long texts spread over tasks and nothing is quadratic in
-    the text length.  Without a usable prediction every reference scores 0.
+    answer, answer_type.  Token multisets are built inside each row, so the
+    only exchange brings prediction and references of a case together; work is
+    linear in the text length.  Without a usable prediction every reference
+    scores 0.
     """
     keys = list(keys)
-    ref_keys = [*keys, "annotation_index"]
     usable = cases.filter(
         (F.col("status") == "success") & ~text.is_blank(F.col("prediction"))
-    ).select(*keys, canonical_prediction(F.col("prediction")).alias("prediction"))
-    said = _token_rows(usable, keys, "prediction").groupBy(*keys, "token").agg(
-        F.count("*").alias("__said")
+    ).select(*keys, canonical_prediction(F.col("prediction")).alias("__prediction"))
+    said = _with_occurrences(usable, "__prediction", "__said").drop("__prediction")
+    wanted = _with_occurrences(refs, "answer", "__wanted")
+    common = F.coalesce(multiset.overlap(F.col("__wanted"), F.col("__said")), F.lit(0))
+    paired = (
+        wanted.join(said, keys, "left")
+        .withColumn("__common", common)
+        .withColumn("__p", F.try_divide("__common", F.size("__said")))
+        .withColumn("__r", F.try_divide("__common", F.size("__wanted")))
     )
-    wanted = _token_rows(refs, ref_keys, "answer").groupBy(*ref_keys, "token").agg(
-        F.count("*").alias("__wanted")
+    p, r = F.col("__p"), F.col("__r")
+    return paired.select(
+        *refs.columns,
+        F.when(F.col("__common") > 0, F.lit(2) * p * r / (p + r)).otherwise(0.0).alias("f1"),
     )
-    said_length = said.groupBy(*keys).agg(F.sum("__said").alias("__said_n"))
-    wanted_length = wanted.groupBy(*ref_keys).agg(F.sum("__wanted").alias("__wanted_n"))
-    overlap = (
-        wanted.join(said, [*keys, "token"])
-        .groupBy(*ref_keys)
-        .agg(F.sum(F.least("__said", "__wanted")).alias("__common"))
-    )
-    scored = (
-        overlap.join(wanted_length, ref_keys)
-        .join(said_length, keys)
-        .withColumn("__p", F.col("__common") / F.col("__said_n"))
-        .withColumn("__r", F.col("__common") / F.col("__wanted_n"))
-        .select(
-            *ref_keys,
-            (F.lit(2) * F.col("__p") * F.col("__r") / (F.col("__p") + F.col("__r"))).alias("f1"),
-        )
-    )
-    return refs.join(scored, ref_keys, "left").withColumn("f1", F.coalesce("f1", F.lit(0.0)))
 
 
 def best_reference(scored: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.functions import text
+from docquarry.functions import multiset, text
 from docquarry.params import Bm25Params
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings(kb_id, doc_id, chunk_id, ordinal, dl, term, tf),
+    """chunks(kb_id, doc_id, chunk_id, ordinal),
+    postings(kb_id, doc_id, chunk_id, ordinal, dl, term, tf),
     terms(kb_id, term, df, idf), stats(kb_id, n, avgdl)."""
 
     chunks: DataFrame
@@ -30,26 +31,26 @@ def build_lexical_index(
 ) -> LexicalIndex:
     """``chunks``: kb_id, doc_id, chunk_id, ordinal, text.
 
-    The text is partitioned by chunk once; term counts here and the per-chunk
-    score sums later both reuse that partitioning.  Chunks are small, so no key
-    can be hot.  Pass ``clustered`` when the table is already bucketed by chunk.
+    The text is partitioned by chunk once.  Term counts are computed inside the
+    row, and the per-chunk score sums later reuse the same partitioning, so
+    postings themselves are never shuffled.  Chunks are small, so no key can be
+    hot.  Pass ``clustered`` when the table is already bucketed by chunk_id.
     """
     facts = ["kb_id", "doc_id", "chunk_id", "ordinal"]
-    spread = chunks if clustered else chunks.repartition("kb_id", "chunk_id")
+    spread = chunks if clustered else chunks.repartition("chunk_id")
     split = spread.select(*facts, text.tokens(F.col("text")).alias("__tokens"))
-    lengths = split.select(*facts, F.size("__tokens").alias("dl"))
-    postings = (
-        split.select(
-            *facts, F.size("__tokens").alias("dl"), F.explode("__tokens").alias("term")
-        )
-        .groupBy(*facts, "dl", "term")
-        .agg(F.count("*").alias("tf"))
+    counted = multiset.with_token_counts(
+        split.withColumn("dl", F.size("__tokens")), F.col("__tokens"), "__counts"
     )
-    stats = chunks.groupBy("kb_id").agg(
-        F.count("*").alias("n"), F.avg(text.token_count(F.col("text"))).alias("avgdl")
+    # The outer form keeps Catalyst from evaluating the counts twice, once to
+    # test for emptiness below the exchange.
+    postings = counted.select(*facts, "dl", F.inline_outer("__counts")).filter(
+        F.col("term").isNotNull()
     )
-    counted = postings.groupBy("kb_id", "term").agg(F.count("*").alias("df"))
-    raw = counted.join(stats.select("kb_id", "n"), "kb_id").withColumn(
+    lengths = split.select("kb_id", F.size("__tokens").alias("dl"))
+    stats = lengths.groupBy("kb_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    vocabulary = postings.groupBy("kb_id", "term").agg(F.count("*").alias("df"))
+    raw = vocabulary.join(stats.select("kb_id", "n"), "kb_id").withColumn(
         "raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     )
     # Terms found in more than half of the chunks get a share of the mean.
@@ -60,7 +61,7 @@ def build_lexical_index(
         "df",
         F.when(F.col("raw_idf") < 0, F.col("__floor")).otherwise(F.col("raw_idf")).alias("idf"),
     )
-    return LexicalIndex(lengths, postings, terms, stats)
+    return LexicalIndex(chunks.select(*facts), postings, terms, stats)
 
 
 def write_lexical_index(index: LexicalIndex, path: str) -> None:

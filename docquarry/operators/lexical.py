@@ -25,21 +25,16 @@ def question_terms(questions: DataFrame) -> DataFrame:
     )
 
 
-def score(
-    questions: DataFrame, index: LexicalIndex, params: Bm25Params = Bm25Params()
-) -> DataFrame:
-    """Score of every chunk that shares a term with the question.
-
-    Term weights and the mean length join the (small) question side first.
-    Catalyst broadcasts that side when its measured size allows, which keeps the
-    postings where they are; otherwise it is a shuffle join on (kb_id, term)
-    whose hot terms AQE splits.
-    """
-    weighted = (
+def weighted_terms(questions: DataFrame, index: LexicalIndex) -> DataFrame:
+    """Question terms known to their base, with weight and mean chunk length."""
+    return (
         question_terms(questions)
         .join(index.terms.select("kb_id", "term", "idf"), ["kb_id", "term"])
         .join(index.stats.select("kb_id", "avgdl"), "kb_id")
     )
+
+
+def _sum_scores(weighted: DataFrame, index: LexicalIndex, params: Bm25Params) -> DataFrame:
     length = F.lit(1 - params.b) + F.lit(params.b) * F.col("dl") / F.col("avgdl")
     gain = (
         F.col("qtf")
@@ -50,68 +45,92 @@ def score(
     )
     return (
         index.postings.join(weighted, ["kb_id", "term"])
-        .groupBy("kb_id", "chunk_id", "query_id", "doc_id", "ordinal")
-        .agg(F.round(F.sum(gain), SCORE_DIGITS).alias("score"))
+        .groupBy("chunk_id", "query_id")
+        .agg(
+            F.first("kb_id").alias("kb_id"),
+            F.first("doc_id").alias("doc_id"),
+            F.first("ordinal").alias("ordinal"),
+            F.round(F.sum(gain), SCORE_DIGITS).alias("score"),
+        )
     )
 
 
-def in_scope(scored: DataFrame, scope: DataFrame | None) -> DataFrame:
+def score(
+    questions: DataFrame, index: LexicalIndex, params: Bm25Params = Bm25Params()
+) -> DataFrame:
+    """Score of every chunk that shares a term with the question.
+
+    Term weights and the mean length join the (small) question side first.
+    Catalyst broadcasts that side when its measured size allows: postings then
+    stay where they are and the sums need no exchange.  Otherwise it is a
+    shuffle join on (kb_id, term) whose hot terms AQE splits.
+    """
+    return _sum_scores(weighted_terms(questions, index), index, params)
+
+
+def in_scope(rows: DataFrame, scope: DataFrame | None) -> DataFrame:
     """Keep allowed documents; corpus statistics stay those of the whole base."""
     if scope is None:
-        return scored
-    return scored.join(scope.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+        return rows
+    allowed = scope.select("query_id", "doc_id").distinct()
+    return rows.join(allowed, ["query_id", "doc_id"], "left_semi")
+
+
+def _best(rows: DataFrame, top_n: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("ordinal"))
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
+
+
+def _lowest_chunks(chunks: DataFrame, scoped: bool, count: int) -> DataFrame:
+    """The first chunks by ordinal of each base, or of each document under a scope."""
+    group = ["kb_id", "doc_id"] if scoped else ["kb_id"]
+    order = Window.partitionBy(*group).orderBy("ordinal")
+    return (
+        chunks.withColumn("__rn", F.row_number().over(order))
+        .filter(F.col("__rn") <= count)
+        .drop("__rn")
+    )
 
 
-def _by_score():
-    return Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("ordinal"))
+def _allowed(asking: DataFrame, pool: DataFrame, scope: DataFrame | None) -> DataFrame:
+    if scope is None:
+        return asking.join(pool, "kb_id")
+    wanted = scope.select("query_id", "doc_id").distinct()
+    return asking.join(wanted, "query_id").join(pool, ["kb_id", "doc_id"])
 
 
 def zero_padding(
-    scored: DataFrame,
+    kept: DataFrame,
     questions: DataFrame,
-    chunks: DataFrame,
+    weighted: DataFrame,
+    index: LexicalIndex,
     scope: DataFrame | None,
     top_n: int,
+    params: Bm25Params,
 ) -> DataFrame:
     """Unmatched chunks that a short result list is filled up with.
 
     All allowed chunks are ranked, so unmatched ones count as score 0 in chunk
-    order.  A question with fewer than N matches needs nothing beyond the 2N
-    lowest chunks of its scope.  A question with at least N matches but fewer
-    than N positive scores can only occur where the mean term weight is not
-    positive; it alone is compared with its whole scope.
+    order.  Where every term weight is positive, every match is, and a list
+    shorter than N holds all matches: N unmatched chunks are among the 2N
+    lowest of the scope.  Only a question with a term weight of 0 or less - a
+    base whose mean weight is not positive - is compared with its whole scope.
     """
-    matched = scored.groupBy("query_id").agg(
-        F.count("*").alias("__matched"), F.count_if(F.col("score") > 0).alias("__positive")
-    )
+    odd = weighted.filter(F.col("idf") <= 0).select("query_id").distinct()
+    found = kept.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("__positive"))
     short = (
         questions.select("kb_id", "query_id")
-        .distinct()
-        .join(matched, "query_id", "left")
-        .fillna(0, ["__matched", "__positive"])
-        .filter(F.col("__positive") < top_n)
+        .join(found, "query_id", "left")
+        .filter(F.coalesce("__positive", F.lit(0)) < top_n)
+        .select("kb_id", "query_id")
     )
-    few = short.filter(F.col("__matched") < top_n).select("kb_id", "query_id")
-    many = short.filter(F.col("__matched") >= top_n).select("kb_id", "query_id")
-    facts = chunks.select("kb_id", "doc_id", "chunk_id", "ordinal")
-    group = ["kb_id"] if scope is None else ["kb_id", "doc_id"]
-    lowest = (
-        facts.withColumn(
-            "__rn", F.row_number().over(Window.partitionBy(*group).orderBy("ordinal"))
-        )
-        .filter(F.col("__rn") <= 2 * top_n)
-        .drop("__rn")
-    )
-
-    def allowed(asking: DataFrame, pool: DataFrame) -> DataFrame:
-        if scope is None:
-            return asking.join(pool, "kb_id")
-        wanted = scope.select("query_id", "doc_id").distinct()
-        return asking.join(wanted, "query_id").join(pool, ["kb_id", "doc_id"])
-
-    pool = allowed(few, lowest).unionByName(allowed(many, facts))
-    missing = pool.join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    return missing.withColumn("score", F.lit(0.0))
+    plain, special = short.join(odd, "query_id", "left_anti"), short.join(odd, "query_id", "left_semi")
+    lowest = _lowest_chunks(index.chunks, scope is not None, 2 * top_n)
+    on = ["query_id", "chunk_id"]
+    easy = _allowed(plain, lowest, scope).join(kept.select(*on), on, "left_anti")
+    matched = _sum_scores(weighted.join(odd, "query_id", "left_semi"), index, params)
+    hard = _allowed(special, index.chunks, scope).join(matched.select(*on), on, "left_anti")
+    return easy.unionByName(hard).withColumn("score", F.lit(0.0))
 
 
 def top_chunks(
@@ -124,17 +143,18 @@ def top_chunks(
 ) -> DataFrame:
     """(query_id, kb_id, doc_id, chunk_id, ordinal, score, bm25, rank) of the best N.
 
-    ``bm25`` is min-max normalised over the kept rows; 1.0 when all are equal.
+    The rank filter is applied in every partition before rows move, so the
+    exchange carries at most N rows per question and partition.  ``bm25`` is
+    min-max normalised over the kept rows; 1.0 when all are equal.
     """
     top_n = max(1, int(top_n))
     columns = ["query_id", "kb_id", "doc_id", "chunk_id", "ordinal", "score"]
-    scored = in_scope(score(questions, index, params), scope).select(*columns)
-    padding = zero_padding(scored, questions, index.chunks, scope, top_n).select(*columns)
-    ranked = (
-        scored.unionByName(padding)
-        .withColumn("rank", F.row_number().over(_by_score()))
-        .filter(F.col("rank") <= top_n)
-    )
+    asked = questions.select("kb_id", "query_id", "question")
+    weighted = weighted_terms(asked, index)
+    scored = in_scope(_sum_scores(weighted, index, params), scope).select(*columns)
+    kept = _best(scored, top_n)
+    padding = zero_padding(kept, asked, weighted, index, scope, top_n, params)
+    ranked = _best(kept.select(*columns).unionByName(padding.select(*columns)), top_n)
     return normalise(ranked, "score", "bm25")
 
 

@@ -156,7 +156,7 @@ def chunk_sql(rows: str, size: int, overlap: int) -> str:
       start, stop, text FROM piece WHERE text <> '')"""
 
 
-_DOC_ROWS = "SELECT doc_id, 0 AS part, text FROM {documents}"
+_DOC_ROWS = "SELECT doc_id, text FROM {documents}"
 _NORMAL_DOCS = f"SELECT doc_id, {normalise_sql('text')} AS body FROM documents"
 
 
@@ -166,7 +166,7 @@ _NORMAL_DOCS = f"SELECT doc_id, {normalise_sql('text')} AS body FROM documents"
     SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, CAST(start AS INT) AS start, CAST(stop AS INT) AS stop, text FROM chunk""",
 )
 def sliding_window_chunks(spark, sf):
-    return chunk_rows(derive(spark, sf, _DOC_ROWS), PARAMS).drop("part")
+    return chunk_rows(derive(spark, sf, _DOC_ROWS), PARAMS)
 
 
 @R.add(
