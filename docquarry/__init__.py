@@ -12,7 +12,7 @@ from docquarry.params import (
     RetrievalParams,
     UploadLimits,
 )
-from docquarry.session import build_session, scratch_dir
+from docquarry.session import build_session, scratch_dir, spread
 
 __all__ = [
     "AdmissionLimits",
@@ -23,4 +23,5 @@ __all__ = [
     "UploadLimits",
     "build_session",
     "scratch_dir",
+    "spread",
 ]

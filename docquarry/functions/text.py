@@ -19,28 +19,57 @@ TRUNCATION_MARK = "... [truncated]"
 SUPPORTED_EXTENSIONS = (".pdf", ".doc", ".docx")
 
 
+# The same set as a character list, for trimming.
+WHITESPACE_CHARACTERS = "".join(
+    map(
+        chr,
+        [
+            *range(0x09, 0x0E),
+            *range(0x1C, 0x21),
+            0x85,
+            0xA0,
+            0x1680,
+            *range(0x2000, 0x200B),
+            0x2028,
+            0x2029,
+            0x202F,
+            0x205F,
+            0x3000,
+        ],
+    )
+)
+# The same set in the form that java.util.regex matches fastest.
+_WS_RUN = r"(?U)[\s\x{1c}-\x{1f}]+"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{WHITESPACE}]+|[{WHITESPACE}]+\z", "")
+    """Only the ends are looked at, however long the text."""
+    return F.btrim(text, F.lit(WHITESPACE_CHARACTERS))
 
 
 def is_blank(text: Column) -> Column:
     """True for NULL and for whitespace-only text."""
-    return ~F.coalesce(F.rlike(text, F.lit(rf"[^{WHITESPACE}]")), F.lit(False))
+    return F.coalesce(strip(text) == "", F.lit(True))
 
 
 def collapse_whitespace(text: Column) -> Column:
-    return strip(F.regexp_replace(text, rf"[{WHITESPACE}]+", " "))
+    return strip(F.regexp_replace(text, _WS_RUN, " "))
 
 
 def normalise_newlines(text: Column) -> Column:
     """LF line ends, at most one empty line in a row, outer whitespace removed."""
-    unix = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    return strip(F.regexp_replace(unix, r"\n{3,}", "\n\n"))
+    lf = F.lit("\n")
+    unix = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), lf), F.lit("\r"), lf)
+    # The pattern runs only over texts that hold a longer run.
+    short = F.when(
+        F.contains(unix, F.lit("\n\n\n")), F.regexp_replace(unix, r"\n{3,}", "\n\n")
+    ).otherwise(unix)
+    return strip(short)
 
 
 def tokens(text: Column) -> Column:
     """Case-sensitive whitespace tokens, punctuation kept."""
-    return F.array_remove(F.split(text, rf"[{WHITESPACE}]+"), "")
+    return F.array_remove(F.split(text, _WS_RUN), "")
 
 
 def preview(text: Column, limit: int) -> Column:

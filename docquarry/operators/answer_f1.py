@@ -19,10 +19,15 @@ UNANSWERABLE = "Unanswerable"
 NO_EVIDENCE = "No gold evidence was supplied."
 
 
-def normalise_answer(answer: Column) -> Column:
-    """Lower case, no ASCII punctuation, no articles, single spaces."""
+def answer_tokens(answer: Column) -> Column:
+    """Lower-case tokens without ASCII punctuation and articles."""
     bare = F.translate(F.lower(answer), string.punctuation, "")
-    return text.collapse_whitespace(F.regexp_replace(bare, r"(?U)\b(?:a|an|the)\b", " "))
+    return text.tokens(F.regexp_replace(bare, r"(?U)\b(?:a|an|the)\b", " "))
+
+
+def normalise_answer(answer: Column) -> Column:
+    """The tokens of an answer, separated by single spaces."""
+    return F.array_join(answer_tokens(answer), " ")
 
 
 def canonical_prediction(prediction: Column) -> Column:
@@ -108,8 +113,7 @@ def expected_output(answer_type: Column, answer: Column, shown: Column) -> Colum
 
 def _with_occurrences(df: DataFrame, column: str, name: str) -> DataFrame:
     """Normalised tokens of a text, each occurrence made distinct."""
-    words = F.array_remove(F.split(normalise_answer(F.col(column)), " "), "")
-    counted = multiset.with_token_counts(df, words, "__counts")
+    counted = multiset.with_token_counts(df, answer_tokens(F.col(column)), "__counts")
     return counted.withColumn(name, multiset.numbered(F.col("__counts"))).drop("__counts")
 
 

@@ -9,6 +9,9 @@ from docquarry.functions import text
 from docquarry.operators.index import LexicalIndex
 from docquarry.params import Bm25Params
 
+# Question terms that may be sent to every task (about 100 bytes each).
+MAX_SHIPPED_TERMS = 500_000
+
 # Sums of doubles depend on the order of addition; scores are compared after
 # rounding so that equal chunks tie whatever the partitioning.
 SCORE_DIGITS = 10
@@ -25,13 +28,25 @@ def question_terms(questions: DataFrame) -> DataFrame:
     )
 
 
-def weighted_terms(questions: DataFrame, index: LexicalIndex) -> DataFrame:
-    """Question terms known to their base, with weight and mean chunk length."""
-    return (
-        question_terms(questions)
-        .join(index.terms.select("kb_id", "term", "idf"), ["kb_id", "term"])
+def is_shippable(questions: DataFrame, max_shipped: int = MAX_SHIPPED_TERMS) -> bool:
+    """Count the distinct question terms, up to the bound."""
+    return question_terms(questions).limit(max_shipped + 1).count() <= max_shipped
+
+
+def weighted_terms(questions: DataFrame, index: LexicalIndex, *, ship: bool) -> DataFrame:
+    """Question terms known to their base, with weight and mean chunk length.
+
+    With ``ship`` (see :func:`is_shippable`) the result is broadcast: postings
+    stay where they are and keep their partitioning.  Otherwise joins are left
+    to Catalyst as shuffle joins on (kb_id, term), whose hot terms AQE splits.
+    """
+    asked = question_terms(questions)
+    weighted = (
+        index.terms.select("kb_id", "term", "idf")
+        .join(F.broadcast(asked) if ship else asked, ["kb_id", "term"])
         .join(index.stats.select("kb_id", "avgdl"), "kb_id")
     )
+    return F.broadcast(weighted) if ship else weighted
 
 
 def _sum_scores(weighted: DataFrame, index: LexicalIndex, params: Bm25Params) -> DataFrame:
@@ -60,12 +75,11 @@ def score(
 ) -> DataFrame:
     """Score of every chunk that shares a term with the question.
 
-    Term weights and the mean length join the (small) question side first.
-    Catalyst broadcasts that side when its measured size allows: postings then
-    stay where they are and the sums need no exchange.  Otherwise it is a
-    shuffle join on (kb_id, term) whose hot terms AQE splits.
+    Term weights and the mean length join the (small) question side first, see
+    :func:`weighted_terms`; with that side broadcast the sums need no exchange.
     """
-    return _sum_scores(weighted_terms(questions, index), index, params)
+    weighted = weighted_terms(questions, index, ship=is_shippable(questions))
+    return _sum_scores(weighted, index, params)
 
 
 def in_scope(rows: DataFrame, scope: DataFrame | None) -> DataFrame:
@@ -100,37 +114,34 @@ def _allowed(asking: DataFrame, pool: DataFrame, scope: DataFrame | None) -> Dat
 
 
 def zero_padding(
-    kept: DataFrame,
     questions: DataFrame,
     weighted: DataFrame,
     index: LexicalIndex,
     scope: DataFrame | None,
     top_n: int,
     params: Bm25Params,
+    *,
+    ship: bool,
 ) -> DataFrame:
-    """Unmatched chunks that a short result list is filled up with.
+    """Chunks of score 0 that a short result list is filled up with.
 
     All allowed chunks are ranked, so unmatched ones count as score 0 in chunk
-    order.  Where every term weight is positive, every match is, and a list
-    shorter than N holds all matches: N unmatched chunks are among the 2N
-    lowest of the scope.  Only a question with a term weight of 0 or less - a
-    base whose mean weight is not positive - is compared with its whole scope.
+    order.  Where every term weight is positive, every match is: a list shorter
+    than N holds all matches, and N unmatched chunks are among the 2N lowest of
+    the scope.  (A matched chunk among those is recognised by its own row.)
+    Only a question with a term weight of 0 or less - possible in a base whose
+    mean weight is not positive - is compared with its whole scope.
     """
     odd = weighted.filter(F.col("idf") <= 0).select("query_id").distinct()
-    found = kept.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("__positive"))
-    short = (
-        questions.select("kb_id", "query_id")
-        .join(found, "query_id", "left")
-        .filter(F.coalesce("__positive", F.lit(0)) < top_n)
-        .select("kb_id", "query_id")
-    )
-    plain, special = short.join(odd, "query_id", "left_anti"), short.join(odd, "query_id", "left_semi")
+    asked = questions.select("kb_id", "query_id")
     lowest = _lowest_chunks(index.chunks, scope is not None, 2 * top_n)
-    on = ["query_id", "chunk_id"]
-    easy = _allowed(plain, lowest, scope).join(kept.select(*on), on, "left_anti")
-    matched = _sum_scores(weighted.join(odd, "query_id", "left_semi"), index, params)
-    hard = _allowed(special, index.chunks, scope).join(matched.select(*on), on, "left_anti")
-    return easy.unionByName(hard).withColumn("score", F.lit(0.0))
+    easy = _allowed(asked.join(odd, "query_id", "left_anti"), lowest, scope)
+    terms = weighted.join(odd, "query_id", "left_semi")
+    matched = _sum_scores(F.broadcast(terms) if ship else terms, index, params)
+    hard = _allowed(asked.join(odd, "query_id", "left_semi"), index.chunks, scope).join(
+        matched.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"
+    )
+    return easy.unionByName(hard)
 
 
 def top_chunks(
@@ -150,12 +161,25 @@ def top_chunks(
     top_n = max(1, int(top_n))
     columns = ["query_id", "kb_id", "doc_id", "chunk_id", "ordinal", "score"]
     asked = questions.select("kb_id", "query_id", "question")
-    weighted = weighted_terms(asked, index)
+    ship = is_shippable(asked)
+    weighted = weighted_terms(asked, index, ship=ship)
     scored = in_scope(_sum_scores(weighted, index, params), scope).select(*columns)
-    kept = _best(scored, top_n)
-    padding = zero_padding(kept, asked, weighted, index, scope, top_n, params)
-    ranked = _best(kept.select(*columns).unionByName(padding.select(*columns)), top_n)
-    return normalise(ranked, "score", "bm25")
+    kept = _best(scored, top_n).select(*columns)
+    padding = zero_padding(asked, weighted, index, scope, top_n, params, ship=ship).withColumn(
+        "score", F.lit(None).cast("double")
+    )
+    # A few rows per question from here on.
+    merged = (
+        kept.unionByName(padding.select(*columns))
+        .groupBy("query_id", "chunk_id")
+        .agg(
+            F.first("kb_id").alias("kb_id"),
+            F.first("doc_id").alias("doc_id"),
+            F.first("ordinal").alias("ordinal"),
+            F.coalesce(F.max("score"), F.lit(0.0)).alias("score"),
+        )
+    )
+    return normalise(_best(merged, top_n), "score", "bm25")
 
 
 def normalise(ranked: DataFrame, value: str, name: str) -> DataFrame:

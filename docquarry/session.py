@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that hold for a laptop and a cluster alike.  Partition counts are
 # left to AQE: it starts from spark.sql.shuffle.partitions and coalesces, and
@@ -53,3 +53,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point ``DataFrame.checkpoint`` at the shared folder if it is unset."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoint"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Share out a file scan that has fewer splits than there are cores.
+
+    For plain scans ahead of heavy per-row work.  A table of many files or row
+    groups already has enough splits and is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

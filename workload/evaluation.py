@@ -14,7 +14,7 @@ from docquarry.operators import (
     semantic,
 )
 from docquarry.operators.checks import GROUNDEDNESS_LABELS, RELEVANCE_LABELS
-from docquarry.session import scratch_dir
+from docquarry.session import scratch_dir, spread
 from docquarry.sources import papers as paper_source
 from workload.logs import MATCH_SQL, case_logs, event_logs, EVENT_LOGS_SQL, matched_cases
 from workload.ingestion import strip_sql, WS
@@ -422,7 +422,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, ques
 
 def _scored(spark, sf):
     refs = _references(spark, sf).drop("evidence").filter(F.col("answer").isNotNull())
-    return answer_f1.score_references(derive(spark, sf, _ANSWERS), refs, KEYS)
+    return answer_f1.score_references(spread(derive(spark, sf, _ANSWERS)), refs, KEYS)
 
 
 @R.add(

@@ -8,6 +8,7 @@ from docquarry.functions import text
 from docquarry.operators import ingest
 from docquarry.operators.chunking import chunk_column, chunk_rows
 from docquarry.params import ChunkParams
+from docquarry.session import spread
 from workload.tables import Registry, derive, plain, table
 
 R = Registry()
@@ -166,7 +167,7 @@ _NORMAL_DOCS = f"SELECT doc_id, {normalise_sql('text')} AS body FROM documents"
     SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, CAST(start AS INT) AS start, CAST(stop AS INT) AS stop, text FROM chunk""",
 )
 def sliding_window_chunks(spark, sf):
-    return chunk_rows(derive(spark, sf, _DOC_ROWS), PARAMS)
+    return chunk_rows(spread(derive(spark, sf, _DOC_ROWS)), PARAMS)
 
 
 @R.add(
@@ -175,7 +176,7 @@ def sliding_window_chunks(spark, sf):
     SELECT doc_id, count(*) AS chunks, sum(length(text)) AS chars FROM chunk GROUP BY doc_id""",
 )
 def sliding_window_chunks_raw_text(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents")).select(
         "doc_id", F.inline(chunk_column(F.col("text"), ChunkParams(120, 40)))
     )
     return docs.groupBy("doc_id").agg(
