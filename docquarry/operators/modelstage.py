@@ -52,9 +52,11 @@ def run_model(rows: DataFrame, make_model: Callable[[], Model], keys: list[str])
     def stage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for batch in batches:
-            result = attempt(model, batch).reindex(columns=[n for n, _ in _OUTPUT])
+            result = attempt(model, batch).reindex(columns=[n for n, _ in _OUTPUT]).astype(object)
+            result = result.where(result.notna(), None)
             for column in ("choice_count", "total_tokens"):
                 result[column] = pd.array(result[column], dtype="Int64")
+            result["latency_seconds"] = result["latency_seconds"].astype(float)
             yield pd.concat([batch[keys].reset_index(drop=True), result], axis=1)
 
     return rows.mapInPandas(stage, schema)
