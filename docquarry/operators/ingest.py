@@ -218,16 +218,12 @@ def chunk_files(rows: DataFrame, params: ChunkParams) -> DataFrame:
     """Chunk page rows page by page and section rows by merged section.
 
     ``rows``: kb_id, doc_id, path, part, page, source_name, file_type,
-    doc_type, section_header, text.  A document takes the route of its first row.
+    doc_type, section_header, text.  All rows of a file carry the same path and
+    file type, so each row knows its document's route and nothing is joined.
     """
-    route = rows.groupBy("doc_id").agg(
-        F.min_by(is_paged(F.col("file_type"), F.col("path")), F.col("part")).alias("__paged")
-    )
-    routed = rows.join(route, "doc_id")
-    paged = routed.filter(F.col("__paged")).drop("__paged")
-    words = word_groups(routed.filter(~F.col("__paged")).drop("__paged"), ["doc_id"], "part")
-    columns = rows.columns
-    return chunk_rows(paged.unionByName(words.select(*columns)), params)
+    paged = is_paged(F.col("file_type"), F.col("path"))
+    words = word_groups(rows.filter(~paged), ["doc_id"], "part")
+    return chunk_rows(rows.filter(paged).unionByName(words.select(*rows.columns)), params)
 
 
 # --- chunks and documents ---------------------------------------------------

@@ -197,7 +197,7 @@ SELECT 'talk' AS kb_id, concat('/up/talk/conv', CAST(conv_id AS STRING), '.docx'
 
 
 def _file_rows(spark, sf):
-    pages = ingest.page_rows(derive(spark, sf, _FILE_PARTS))
+    pages = ingest.page_rows(spread(derive(spark, sf, _FILE_PARTS)))
     words = (
         derive(spark, sf, _WORD_PARTS)
         .withColumn("source_name", text.file_name(F.col("path")))

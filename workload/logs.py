@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from docquarry.functions import digest, redact
 from docquarry.operators import report, rerank, telemetry
 from docquarry.operators.checks import GROUNDEDNESS_LABELS, RELEVANCE_LABELS
-from docquarry.session import scratch_dir
+from docquarry.session import scratch_dir, spread
 from docquarry.sources import jsonl
 from workload.ingestion import strip_sql, WS
 from workload.retrieval import CHUNKS, PARAMS, hybrid_ctes, run_hybrid
@@ -254,7 +254,7 @@ def _rules_sql(x, rules):
     f"SELECT doc_id, {_rules_sql('text', _LOG_RULES)} AS text FROM ({plain(_SECRETS)})",
 )
 def redacted_texts(spark, sf):
-    return derive(spark, sf, _SECRETS).select(
+    return spread(derive(spark, sf, _SECRETS)).select(
         "doc_id", redact.log_explanation(F.col("text")).alias("text")
     )
 
@@ -277,7 +277,7 @@ _ERROR_RULES = (
     FROM ({plain(_ERRORS).replace(chr(92) * 2, chr(92))})""",
 )
 def sanitized_errors(spark, sf):
-    return derive(spark, sf, _ERRORS).select(
+    return spread(derive(spark, sf, _ERRORS)).select(
         "doc_id", redact.error_message(F.col("text"), "/srv/app").alias("error")
     )
 

@@ -14,28 +14,29 @@ R = Registry()
 
 WS = text.WHITESPACE
 
-# Documents as chunks of one knowledge base, benchmark texts as questions.
+# Documents as chunks of one knowledge base (the prefix of their source name, so
+# one key holds every row), benchmark texts as questions.
 CHUNKS = """
-SELECT 'all' AS kb_id, CAST(doc_id AS STRING) AS doc_id, CAST(doc_id AS STRING) AS chunk_id,
+SELECT substr(source, 1, 3) AS kb_id, CAST(doc_id AS STRING) AS doc_id, CAST(doc_id AS STRING) AS chunk_id,
        doc_id AS ordinal, text, source
 FROM {documents}"""
-CHUNKS_BY_LANG = CHUNKS.replace("'all'", "lang")
-QUESTIONS = "SELECT 'all' AS kb_id, item_id AS query_id, text AS question FROM {benchmark}"
+CHUNKS_BY_LANG = CHUNKS.replace("substr(source, 1, 3)", "lang")
+QUESTIONS = "SELECT 'src' AS kb_id, item_id AS query_id, text AS question FROM {benchmark}"
 # Each question may use the documents of one source.
 SOURCE_SCOPE = """
 SELECT b.item_id AS query_id, CAST(d.doc_id AS STRING) AS doc_id
 FROM {benchmark} b JOIN {documents} d ON d.source = concat('src', CAST(b.item_id % 20 AS STRING))"""
 VECTORS = """
-SELECT 'all' AS kb_id, CAST(vec_id AS STRING) AS doc_id, CAST(vec_id AS STRING) AS chunk_id,
+SELECT 'src' AS kb_id, CAST(vec_id AS STRING) AS doc_id, CAST(vec_id AS STRING) AS chunk_id,
        vec_id AS ordinal, embedding, label
 FROM {embeddings}"""
-VECTOR_QUESTIONS = "SELECT 'all' AS kb_id, vec_id AS query_id, embedding, label FROM {embeddings}"
+VECTOR_QUESTIONS = "SELECT 'src' AS kb_id, vec_id AS query_id, embedding, label FROM {embeddings}"
 LABEL_SCOPE = """
 SELECT q.vec_id AS query_id, CAST(d.vec_id AS STRING) AS doc_id
 FROM {embeddings} q JOIN {embeddings} d ON q.label = d.label"""
 # A benchmark text paired with the vector of the same number.
 HYBRID_QUESTIONS = """
-SELECT 'all' AS kb_id, b.item_id AS query_id, b.text AS question, v.embedding
+SELECT 'src' AS kb_id, b.item_id AS query_id, b.text AS question, v.embedding
 FROM {benchmark} b JOIN {embeddings} v ON v.vec_id = b.item_id"""
 PARAMS = RetrievalParams(top_n=30, rerank_candidates=30, rerank_top_k=10, fusion_threshold=0.15)
 
