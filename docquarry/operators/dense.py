@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from docquarry.operators.lexical import normalise
 
 DISTANCE_DIGITS = 10
-# Bounds of one block of a distance matrix, in values.
+# Values of question vectors and result lists that a task may hold.
 MAX_SHIPPED_VALUES = 4_000_000
 GRID_BLOCK_ROWS = 50_000
-_MATRIX_ROWS = 2048
+# Cells of a distance matrix computed at once.
+_MATRIX_CELLS = 4_000_000
 
 _OUT = "query_id long, chunk_id string, ordinal long, distance double"
 
@@ -28,37 +29,54 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
-def _nearest(
-    query_ids: np.ndarray, queries: np.ndarray, rows: pd.DataFrame, top_n: int
-) -> pd.DataFrame:
-    """The ``top_n`` nearest rows of one block for every question."""
+def _nearest(queries: np.ndarray, rows: pd.DataFrame, top_n: int) -> list[np.ndarray]:
+    """[distance, ordinal, chunk id] matrices of the best rows for every question."""
     # Rows in ordinal order make a stable sort break ties by ordinal.
     rows = rows.sort_values("ordinal", kind="stable")
     vectors = _matrix(rows["embedding"])
-    ordinals = rows["ordinal"].to_numpy()
-    ids = rows["chunk_id"].to_numpy()
     norms = (vectors**2).sum(axis=1)
     parts = []
-    for at in range(0, len(queries), _MATRIX_ROWS):
-        block = queries[at : at + _MATRIX_ROWS]
+    step = max(1, _MATRIX_CELLS // len(rows))
+    for at in range(0, len(queries), step):
+        block = queries[at : at + step]
         dist = (block**2).sum(axis=1)[:, None] + norms[None, :] - 2.0 * block @ vectors.T
         dist = np.round(np.maximum(dist, 0.0), DISTANCE_DIGITS)
         best = np.argsort(dist, axis=1, kind="stable")[:, :top_n]
-        parts.append(
-            pd.DataFrame(
-                {
-                    "query_id": np.repeat(query_ids[at : at + len(block)], best.shape[1]),
-                    "chunk_id": ids[best].ravel(),
-                    "ordinal": ordinals[best].ravel(),
-                    "distance": np.take_along_axis(dist, best, axis=1).ravel(),
-                }
-            )
-        )
-    return pd.concat(parts)
+        parts.append((np.take_along_axis(dist, best, axis=1), best))
+    picked = np.concatenate([b for _, b in parts])
+    return [
+        np.concatenate([d for d, _ in parts]),
+        rows["ordinal"].to_numpy()[picked],
+        rows["chunk_id"].to_numpy()[picked],
+    ]
+
+
+def _merge(old: list[np.ndarray] | None, new: list[np.ndarray], top_n: int) -> list[np.ndarray]:
+    """Best rows of two candidate sets, per question."""
+    if old is None:
+        return new
+    both = [np.concatenate(pair, axis=1) for pair in zip(old, new)]
+    order = np.lexsort((both[1], both[0]), axis=1)[:, :top_n]
+    return [np.take_along_axis(m, order, axis=1) for m in both]
+
+
+def _as_rows(query_ids: np.ndarray, found: list[np.ndarray]) -> pd.DataFrame:
+    distance, ordinal, chunk = found
+    return pd.DataFrame(
+        {
+            "query_id": np.repeat(query_ids, distance.shape[1]),
+            "chunk_id": chunk.ravel(),
+            "ordinal": ordinal.ravel(),
+            "distance": distance.ravel(),
+        }
+    )
 
 
 def _by_shipping(questions: DataFrame, vectors: DataFrame, top_n: int) -> DataFrame:
-    """Send a bounded question matrix to the vectors; no vector moves."""
+    """Send a bounded question matrix to the vectors; no vector moves.
+
+    A task keeps one list of N per question over all of its batches.
+    """
     local = questions.select("kb_id", "query_id", "embedding").toPandas()
     groups = {
         kb: (part["query_id"].to_numpy(), _matrix(part["embedding"]))
@@ -67,11 +85,14 @@ def _by_shipping(questions: DataFrame, vectors: DataFrame, top_n: int) -> DataFr
     shipped = vectors.sparkSession.sparkContext.broadcast(groups)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict = {}
         for batch in batches:
             for kb, rows in batch.groupby("kb_id"):
                 asked = shipped.value.get(kb)
                 if asked is not None:
-                    yield _nearest(*asked, rows, top_n)
+                    best[kb] = _merge(best.get(kb), _nearest(asked[1], rows, top_n), top_n)
+        for kb, found in best.items():
+            yield _as_rows(shipped.value[kb][0], found)
 
     return vectors.select("kb_id", "chunk_id", "ordinal", "embedding").mapInPandas(scan, _OUT)
 
@@ -105,9 +126,8 @@ def _by_grid(
     def pair(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or rows.empty:
             return pd.DataFrame(columns=["query_id", "chunk_id", "ordinal", "distance"])
-        return _nearest(
-            asked["query_id"].to_numpy(), _matrix(asked["embedding"]), rows, top_n
-        )
+        found = _nearest(_matrix(asked["embedding"]), rows, top_n)
+        return _as_rows(asked["query_id"].to_numpy(), found)
 
     return (
         left.groupBy("kb_id", "qb", "vb")
@@ -132,8 +152,8 @@ def nearest(
     top_n = max(1, int(top_n))
     first = questions.select(F.size("embedding").alias("d")).first()
     width = first["d"] if first else 1
-    # Stops counting as soon as the bound is passed.
-    bound = max(1, max_shipped_values // max(1, width))
+    # A question costs its vector and its list of N; counting stops at the bound.
+    bound = max(1, max_shipped_values // (max(1, width) + 3 * top_n))
     asked = questions.select("query_id").limit(bound + 1).count()
     if asked <= bound:
         candidates = _by_shipping(questions, vectors, top_n)
