@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.functions.shipping import ship_per_question
 from docquarry.operators.lexical import normalise
 
 DISTANCE_DIGITS = 10
@@ -167,14 +168,18 @@ def nearest(
     )
 
 
-def scoped(found: DataFrame, scope: DataFrame | None) -> DataFrame:
+def scoped(
+    found: DataFrame, vectors: DataFrame, scope: DataFrame | None, questions: DataFrame, top_n: int
+) -> DataFrame:
     """Drop rows outside the scope *after* the top-N, so a scope can shorten the list.
 
-    ``found`` needs ``doc_id``; ``scope`` is (query_id, doc_id).
+    ``vectors`` names the document of each chunk; ``scope`` is (query_id, doc_id).
     """
     if scope is None:
         return found
-    return found.join(
+    small = ship_per_question(found, questions, top_n)
+    named = vectors.select("chunk_id", "doc_id").join(small, "chunk_id")
+    return named.join(
         scope.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi"
     )
 

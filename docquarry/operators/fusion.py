@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.functions.shipping import ship_per_question
+
 FUSION_DIGITS = 10
 # Fixed value: distance shown for a chunk the dense branch did not return.
 MISSING_DISTANCE = 1.0
@@ -17,20 +19,30 @@ def fuse(
     *,
     threshold: float = 0.0,
     lookup: DataFrame | None = None,
+    per_question: int | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, distance, dense, bm25, fusion_score, fusion_rank).
 
     ``dense``: query_id, chunk_id, distance, dense; ``lexical``: query_id,
     chunk_id, bm25; ``questions``: query_id, alpha; ``lookup``: chunk_id of the
     active chunks - a lexical-only chunk outside it is dropped.  Ties follow
-    chunk_id.  A threshold of 0 or less keeps everything.
+    chunk_id.  A threshold of 0 or less keeps everything.  ``per_question`` is
+    the top-N of the lexical branch; with it the lookup table is not moved.
     """
     both = (
         dense.select("query_id", "chunk_id", "distance", "dense")
         .join(lexical.select("query_id", "chunk_id", "bm25"), ["query_id", "chunk_id"], "full_outer")
     )
     if lookup is not None:
-        known = lookup.select("chunk_id").distinct().withColumn("__known", F.lit(True))
+        needed = lexical.select("chunk_id").distinct()
+        if per_question is not None:
+            needed = ship_per_question(needed, questions, per_question)
+        known = (
+            lookup.select("chunk_id")
+            .join(needed, "chunk_id", "left_semi")
+            .distinct()
+            .withColumn("__known", F.lit(True))
+        )
         both = (
             both.join(known, "chunk_id", "left")
             .filter(F.col("dense").isNotNull() | F.col("__known"))

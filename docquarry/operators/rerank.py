@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text
+from docquarry.functions.shipping import ship_per_question
 
 SCORE_DIGITS = 10
 PairScorer = Callable[[pd.Series, pd.Series], pd.Series]
@@ -39,15 +40,19 @@ def rerank(
     passages: DataFrame,
     top_k: int,
     scorer: Callable[[Column, Column], Column] = token_overlap,
+    *,
+    per_question: int | None = None,
 ) -> DataFrame:
     """Best K by joint score; equal scores keep the fusion order.
 
     Texts stay out of the ranking plan until here: ``questions`` (query_id,
     question) and ``passages`` (chunk_id, passage) join the capped candidates.
+    ``per_question`` is the cap the candidates were cut to.
     """
-    pairs = candidates.join(questions.select("query_id", "question"), "query_id").join(
-        passages.select("chunk_id", "passage"), "chunk_id"
-    )
+    asked = candidates.join(questions.select("query_id", "question"), "query_id")
+    if per_question is not None:
+        asked = ship_per_question(asked, questions, per_question)
+    pairs = passages.select("chunk_id", "passage").join(asked, "chunk_id")
     scored = pairs.withColumn("rerank_score", scorer(F.col("question"), F.col("passage"))).drop(
         "question", "passage"
     )

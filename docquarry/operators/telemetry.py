@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import redact, text
 from docquarry.functions.counts import is_finite
+from docquarry.functions.shipping import ship_per_question
 from docquarry.operators.dense import similarity
 
 RAW_PREVIEW = 300
@@ -32,12 +33,22 @@ _WHOLE = ("retrieval_top_n", "rerank_candidate_n", "rerank_top_k", "total_tokens
 _REAL = ("fusion_alpha", "fusion_threshold", "relevance_score", *_LATENCIES)
 
 
-def source_rows(sources: DataFrame, chunks: DataFrame, preview_chars: int) -> DataFrame:
+def source_rows(
+    sources: DataFrame,
+    chunks: DataFrame,
+    preview_chars: int,
+    *,
+    questions: DataFrame | None = None,
+    per_question: int = 0,
+) -> DataFrame:
     """Ranked sources with ids, rounded scores and a preview.
 
     ``sources``: query_id, rank, chunk_id, distance, fusion_score and, for final
-    sources, rerank_score.  ``chunks`` carries the metadata and text.
+    sources, rerank_score.  ``chunks`` carries the metadata and text; with
+    ``questions`` and a row bound per question it is not moved.
     """
+    if questions is not None:
+        sources = ship_per_question(sources, questions, per_question)
     meta = chunks.select(
         "chunk_id",
         "doc_id",
@@ -53,7 +64,7 @@ def source_rows(sources: DataFrame, chunks: DataFrame, preview_chars: int) -> Da
         if "rerank_score" in sources.columns
         else []
     )
-    return sources.join(meta, "chunk_id").select(
+    return meta.join(sources, "chunk_id").select(
         "query_id",
         "rank",
         "doc_id",

@@ -43,12 +43,17 @@ def retrieve(
     )
     lexicon = lexical_index or index.build_lexical_index(chunks, bm25)
     by_words = lexical.top_chunks(routed, lexicon, p.top_n, scope=scope, params=bm25)
-    found = dense.nearest(routed, vectors, p.top_n)
-    if scope is not None:
-        found = dense.scoped(found.join(vectors.select("chunk_id", "doc_id"), "chunk_id"), scope)
+    found = dense.scoped(
+        dense.nearest(routed, vectors, p.top_n), vectors, scope, routed, p.top_n
+    )
     by_vector = dense.with_dense_score(found)
     fused = fusion.fuse(by_vector, by_words, routed, threshold=p.fusion_threshold)
     final = rerank.rerank(
-        fusion.candidates(fused, p.rerank_candidates), routed, chunks, p.rerank_top_k, scorer
+        fusion.candidates(fused, p.rerank_candidates),
+        routed,
+        chunks,
+        p.rerank_top_k,
+        scorer,
+        per_question=p.rerank_candidates,
     )
     return HybridResult(routed, fused, final, p)

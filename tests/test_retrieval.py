@@ -85,6 +85,34 @@ def test_postings_are_not_shuffled_for_scoring(spark):
     assert not any("hashpartitioning(chunk_id" in x and "query_id" in x for x in plan.splitlines())
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_are_cut_before_rows_move(spark):
+    chunks, asked = frames(spark, CORPORA["ordinary"], QUERIES)
+    top = lexical.top_chunks(asked, index.build_lexical_index(chunks), 3)
+    assert "WindowGroupLimit" in plan_of(top)
+
+
+def test_texts_are_not_moved_for_reranking(spark):
+    fused = spark.range(3).select(F.col("id").alias("query_id"), F.lit("c").alias("chunk_id"), F.lit(1).alias("fusion_rank"))
+    asked = spark.range(3).select(F.col("id").alias("query_id"), F.lit("q").alias("question"))
+    passages = spark.range(10**9).select(F.col("id").cast("string").alias("chunk_id"), F.lit("p").alias("passage"))
+    got = plan_of(rerank.rerank(fused, asked, passages, 2, per_question=5))
+    assert "SortMergeJoin" not in got.split("range")[0] or "BroadcastHashJoin [chunk_id" in got
+    assert not any("hashpartitioning(chunk_id" in x for x in got.splitlines())
+
+
+def test_lookup_drops_unknown_lexical_chunks_only(spark):
+    d = spark.createDataFrame([(1, "x", 0.2, 1.0)], "query_id long, chunk_id string, distance double, dense double")
+    b = spark.createDataFrame([(1, "x", 1.0), (1, "y", 1.0)], "query_id long, chunk_id string, bm25 double")
+    q = spark.createDataFrame([(1, 0.5)], "query_id long, alpha double")
+    none = spark.createDataFrame([], "chunk_id string")
+    got = fusion.fuse(d, b, q, lookup=none, per_question=5).collect()
+    assert [(r["chunk_id"], r["fusion_score"]) for r in got] == [("x", 1.0)]
+
+
 def vectors(spark, n=60, width=8):
     rnd = random.Random(3)
     data = []
@@ -117,9 +145,9 @@ def test_dense_top_n(spark, monkeypatch, shipped):
 def test_scope_shortens_the_dense_list_and_scores_are_normalised(spark):
     _, table = vectors(spark)
     asked = table.filter("ordinal < 5").select("kb_id", F.col("ordinal").alias("query_id"), "embedding")
-    found = dense.nearest(asked, table, 6).join(table.select("chunk_id", "doc_id"), "chunk_id")
+    found = dense.nearest(asked, table, 6)
     scoped = asked.select("query_id").crossJoin(spark.createDataFrame([("d1",), ("d2",)], "doc_id string"))
-    got = dense.with_dense_score(dense.scoped(found, scoped)).collect()
+    got = dense.with_dense_score(dense.scoped(found, table, scoped, asked, 6)).collect()
     assert 0 < len(got) < 30
     assert all(0.0 <= r["dense"] <= 1.0 for r in got)
 

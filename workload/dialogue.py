@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.functions import text
+from docquarry.functions.shipping import ship_per_question
 from docquarry.operators import admission, checks, conversation, modelstage, prompts
 from docquarry.params import AdmissionLimits
 from workload.ingestion import strip_sql
@@ -75,7 +76,8 @@ def _sources(spark, sf):
     """Final sources with their passages; at most top-K rows per question."""
     h = run_hybrid(spark, sf)
     passages = with_passage(derive(spark, sf, CHUNKS)).select("chunk_id", "passage")
-    return h, h.final.join(passages, "chunk_id").select("query_id", "rank", "passage")
+    small = ship_per_question(h.final, h.questions, h.params.rerank_top_k)
+    return h, passages.join(small, "chunk_id").select("query_id", "rank", "passage")
 
 
 _SOURCE_SQL = f"{hybrid_ctes()}, source_row AS (SELECT f.query_id, f.rank, p.passage FROM final f JOIN passage p USING (chunk_id))"

@@ -95,8 +95,13 @@ def _preview(n):
       round(rerank_score, 6) AS rerank_score FROM final f JOIN documents d ON CAST(d.doc_id AS STRING) = f.chunk_id""",
 )
 def final_source_rows(spark, sf):
+    h = run_hybrid(spark, sf)
     return telemetry.source_rows(
-        run_hybrid(spark, sf).final, _source_chunks(spark, sf), telemetry.FINAL_PREVIEW
+        h.final,
+        _source_chunks(spark, sf),
+        telemetry.FINAL_PREVIEW,
+        questions=h.questions,
+        per_question=h.params.rerank_top_k,
     )
 
 
@@ -108,8 +113,14 @@ def final_source_rows(spark, sf):
     FROM fused f JOIN documents d ON CAST(d.doc_id AS STRING) = f.chunk_id""",
 )
 def raw_source_rows(spark, sf):
-    fused = run_hybrid(spark, sf).fused.withColumnRenamed("fusion_rank", "rank")
-    return telemetry.source_rows(fused, _source_chunks(spark, sf), telemetry.RAW_PREVIEW)
+    h = run_hybrid(spark, sf)
+    return telemetry.source_rows(
+        h.fused.withColumnRenamed("fusion_rank", "rank"),
+        _source_chunks(spark, sf),
+        telemetry.RAW_PREVIEW,
+        questions=h.questions,
+        per_question=2 * h.params.top_n,
+    )
 
 
 @R.add(

@@ -286,9 +286,9 @@ def dense_top_chunks_by_grid(spark, sf):
 )
 def dense_scores_in_scope(spark, sf):
     vectors = derive(spark, sf, VECTORS)
-    found = dense.nearest(derive(spark, sf, VECTOR_QUESTIONS), vectors, 30)
-    found = found.join(vectors.select("chunk_id", "doc_id"), "chunk_id")
-    kept = dense.scoped(found, derive(spark, sf, LABEL_SCOPE))
+    questions = derive(spark, sf, VECTOR_QUESTIONS)
+    found = dense.nearest(questions, vectors, 30)
+    kept = dense.scoped(found, vectors, derive(spark, sf, LABEL_SCOPE), questions, 30)
     return dense.with_dense_score(kept).select(
         "query_id",
         "chunk_id",
