@@ -49,7 +49,14 @@ def build_lexical_index(
     )
     lengths = split.select("kb_id", F.size("__tokens").alias("dl"))
     stats = lengths.groupBy("kb_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    vocabulary = postings.groupBy("kb_id", "term").agg(F.count("*").alias("df"))
+    # Counted from distinct tokens rather than from postings: without lambdas in
+    # the plan, Spark recognises the exchange and computes it once for both uses.
+    vocabulary = (
+        split.select("kb_id", F.explode_outer(F.array_distinct("__tokens")).alias("term"))
+        .filter(F.col("term").isNotNull())
+        .groupBy("kb_id", "term")
+        .agg(F.count("*").alias("df"))
+    )
     raw = vocabulary.join(stats.select("kb_id", "n"), "kb_id").withColumn(
         "raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     )

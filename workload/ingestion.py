@@ -173,7 +173,7 @@ def sliding_window_chunks(spark, sf):
 @R.add(
     "sliding_window_chunks_raw_text",
     f"""WITH {chunk_sql("SELECT doc_id, text AS body FROM documents", 120, 40)}
-    SELECT doc_id, count(*) AS chunks, sum(length(text)) AS chars FROM chunk GROUP BY doc_id""",
+    SELECT doc_id, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM chunk GROUP BY doc_id""",
 )
 def sliding_window_chunks_raw_text(spark, sf):
     docs = spread(table(spark, sf, "documents")).select(

@@ -209,8 +209,8 @@ def _keep(expr, name):
       {_keep('timestamp', 'timestamp')},
       {_keep("CASE WHEN kb_mode IN ('single', 'multi') THEN kb_mode ELSE 'unknown' END", 'kb_mode')},
       {_keep("CASE WHEN retrieval_route IN ('keyword', 'semantic', 'balanced') THEN retrieval_route ELSE 'unknown' END", 'retrieval_route')},
-      {_keep('round(fusion_alpha, 4)', 'fusion_alpha')}, {_keep('retrieval_top_n', 'retrieval_top_n')},
-      {_keep('rerank_candidate_n', 'rerank_candidate_n')}, {_keep('rerank_top_k', 'rerank_top_k')},
+      {_keep('round(fusion_alpha, 4)', 'fusion_alpha')}, {_keep('CAST(retrieval_top_n AS BIGINT)', 'retrieval_top_n')},
+      {_keep('CAST(rerank_candidate_n AS BIGINT)', 'rerank_candidate_n')}, {_keep('CAST(rerank_top_k AS BIGINT)', 'rerank_top_k')},
       {_keep('round(fusion_threshold, 4)', 'fusion_threshold')}, {_keep('num_fusion_survivors', 'num_fusion_survivors')},
       {_keep('least(num_fusion_survivors, rerank_candidate_n)', 'num_reranker_candidates')}, {_keep('num_final_sources', 'num_final_sources')},
       {_keep("'unknown'", 'retrieval_relevance')}, {_keep('round(relevance_score, 4)', 'relevance_score')},
