@@ -47,12 +47,16 @@ def build_lexical_index(
     postings = counted.select(*facts, "dl", F.inline_outer("__counts")).filter(
         F.col("term").isNotNull()
     )
-    lengths = split.select("kb_id", F.size("__tokens").alias("dl"))
-    stats = lengths.groupBy("kb_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    # Counted from distinct tokens rather than from postings: without lambdas in
-    # the plan, Spark recognises the exchange and computes it once for both uses.
+    # Corpus statistics come straight from the scan, so the text is moved for
+    # the postings only.
+    scanned = chunks.select("kb_id", text.tokens(F.col("text")).alias("__tokens"))
+    stats = scanned.groupBy("kb_id").agg(
+        F.count("*").alias("n"), F.avg(F.size("__tokens")).alias("avgdl")
+    )
+    # Distinct tokens instead of postings: without lambdas in the plan, Spark
+    # recognises a repeated exchange and computes it once.
     vocabulary = (
-        split.select("kb_id", F.explode_outer(F.array_distinct("__tokens")).alias("term"))
+        scanned.select("kb_id", F.explode_outer(F.array_distinct("__tokens")).alias("term"))
         .filter(F.col("term").isNotNull())
         .groupBy("kb_id", "term")
         .agg(F.count("*").alias("df"))

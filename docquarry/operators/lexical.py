@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import text
 from docquarry.operators.index import LexicalIndex
 from docquarry.params import Bm25Params
+from docquarry.session import ensure_checkpoint_dir
 
 # Question terms that may be sent to every task (about 100 bytes each).
 MAX_SHIPPED_TERMS = 500_000
@@ -36,9 +37,10 @@ def is_shippable(questions: DataFrame, max_shipped: int = MAX_SHIPPED_TERMS) ->
 def weighted_terms(questions: DataFrame, index: LexicalIndex, *, ship: bool) -> DataFrame:
     """Question terms known to their base, with weight and mean chunk length.
 
-    With ``ship`` (see :func:`is_shippable`) the result is broadcast: postings
-    stay where they are and keep their partitioning.  Otherwise joins are left
-    to Catalyst as shuffle joins on (kb_id, term), whose hot terms AQE splits.
+    With ``ship`` (see :func:`is_shippable`) the few rows are checkpointed, as
+    several parts of a plan use them, and broadcast: postings stay where they
+    are and keep their partitioning.  Otherwise joins are left to Catalyst as
+    shuffle joins on (kb_id, term), whose hot terms AQE splits.
     """
     asked = question_terms(questions)
     weighted = (
@@ -46,7 +48,10 @@ def weighted_terms(questions: DataFrame, index: LexicalIndex, *, ship: bool) ->
         .join(F.broadcast(asked) if ship else asked, ["kb_id", "term"])
         .join(index.stats.select("kb_id", "avgdl"), "kb_id")
     )
-    return F.broadcast(weighted) if ship else weighted
+    if not ship:
+        return weighted
+    ensure_checkpoint_dir(questions.sparkSession)
+    return F.broadcast(weighted.checkpoint())
 
 
 def _sum_scores(weighted: DataFrame, index: LexicalIndex, params: Bm25Params) -> DataFrame:
@@ -135,6 +140,8 @@ def zero_padding(
     odd = weighted.filter(F.col("idf") <= 0).select("query_id").distinct()
     asked = questions.select("kb_id", "query_id")
     lowest = _lowest_chunks(index.chunks, scope is not None, 2 * top_n)
+    if ship and odd.isEmpty():
+        return _allowed(asked, lowest, scope)
     easy = _allowed(asked.join(odd, "query_id", "left_anti"), lowest, scope)
     terms = weighted.join(odd, "query_id", "left_semi")
     matched = _sum_scores(F.broadcast(terms) if ship else terms, index, params)

@@ -8,6 +8,7 @@ from docquarry.functions import text
 from docquarry.operators import dense, fusion, index, lexical, rerank, routing, scope
 from docquarry.params import RetrievalParams
 from docquarry.plans import hybrid
+from docquarry.session import spread
 from workload.tables import Registry, derive, plain
 
 R = Registry()
@@ -198,7 +199,7 @@ def tokenize_chunks(spark, sf):
     f"WITH {tok_ctes(CHUNKS_BY_LANG)} SELECT kb_id, term, df, round(idf, 6) AS idf FROM term",
 )
 def bm25_term_statistics(spark, sf):
-    lex = index.build_lexical_index(derive(spark, sf, CHUNKS_BY_LANG))
+    lex = index.build_lexical_index(spread(derive(spark, sf, CHUNKS_BY_LANG)))
     return lex.terms.withColumn("idf", F.round("idf", 6))
 
 
@@ -207,7 +208,7 @@ def bm25_term_statistics(spark, sf):
     f"WITH {tok_ctes(CHUNKS_BY_LANG)} SELECT kb_id, n, round(avgdl, 6) AS avgdl FROM kb",
 )
 def bm25_base_statistics(spark, sf):
-    lex = index.build_lexical_index(derive(spark, sf, CHUNKS_BY_LANG))
+    lex = index.build_lexical_index(spread(derive(spark, sf, CHUNKS_BY_LANG)))
     return lex.stats.withColumn("avgdl", F.round("avgdl", 6))
 
 
@@ -216,7 +217,7 @@ def bm25_base_statistics(spark, sf):
     f"WITH {bm25_ctes(CHUNKS, QUESTIONS, 10)} SELECT query_id, chunk_id, round(round(s, 10), 6) AS score FROM hit",
 )
 def bm25_scores(spark, sf):
-    lex = index.build_lexical_index(derive(spark, sf, CHUNKS))
+    lex = index.build_lexical_index(spread(derive(spark, sf, CHUNKS)))
     return lexical.score(derive(spark, sf, QUESTIONS), lex).select(
         "query_id", "chunk_id", F.round("score", 6).alias("score")
     )
@@ -233,7 +234,7 @@ def _top(df):
 
 @R.add("bm25_top_chunks", f"WITH {bm25_ctes(CHUNKS, QUESTIONS, 10)} SELECT {_TOP} FROM lexical")
 def bm25_top_chunks(spark, sf):
-    lex = index.build_lexical_index(derive(spark, sf, CHUNKS))
+    lex = index.build_lexical_index(spread(derive(spark, sf, CHUNKS)))
     return _top(lexical.top_chunks(derive(spark, sf, QUESTIONS), lex, 10))
 
 
@@ -242,7 +243,7 @@ def bm25_top_chunks(spark, sf):
     f"WITH {bm25_ctes(CHUNKS, QUESTIONS, 60, SOURCE_SCOPE)} SELECT {_TOP} FROM lexical",
 )
 def bm25_top_chunks_in_scope(spark, sf):
-    lex = index.build_lexical_index(derive(spark, sf, CHUNKS))
+    lex = index.build_lexical_index(spread(derive(spark, sf, CHUNKS)))
     return _top(
         lexical.top_chunks(
             derive(spark, sf, QUESTIONS), lex, 60, scope=derive(spark, sf, SOURCE_SCOPE)
@@ -321,7 +322,7 @@ def question_routes(spark, sf):
 def run_hybrid(spark, sf):
     return hybrid.retrieve(
         derive(spark, sf, HYBRID_QUESTIONS),
-        with_passage(derive(spark, sf, CHUNKS)),
+        with_passage(spread(derive(spark, sf, CHUNKS))),
         derive(spark, sf, VECTORS),
         PARAMS,
     )
