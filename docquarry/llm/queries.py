@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import exact_dedup, sharding
+from docquarry.llm import decontaminate, exact_dedup, sharding
 from docquarry.llm.common import scan
 
 QUERIES = {}
@@ -52,3 +52,53 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_classes(scan(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op4_winnowed_contamination",
+    r"""
+    WITH doc_words AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[a-z0-9\x{80}-\x{10FFFF}]+') AS words
+        FROM documents
+    ), item_words AS (
+        SELECT item_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[a-z0-9\x{80}-\x{10FFFF}]+') AS words
+        FROM benchmark
+    ), windows AS (
+        SELECT DISTINCT item_id, least(len(words), 10) AS size,
+               array_to_string(words[i : i + least(len(words), 10) - 1], ' ') AS gram
+        FROM item_words, range(1, greatest(len(words) - 9, 1) + 1) AS t(i)
+        WHERE len(words) > 0
+    ), sizes AS (SELECT DISTINCT size FROM windows),
+    grams AS (
+        SELECT doc_id, i, size, array_to_string(words[i : i + size - 1], ' ') AS gram
+        FROM doc_words, sizes, range(1, len(words) - size + 2) AS t(i)
+    ), hits AS (
+        SELECT doc_id, i, size, item_id FROM grams JOIN windows USING (size, gram)
+    ), hit_words AS (
+        SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, range(size) AS t(k) GROUP BY doc_id
+    ), hit_items AS (
+        SELECT doc_id, count(DISTINCT item_id) AS n_items,
+               string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names
+        FROM hits GROUP BY doc_id
+    )
+    SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(
+        scan(spark, sf_dir, "documents").select("doc_id", "text"), scan(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontaminate.hit_words(F.col("spans")).alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
