@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import decontaminate, exact_dedup, sharding
+from docquarry.llm import decontaminate, exact_dedup, language_id, sharding
 from docquarry.llm.common import scan
 
 QUERIES = {}
@@ -102,3 +102,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+def held_out():
+    """Documents kept back from language training."""
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+@_query("op7_word_first_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scan(spark, sf_dir, "documents")
+    hidden = F.coalesce(held_out(), F.lit(False))
+    model = language_id.train(docs.filter(~hidden))
+    return language_id.identify(docs.select("doc_id", hidden.alias("held_out"), "text"), model).drop("text")
