@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import decontaminate, exact_dedup, language_id, sharding
+from docquarry.llm import decontaminate, exact_dedup, language_id, secret_scan, sharding
 from docquarry.llm.common import scan
 
 QUERIES = {}
@@ -115,3 +115,24 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     hidden = F.coalesce(held_out(), F.lit(False))
     model = language_id.train(docs.filter(~hidden))
     return language_id.identify(docs.select("doc_id", hidden.alias("held_out"), "text"), model).drop("text")
+
+
+@_query("op2_markov_secrets")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scan(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secret_scan.train(secret_scan.labelled_samples(docs))
+    spans = F.col("spans")
+
+    def number(kind):
+        return F.size(secret_scan.of_kind(spans, kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = secret_scan.of_kind(spans, "assign", "access", "hex")
+    return secret_scan.find_secrets(docs, model).select(
+        "doc_id",
+        number("assign"),
+        number("access"),
+        number("hex"),
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(spans).alias("spans"),
+        number("markov"),
+    )
