@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import decontaminate, exact_dedup, language_id, secret_scan, sharding
+from docquarry.llm import decontaminate, exact_dedup, language_id, secret_scan, sentencepiece_fst, sharding
 from docquarry.llm.common import scan
 
 QUERIES = {}
@@ -136,3 +136,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.joined(spans).alias("spans"),
         number("markov"),
     )
+
+
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@_query("op9_fst_sentencepiece")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scan(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_fst.encode_documents(docs, sentencepiece_fst.load_model(PIECE_MODEL))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_ids"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "round_trip",
+    )
