@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import decontaminate, exact_dedup, language_id, secret_scan, sentencepiece_fst, sharding
+from docquarry.llm import (
+    decontaminate,
+    exact_dedup,
+    language_id,
+    secret_scan,
+    sentencepiece_fst,
+    sharding,
+    simhash,
+)
 from docquarry.llm.common import scan
 
 QUERIES = {}
@@ -152,3 +160,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"),
         "round_trip",
     )
+
+
+@_query("op1_bktree_simhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(scan(spark, sf_dir, "documents"))
