@@ -9,6 +9,7 @@ from docquarry.llm import (
     decontaminate,
     exact_dedup,
     language_id,
+    line_dedup,
     secret_scan,
     sentencepiece_fst,
     sharding,
@@ -165,3 +166,47 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op1_bktree_simhash")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(scan(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op8_set_join_line_dedup",
+    r"""
+    WITH lines AS (
+        SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, i AS line_no,
+               list_distinct(list_filter(
+                   regexp_split_to_array(lower(string_split(text, chr(10))[i + 1]), '[\x20\x09-\x0D]+'),
+                   lambda w: w <> '')) AS words
+        FROM documents, range(len(string_split(text, chr(10)))) AS t(i)
+    ), sets AS (
+        SELECT list_sort(words) AS words, len(words) AS size, min((doc_id, line_no)) AS place
+        FROM lines WHERE len(words) > 0 GROUP BY ALL
+    ), numbered AS (SELECT *, row_number() OVER (ORDER BY place) AS k FROM sets),
+    counted AS (
+        SELECT w, count(*) AS n FROM (SELECT unnest(words) AS w FROM numbered) GROUP BY w
+    ), ranked AS (
+        SELECT k, size, w, row_number() OVER (PARTITION BY k ORDER BY n, w) AS pos
+        FROM (SELECT k, size, unnest(words) AS w FROM numbered) JOIN counted USING (w)
+    ), heads AS (
+        SELECT k, size, w FROM ranked WHERE pos <= size - ceil(size * 0.8) + 1
+    ), pairs AS (
+        SELECT DISTINCT b.k AS later, a.k AS earlier
+        FROM heads a JOIN heads b ON a.w = b.w AND a.k < b.k
+        WHERE least(a.size, b.size) * 100 >= greatest(a.size, b.size) * 80
+    ), gone AS (
+        SELECT DISTINCT later AS k
+        FROM pairs JOIN numbered a ON a.k = earlier JOIN numbered b ON b.k = later
+        WHERE len(list_intersect(a.words, b.words)) * 180 >= (a.size + b.size) * 80
+    ), removed AS (
+        SELECT l.doc_id, l.line_no
+        FROM lines l JOIN numbered s ON list_sort(l.words) = s.words
+        WHERE s.place <> (l.doc_id, l.line_no) OR s.k IN (SELECT k FROM gone)
+    )
+    SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines,
+           count(r.line_no) AS n_removed,
+           coalesce(list(r.line_no::INTEGER ORDER BY r.line_no) FILTER (r.line_no IS NOT NULL), []) AS removed
+    FROM documents d LEFT JOIN removed r ON d.doc_id = r.doc_id
+    GROUP BY d.doc_id, d.text
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.count_repeated(scan(spark, sf_dir, "documents"))
