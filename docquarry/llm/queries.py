@@ -9,11 +9,13 @@ from docquarry.llm import (
     decontaminate,
     exact_dedup,
     language_id,
+    licenses,
     line_dedup,
     secret_scan,
     sentencepiece_fst,
     sharding,
     simhash,
+    toxicity,
 )
 from docquarry.llm.common import scan
 
@@ -210,3 +212,101 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.count_repeated(scan(spark, sf_dir, "documents"))
+
+
+@_query("op10_toxicity_chain")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scan(spark, sf_dir, "documents").select("doc_id", "text")
+    categories = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    chain = toxicity.train(docs, scan(spark, sf_dir, "labels"), categories)
+    return toxicity.score(docs, chain).select(
+        "doc_id",
+        "p_low_quality",
+        "p_toxic",
+        (F.col("p_low_quality") >= 0.5).alias("low_quality"),
+        (F.col("p_toxic") >= 0.5).alias("toxic"),
+    )
+
+
+def _licence_sql() -> str:
+    """The licence scan in SQL, over the same template list."""
+    rows = ", ".join(
+        "({}, '{}', '{}')".format(n, name, wording.replace("'", "''"))
+        for n, (name, wording) in enumerate(licenses.TEMPLATES)
+    )
+    return rf"""
+    WITH files AS (
+        SELECT doc_id,
+               concat_ws('/', coalesce(source, 'none'), doc_id // 10000, doc_id // 100, doc_id) AS path,
+               concat_ws('/', coalesce(source, 'none'), doc_id // 10000, doc_id // 100) AS dir,
+               text,
+               coalesce(len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')), 0) AS words
+        FROM documents
+    ), templates(n, name, wording) AS (VALUES {rows}),
+    template_terms AS (
+        SELECT n, term, count(*) AS tf FROM (
+            SELECT n, unnest(regexp_extract_all(lower(wording), '[a-z0-9]+')) AS term FROM templates
+        ) GROUP BY ALL
+    ), vocabulary AS (SELECT DISTINCT term FROM template_terms),
+    found_terms AS (
+        SELECT DISTINCT doc_id, term FROM (
+            SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM documents
+        ) SEMI JOIN vocabulary USING (term)
+    ), weights AS (
+        SELECT term, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + count(doc_id))) + 1 AS idf
+        FROM vocabulary LEFT JOIN found_terms USING (term) GROUP BY term
+    ), raw AS (SELECT n, term, tf * idf AS w FROM template_terms JOIN weights USING (term)),
+    vectors AS (SELECT n, term, w / sqrt(sum(w * w) OVER (PARTITION BY n)) AS w FROM raw),
+    lines AS (
+        SELECT doc_id, i AS line_no, string_split(text, chr(10))[i + 1] AS line
+        FROM documents, range(len(string_split(text, chr(10)))) AS t(i)
+    ), line_terms AS (
+        SELECT doc_id, line_no, term, count(*) AS tf FROM (
+            SELECT doc_id, line_no, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM lines
+        ) GROUP BY ALL
+    ), weighed AS (
+        SELECT doc_id, line_no, term, tf,
+               tf * coalesce(idf, ln(1 + (SELECT count(*) FROM documents)) + 1) AS w
+        FROM line_terms LEFT JOIN weights USING (term)
+    ), norms AS (
+        SELECT doc_id, line_no, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM weighed GROUP BY ALL
+    ), cosines AS (
+        SELECT doc_id, line_no, n, round(sum(a.w * v.w) / any_value(norm), 9) AS cosine, any_value(words) AS words
+        FROM weighed a JOIN vectors v USING (term) JOIN norms USING (doc_id, line_no)
+        GROUP BY doc_id, line_no, n
+    ), licence_lines AS (
+        SELECT * FROM cosines WHERE cosine >= {licenses.MIN_COSINE}
+        QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY cosine DESC, n) = 1
+    ), own AS (
+        SELECT doc_id, first(n ORDER BY cosine DESC, n) AS n, max(cosine) AS cosine, sum(words) AS licence_words
+        FROM licence_lines GROUP BY doc_id
+    ), scanned AS (
+        SELECT f.doc_id, path, dir, name AS own, cosine,
+               coalesce(licence_words >= words * 0.1, false) AS licence_file
+        FROM files f LEFT JOIN own USING (doc_id) LEFT JOIN templates USING (n)
+    ), licensed AS (
+        SELECT dir, first(own ORDER BY cosine DESC, path) AS licence FROM scanned WHERE licence_file GROUP BY dir
+    ), near AS (
+        SELECT doc_id, l.dir AS inherited_from, l.licence AS inherited
+        FROM scanned s JOIN licensed l ON s.dir = l.dir OR starts_with(s.dir, l.dir || '/')
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(l.dir) DESC) = 1
+    )
+    SELECT doc_id, path, own, cosine, licence_file,
+           CASE WHEN own IS NULL THEN inherited END AS inherited,
+           CASE WHEN own IS NULL THEN inherited_from END AS inherited_from,
+           coalesce(own, inherited) AS licence
+    FROM scanned LEFT JOIN near USING (doc_id)
+    """
+
+
+@_query("op3_tfidf_licences", _licence_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("doc_id")
+    path = F.concat_ws(
+        "/",
+        F.coalesce("source", F.lit("none")),
+        F.expr("doc_id div 10000"),
+        F.expr("doc_id div 100"),
+        number,
+    )
+    return licenses.scan_licences(scan(spark, sf_dir, "documents"), path, min_share=0.1)
