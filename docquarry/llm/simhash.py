@@ -237,3 +237,14 @@ def near_duplicates(
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component, all its columns: the smallest id's (of its repeated rows, one).
+
+    Documents without an id cannot be named; all of them stay.
+    """
+    names = near_duplicates(docs, id_col, text_col, **options)
+    firsts = names.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    own = docs.join(firsts, docs[id_col] == firsts["doc_id"], "left_semi").dropDuplicates([id_col])
+    return own.unionByName(docs.filter(F.col(id_col).isNull()))
