@@ -266,27 +266,20 @@ def test_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
 test_blocks.__test__ = False
 
 
-def _united(left: Column, right: Column) -> Column:
-    """Spans of two blocks as one sorted list without overlap."""
-    return F.aggregate(
-        F.array_sort(F.concat(left, right)),
-        F.lit(None).cast("array<struct<start:int,end:int>>"),
-        lambda done, s: F.when(done.isNull(), F.array(s))
-        .when(
-            s["start"] <= F.element_at(done, -1)["end"],
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(done, -1)["start"].alias("start"),
-                        F.greatest(s["end"], F.element_at(done, -1)["end"]).alias("end"),
-                    )
-                ),
-            ),
+def _united(spans: Column) -> Column:
+    """Sorted spans, overlaps merged."""
+    kind = "array<struct<start:int,end:int>>"
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        wider = F.struct(last["start"].alias("start"), F.greatest(s["end"], last["end"]).alias("end"))
+        return (
+            F.when(F.size(done) == 0, F.array(s))
+            .when(s["start"] <= last["end"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider)))
+            .otherwise(F.concat(done, F.array(s)))
         )
-        .otherwise(F.concat(done, F.array(s))),
-        lambda done: F.coalesce(done, F.array().cast("array<struct<start:int,end:int>>")),
-    )
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), lambda done, s: add(done, s).cast(kind))
 
 
 def find_contamination(
@@ -302,19 +295,24 @@ def find_contamination(
     Each row is looked at on its own: no shuffle, whatever is common.
     """
     text = F.col(f"`{text_col}`")
-    result = None
+    found = docs
+    blocks = []
     for index in test_blocks(benchmark, item_col, item_text_col, block_bytes):
-        here = _scan_udf(index)(text)
-        result = (
-            here
-            if result is None
-            else F.struct(
-                here["n_words"].alias("n_words"),
-                _united(result["spans"], here["spans"]).alias("spans"),
-                F.array_sort(F.array_union(result["items"], here["items"])).alias("items"),
-            )
-        )
-    return attach(docs, result, FIELDS)
+        name = f"__block{len(blocks)}"
+        while name in docs.columns:
+            name += "_"
+        blocks.append(F.col(f"`{name}`"))
+        found = found.withColumn(name, _scan_udf(index)(text))
+    every = {f: F.flatten(F.array(*[b[f] for b in blocks])) for f in ("spans", "items")}
+    result = F.struct(
+        blocks[0]["n_words"].alias("n_words"),
+        _united(every["spans"]).alias("spans"),
+        F.array_sort(F.array_distinct(every["items"])).alias("items"),
+    )
+    kept = [c for c in docs.columns if c.lower() not in FIELDS]
+    return attach(found, blocks[0] if len(blocks) == 1 else result, FIELDS).select(
+        *[F.col(f"`{c}`") for c in kept], *FIELDS
+    )
 
 
 def hit_words(spans: Column) -> Column:

@@ -9,7 +9,7 @@ shapes are not scored, so those spans stay as they are.
 
 The models are counted by Spark from labelled samples (value, is_random).
 :func:`labelled_samples` takes them from documents: values inside the fixed shapes are
-random, other runs of 4 or more key characters are ordinary.  It reads at
+random, other runs of 4 to 15 key characters are ordinary.  It reads at
 most about ``MAX_SAMPLE_DOCS`` documents, chosen by a hash of the id (the documented
 bound of the fit).  The counts are bounded by the square of the alphabet.
 
@@ -34,6 +34,7 @@ MAX_SAMPLE_DOCS = 20_000
 MIN_RUN = 16
 MIN_ORDINARY = 4
 MIN_RATIO = 12.0
+ROW_PRIOR = 5.0
 
 # The kinds in the order of equal starts, their patterns and least lengths.
 KINDS = ("assign", "access", "hex", "markov")
@@ -49,7 +50,7 @@ MIN_HEX = 16
 
 _KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 _LONG_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_RUN)
-_ANY_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_ORDINARY)
+_ANY_RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 _INDEX = {c: i for i, c in enumerate(_KEY_CHARS)}
 
 RESULT = "spans array<struct<kind:string,start:int,end:int>>"
@@ -101,7 +102,9 @@ class MarkovPair:
 
 
 def _log_rows(counts: np.ndarray) -> np.ndarray:
-    smooth = counts + 0.5
+    """Log probabilities of the next character; rare rows lean on the class's single characters."""
+    single = counts.sum(axis=0) + 0.5
+    smooth = counts + ROW_PRIOR * single / single.sum()
     return np.log(smooth / smooth.sum(axis=1, keepdims=True))
 
 
@@ -136,7 +139,10 @@ def labelled_samples(
             shapes = shape_spans(text, _long_runs(text))
             values = [{"value": text[at:end], "is_random": True} for _, _, end, at in shapes]
             for m in _ANY_RUN.finditer(text):
-                if not any(start < m.end() and m.start() < end for start, _, end, _ in shapes):
+                # Runs as long as a candidate are left out, as some are the very secrets sought.
+                if MIN_ORDINARY <= m.end() - m.start() < MIN_RUN and not any(
+                    start < m.end() and m.start() < end for start, _, end, _ in shapes
+                ):
                     values.append({"value": m.group(), "is_random": False})
             out.append(values)
         return pa.array(
