@@ -47,7 +47,8 @@ def admit_questions(
         left = first.withColumn("__left", F.lit(limits.max_questions))
     else:
         left = first.join(used, "session_id", "left").withColumn(
-            "__left", F.lit(limits.max_questions) - F.coalesce("used", F.lit(0))
+            "__left",
+            F.greatest(F.lit(0), F.lit(limits.max_questions) - F.coalesce("used", F.lit(0))),
         )
     fits = F.col("__rn") <= F.col("__left")
     # A session is capped once its remaining allowance is fully taken.

@@ -83,11 +83,11 @@ def below_threshold(cases: DataFrame, judged: DataFrame, threshold: float) -> Da
 
 
 def ordered_key_digest(selected: DataFrame, *, block: int = 10_000) -> DataFrame:
-    """Digest over the ordered case keys, combined from digests of ordered blocks.
+    """Digest over the ordered case keys: the SHA-256 of the list of its blocks' digests.
 
-    Keys are hashed in blocks of consecutive case ordinals and the block
-    digests are hashed in order, so no task holds the whole key list.  Up to
-    one block the value is the SHA-256 of the JSON key list.
+    A block is the compact JSON list of ``block`` consecutive keys in case order, and its
+    digest the SHA-256 of that, so no task holds the whole key list.  One rule holds for
+    every size; an empty selection is the digest of the empty list.
     """
     key = F.concat(F.col("paper_id"), F.lit("/"), F.col("question_id"))
     ranked = ordered.dense_rank_along(
@@ -103,11 +103,9 @@ def ordered_key_digest(selected: DataFrame, *, block: int = 10_000) -> DataFrame
     joined = F.transform(
         F.array_sort(F.collect_list(F.struct("__blk", "__d"))), lambda x: x["__d"]
     )
-    return blocks.agg(F.sum("__n").alias("selected_case_count"), joined.alias("__ds")).select(
-        "selected_case_count",
-        F.when(F.size("__ds") == 1, F.col("__ds")[0])
-        .otherwise(digest.sha256_list(F.col("__ds")))
-        .alias("ordered_case_keys_sha256"),
+    return blocks.agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("selected_case_count"),
+        digest.sha256_list(joined).alias("ordered_case_key_blocks_sha256"),
     )
 
 

@@ -44,9 +44,12 @@ SCHEMA_CODES = (
     "schema_output_validation_failed",
 )
 
+# Messages of failed cases and scores.
 GENERATION_FAILED = (
     "Generation failed, so semantic correctness is zero without invoking the judge."
 )
+OUT_OF_RANGE = "DeepEval returned out-of-range score "
+NO_REFERENCE_RESULTS = "The case has no reference results."
 
 
 def reference_results(outputs: DataFrame, threshold: float) -> DataFrame:
@@ -58,7 +61,7 @@ def reference_results(outputs: DataFrame, threshold: float) -> DataFrame:
     failed = F.col("error_type").isNotNull()
     bad = failed | out_of_range
     message = F.when(failed, F.col("error_message")).otherwise(
-        F.concat(F.lit("DeepEval returned out-of-range score "), F.col("score").cast("string"), F.lit("."))
+        F.concat(F.lit(OUT_OF_RANGE), F.col("score").cast("string"), F.lit("."))
     )
     rest = [c for c in outputs.columns if c not in ("score", "reason", "error_type", "error_message")]
     return outputs.select(
@@ -75,8 +78,8 @@ def reference_results(outputs: DataFrame, threshold: float) -> DataFrame:
 def resolve_cases(
     cases: DataFrame, results: DataFrame, keys: Sequence[str], threshold: float
 ) -> DataFrame:
-    """Case score: 0 after a generation failure, NULL if any reference failed,
-    else the best reference (the first wins ties).
+    """Case score: 0 after a generation failure, NULL if any reference failed or
+    there is none, else the best reference (the first wins ties).
 
     ``cases``: keys, generation_status; ``results``: keys, reference_index,
     annotation_id, reference_answer, answer_type and :func:`reference_results`.
@@ -99,7 +102,8 @@ def resolve_cases(
     )
     joined = cases.join(per_case, list(keys), "left")
     broken = F.col("generation_status") != "success"
-    partial = ~broken & (F.col("failed_references") > 0)
+    unjudged = F.col("reference_count").isNull()
+    partial = ~broken & (unjudged | (F.col("failed_references") > 0))
     good = ~broken & ~partial
     won = lambda field: F.when(good, F.col(f"__w.{field}"))
     return joined.select(
@@ -112,7 +116,9 @@ def resolve_cases(
         won("annotation_id").alias("matched_annotation_id"),
         won("reference_answer").alias("matched_reference"),
         won("answer_type").alias("matched_answer_type"),
-        F.when(partial, F.col("__error.error_message")).alias("error_message"),
+        F.when(partial, F.when(unjudged, NO_REFERENCE_RESULTS).otherwise(F.col("__error.error_message"))).alias(
+            "error_message"
+        ),
         F.when(broken, 0).otherwise(F.coalesce("successful_references", F.lit(0))).alias("successful_references"),
         F.when(broken, 0).otherwise(F.coalesce("failed_references", F.lit(0))).alias("failed_references"),
         F.coalesce("reference_count", F.lit(0)).alias("reference_count"),

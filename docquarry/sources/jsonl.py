@@ -9,25 +9,52 @@ from pyspark.sql import types as T
 CORRUPT = "_corrupt"
 
 
-def read_strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Blank lines are skipped; a malformed line fails the job."""
+def _parsed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``value`` and ``__row`` of every line that is not blank.
+
+    ``__row`` has the schema's fields and ``_corrupt``: the line itself where it is not one
+    object of the schema.  A line that holds an array of objects is not.
+    """
+    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": CORRUPT,
+        "allowNonNumericNumbers": "false",
+    }
+    row = F.from_json("value", with_corrupt, options)
+    line = F.regexp_replace("value", r"^\s+", "")
+    bad = ~line.startswith("{") | row[CORRUPT].isNotNull() | row.isNull()
     return (
-        spark.read.schema(schema)
-        .option("mode", "FAILFAST")
-        .option("allowNonNumericNumbers", "false")
-        .json(path)
+        spark.read.text(path)
+        .filter(line != "")
+        .select(
+            "value",
+            F.struct(
+                *[F.when(~bad, row[f.name]).alias(f.name) for f in schema.fields],
+                F.when(bad, F.col("value")).alias(CORRUPT),
+            ).alias("__row"),
+        )
     )
 
 
-def read_lenient(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All lines; ``_corrupt`` holds the text of the malformed ones."""
-    return (
-        spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("allowNonNumericNumbers", "false")
-        .json(path)
+def read_strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Blank lines are skipped; a malformed line fails the job, which names file and line."""
+    parsed = _parsed(spark, path, schema)
+    message = F.concat(
+        F.lit("Malformed line in "),
+        F.col("_metadata.file_path"),
+        F.lit(": "),
+        F.substring("value", 1, 200),
+    )
+    good = F.when(F.col(f"__row.{CORRUPT}").isNull(), True).otherwise(
+        F.raise_error(message).cast("boolean")
     )
+    return parsed.filter(good).select(*[F.col(f"__row.{f.name}").alias(f.name) for f in schema.fields])
+
+
+def read_lenient(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All lines that are not blank; ``_corrupt`` holds the text of the malformed ones."""
+    return _parsed(spark, path, schema).select("__row.*")
 
 
 def well_formed(lines: DataFrame) -> DataFrame:
@@ -39,22 +66,15 @@ def malformed_count(lines: DataFrame) -> DataFrame:
 
 
 def malformed_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """(file, block_start, line) of lines that are not objects of this schema."""
-    parsed = F.from_json(
-        "value",
-        T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]),
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
-    )
+    """(file, block_start, line) of the lines that :func:`read_lenient` marks."""
     return (
-        spark.read.text(path)
+        _parsed(spark, path, schema)
+        .filter(F.col(f"__row.{CORRUPT}").isNotNull())
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block_start"),
-            "value",
-            parsed[CORRUPT].alias("__bad"),
+            F.col("value").alias("line"),
         )
-        .filter((F.trim("value") != "") & F.col("__bad").isNotNull())
-        .select("file", "block_start", F.col("value").alias("line"))
     )
 
 

@@ -290,10 +290,32 @@ def test_cases_in_dataset_order(spark, rows):
     import hashlib
     import json
 
-    keys = json.dumps([f"{p}/q{i}" for p in "ab" for i in range(3)], separators=(",", ":"))
-    got = dataset.ordered_key_digest(cases).first()
-    assert tuple(got) == (6, hashlib.sha256(keys.encode()).hexdigest())
-    assert dataset.ordered_key_digest(cases, block=4).first()["selected_case_count"] == 6
+    def blocks(keys, size):
+        digests = [
+            hashlib.sha256(json.dumps(keys[i : i + size], separators=(",", ":")).encode()).hexdigest()
+            for i in range(0, len(keys), size)
+        ]
+        return len(keys), hashlib.sha256(json.dumps(digests, separators=(",", ":")).encode()).hexdigest()
+
+    keys = [f"{p}/q{i}" for p in "ab" for i in range(3)]
+    for size in (4, 6, 7):
+        assert tuple(dataset.ordered_key_digest(cases, block=size).first()) == blocks(keys, size)
+    assert tuple(dataset.ordered_key_digest(cases.limit(0)).first()) == blocks([], 1)
+    for n in (10_000, 10_001):
+        many = spark.range(n).selectExpr("'p' AS paper_id", "concat('q', id) AS question_id", "id AS case_ordinal")
+        assert tuple(dataset.ordered_key_digest(many).first()) == blocks([f"p/q{i}" for i in range(n)], 10_000)
+
+
+def test_a_case_without_reference_results_is_a_judge_error(spark):
+    cases = spark.createDataFrame([("c", "success"), ("d", "error")], "case_id string, generation_status string")
+    none = spark.createDataFrame(
+        [],
+        "case_id string, reference_index int, annotation_id string, reference_answer string, answer_type string,"
+        " status string, semantic_score double, judge_reason string, error_type string, error_message string",
+    )
+    got = {r["case_id"]: r for r in semantic.resolve_cases(cases, none, ["case_id"], 0.5).collect()}
+    assert got["c"]["status"] == "judge_error" and got["c"]["error_message"] == semantic.NO_REFERENCE_RESULTS
+    assert got["d"]["status"] == "generation_error" and got["d"]["semantic_score"] == 0.0
 
 
 def test_request_record(spark):

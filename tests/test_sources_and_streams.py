@@ -26,6 +26,11 @@ def test_lenient_and_strict_lines(spark, mixed, rows, tmp_path):
     assert jsonl.malformed_lines(spark, mixed, LINE).count() == 2
     with pytest.raises(Exception):
         jsonl.read_strict(spark, mixed, LINE).collect()
+    array = tmp_path / "array.jsonl"
+    array.write_text('[{"a": 2, "b": "x"}, {"a": 3, "b": "y"}]\n')
+    with pytest.raises(Exception, match="array.jsonl"):
+        jsonl.read_strict(spark, str(array), LINE).collect()
+    assert [r["_corrupt"] for r in jsonl.read_lenient(spark, str(array), LINE).collect()] == [array.read_text().strip()]
     good = tmp_path / "good.jsonl"
     good.write_text('{"a": 1, "b": "x"}\n\n{"a": 2, "b": "y"}\n')
     ordered = jsonl.with_line_order(jsonl.read_strict(spark, str(good), LINE)).orderBy("line_order")

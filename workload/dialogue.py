@@ -363,6 +363,8 @@ def provider_answer_acceptance(spark, sf):
 _SESSIONS = """
 SELECT user_id AS session_id, ts, event_id, CASE event_type WHEN 'error' THEN ' '
   WHEN 'signup' THEN repeat(props, 300) ELSE props END AS question FROM {events}"""
+# Allowances spent earlier, some beyond today's limit.
+_SPENT = "SELECT DISTINCT user_id AS session_id, user_id % 8 AS used FROM {events} WHERE user_id % 3 > 0"
 
 
 @R.add(
@@ -370,11 +372,13 @@ SELECT user_id AS session_id, ts, event_id, CASE event_type WHEN 'error' THEN '
     f"""WITH s AS (SELECT *, CASE WHEN trim(question) = '' THEN 'noop' WHEN length(trim(question)) > 2000 THEN 'too_long' ELSE 'valid' END AS state
       FROM ({plain(_SESSIONS)}))
     SELECT session_id, event_id, CASE WHEN state <> 'valid' THEN state
-      WHEN row_number() OVER (PARTITION BY session_id, state ORDER BY ts, event_id) <= 5 THEN 'admitted' ELSE 'over_limit' END AS admission FROM s""",
+      WHEN row_number() OVER (PARTITION BY session_id, state ORDER BY ts, event_id) + coalesce(used, 0) <= 5 THEN 'admitted'
+      ELSE 'over_limit' END AS admission FROM s LEFT JOIN ({plain(_SPENT)}) USING (session_id)""",
 )
 def question_admission(spark, sf):
     asked = derive(spark, sf, _SESSIONS)
-    return admission.admit_questions(asked, ["ts", "event_id"], AdmissionLimits()).select(
+    spent = derive(spark, sf, _SPENT)
+    return admission.admit_questions(asked, ["ts", "event_id"], AdmissionLimits(), spent).select(
         "session_id", "event_id", "admission"
     )
 

@@ -472,7 +472,7 @@ def answer_f1_metrics(spark, sf):
 
 # --- semantic judgements ---------------------------------------------------------------------------
 
-# One to three judged references per document, with recorded transport counters.
+# Up to three judged references per document, with recorded transport counters.
 SEMANTIC_CASES = """
 SELECT source AS paper_id, concat('q', CAST(doc_id AS STRING)) AS question_id, doc_id AS case_ordinal,
   CASE doc_id % 13 WHEN 3 THEN 'error' ELSE 'success' END AS generation_status FROM {documents}"""
@@ -492,7 +492,7 @@ SELECT d.source AS paper_id, concat('q', CAST(d.doc_id AS STRING)) AS question_i
   CASE WHEN (d.doc_id + s.k) % 3 = 2 THEN concat('cat', CAST(s.k AS STRING)) END AS final_provider_error_category,
   CASE WHEN (d.doc_id + s.k) % 3 = 2 THEN CAST(429 AS INT) END AS final_http_status, CAST(NULL AS STRING) AS final_provider_error_type,
   CAST(NULL AS STRING) AS final_provider_error_code, CASE WHEN (d.doc_id + s.k) % 3 = 2 THEN 'retries_exhausted' END AS final_retry_decision
-FROM {documents} d JOIN (VALUES (0), (1), (2)) AS s(k) ON s.k <= d.doc_id % 3"""
+FROM {documents} d JOIN (VALUES (0), (1), (2)) AS s(k) ON s.k <= d.doc_id % 3 AND d.doc_id % 29 <> 7"""
 _RESULT_SQL = f"""outputs AS ({plain(_OUTPUTS)}),
 result AS (SELECT *, error_type IS NULL AND score BETWEEN 0 AND 1 AS good FROM outputs),
 scase AS ({plain(SEMANTIC_CASES)}),
@@ -500,14 +500,16 @@ sagg AS (SELECT paper_id, question_id, count(*) AS reference_count, count(*) FIL
   arg_min(CASE WHEN error_type IS NOT NULL THEN error_message ELSE 'DeepEval returned out-of-range score 1.5.' END, reference_index) FILTER (NOT good) AS error_message,
   max(score) FILTER (good) AS top FROM result GROUP BY ALL),
 win AS (SELECT r.paper_id, r.question_id, min(reference_index) AS wi FROM result r JOIN sagg a USING (paper_id, question_id) WHERE good AND score = top GROUP BY ALL),
-judged AS (SELECT c.*, CASE WHEN generation_status <> 'success' THEN 'generation_error' WHEN bads > 0 THEN 'judge_error' ELSE 'success' END AS status,
+judged AS (SELECT c.*, CASE WHEN generation_status <> 'success' THEN 'generation_error' WHEN bads > 0 OR reference_count IS NULL THEN 'judge_error' ELSE 'success' END AS status,
   CASE WHEN generation_status <> 'success' THEN 0.0 WHEN bads = 0 THEN top END::DOUBLE AS semantic_score,
   CASE WHEN generation_status <> 'success' THEN false WHEN bads = 0 THEN top >= {THRESHOLD} END AS passed,
   CASE WHEN generation_status = 'success' AND bads = 0 THEN wi END AS matched_reference_index,
   CASE WHEN generation_status = 'success' AND bads = 0 THEN (SELECT any_value(answer_type) FROM result r WHERE r.paper_id = c.paper_id AND r.question_id = c.question_id AND r.reference_index = wi) END AS matched_answer_type,
-  CASE WHEN generation_status = 'success' AND bads > 0 THEN a.error_message END AS error_message,
-  CASE WHEN generation_status = 'success' THEN oks ELSE 0 END AS successful_references, CASE WHEN generation_status = 'success' THEN bads ELSE 0 END AS failed_references, reference_count
-  FROM scase c JOIN sagg a USING (paper_id, question_id) LEFT JOIN win USING (paper_id, question_id))"""
+  CASE WHEN generation_status <> 'success' THEN NULL WHEN reference_count IS NULL THEN 'The case has no reference results.'
+    WHEN bads > 0 THEN a.error_message END AS error_message,
+  CASE WHEN generation_status = 'success' THEN coalesce(oks, 0) ELSE 0 END AS successful_references,
+  CASE WHEN generation_status = 'success' THEN coalesce(bads, 0) ELSE 0 END AS failed_references, coalesce(reference_count, 0) AS reference_count
+  FROM scase c LEFT JOIN sagg a USING (paper_id, question_id) LEFT JOIN win USING (paper_id, question_id))"""
 
 
 def _results(spark, sf):
@@ -556,7 +558,8 @@ def below_threshold_cases(spark, sf):
     f"""WITH {_RESULT_SQL}, f AS (SELECT * FROM judged WHERE semantic_score < {THRESHOLD}),
     k AS (SELECT floor((row_number() OVER (ORDER BY case_ordinal) - 1) / 10000) AS b, case_ordinal, concat(paper_id, '/', question_id) AS k FROM f),
     d AS (SELECT b, count(*) AS n, sha256(CAST(to_json(list(k ORDER BY case_ordinal)) AS STRING)) AS d FROM k GROUP BY b)
-    SELECT CAST(sum(n) AS BIGINT) AS selected_case_count, CASE WHEN count(*) = 1 THEN any_value(d) ELSE sha256(CAST(to_json(list(d ORDER BY b)) AS STRING)) END AS ordered_case_keys_sha256 FROM d""",
+    SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS selected_case_count,
+      sha256(CAST(to_json(coalesce(list(d ORDER BY b), [])) AS STRING)) AS ordered_case_key_blocks_sha256 FROM d""",
 )
 def selection_digest(spark, sf):
     return dataset.ordered_key_digest(

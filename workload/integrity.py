@@ -123,7 +123,7 @@ def transport_rules(spark, sf):
 
 
 def _altered_scores(spark, sf):
-    """Recorded case scores: every 11th has a raised score, every 17th another attempt count."""
+    """Recorded scores of the cases with references: every 11th has a raised score, every 17th another attempt count."""
     results = ev._results(spark, sf)
     judged = ev._judged(spark, sf)
     sums = semantic.case_transport(results, KEYS)
@@ -138,7 +138,7 @@ def _altered_scores(spark, sf):
 
 @R.add(
     "reference_evaluation_rules",
-    f"""WITH {ev._RESULT_SQL}, j AS (SELECT *, CAST(substr(question_id, 2) AS BIGINT) AS n FROM judged), o AS (SELECT *, CAST(substr(question_id, 2) AS BIGINT) AS n FROM result)
+    f"""WITH {ev._RESULT_SQL}, j AS (SELECT *, CAST(substr(question_id, 2) AS BIGINT) AS n FROM judged WHERE reference_count > 0), o AS (SELECT *, CAST(substr(question_id, 2) AS BIGINT) AS n FROM result)
     SELECT 'wrong_semantic_score' AS rule, {KEY_SQL} AS key FROM j WHERE n % 11 = 0 AND semantic_score IS NOT NULL
     UNION ALL SELECT 'wrong_matched_reference_index', {KEY_SQL} FROM j WHERE n % 19 = 0
     UNION ALL SELECT 'unreconciled_provider_attempt_count', {KEY_SQL} FROM j WHERE n % 17 = 0 AND generation_status = 'success'
@@ -284,7 +284,7 @@ def generation_manifest_rules(spark, sf):
     )
     digests = ev.selection_digest(spark, sf).select(
         F.lit("0" * 64).alias("recorded_digest"),
-        F.col("ordered_case_keys_sha256").alias("recomputed_digest"),
+        F.col("ordered_case_key_blocks_sha256").alias("recomputed_digest"),
     )
     return integrity.generation_manifest(doubled, integrity.as_metrics(truth), digests)
 

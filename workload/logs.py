@@ -526,7 +526,7 @@ _LINE = T.StructType(
 
 
 def _write_lines(spark, sf, *, damaged: bool) -> str:
-    """Events as JSON lines; optionally purchases are cut short and views carry a wrong type."""
+    """Events as JSON lines; optionally purchases are cut short, views carry a wrong type and errors are arrays."""
     path = scratch_dir(spark, "lines")
     events = table(spark, sf, "events")
     line = F.to_json(F.struct("event_id", "event_type", "value"))
@@ -535,6 +535,7 @@ def _write_lines(spark, sf, *, damaged: bool) -> str:
             F.when(F.col("event_type") == "purchase", F.substring(line, 1, 12))
             .when(F.col("event_type") == "view", F.regexp_replace(line, '"value":[0-9.]+', '"value":true'))
             .when(F.col("event_type") == "signup", F.concat(line, F.lit("\n  ")))
+            .when(F.col("event_type") == "error", F.concat(F.lit("["), line, F.lit(","), line, F.lit("]")))
             .otherwise(line)
         )
     events.select(line.alias("value")).write.text(path)
@@ -548,7 +549,7 @@ def json_lines_strict(spark, sf):
 
 @R.add(
     "json_lines_lenient",
-    "SELECT event_id, event_type, value FROM events WHERE event_type NOT IN ('purchase', 'view')",
+    "SELECT event_id, event_type, value FROM events WHERE event_type NOT IN ('purchase', 'view', 'error')",
 )
 def json_lines_lenient(spark, sf):
     return jsonl.well_formed(jsonl.read_lenient(spark, _write_lines(spark, sf, damaged=True), _LINE))
@@ -556,7 +557,7 @@ def json_lines_lenient(spark, sf):
 
 @R.add(
     "json_lines_malformed",
-    "SELECT count(*) AS malformed_lines FROM events WHERE event_type IN ('purchase', 'view')",
+    "SELECT count(*) AS malformed_lines FROM events WHERE event_type IN ('purchase', 'view', 'error')",
 )
 def json_lines_malformed(spark, sf):
     lines = jsonl.malformed_lines(spark, _write_lines(spark, sf, damaged=True), _LINE)
