@@ -18,12 +18,14 @@ from docquarry.params import Bm25Params
 class LexicalIndex:
     """chunks(kb_id, doc_id, chunk_id, ordinal),
     postings(kb_id, doc_id, chunk_id, ordinal, dl, term, tf),
-    terms(kb_id, term, df, idf), stats(kb_id, n, avgdl)."""
+    terms(kb_id, term, df, idf), stats(kb_id, n, avgdl); ``texts``: the chunks with
+    their text, where the index was built from them and not read back."""
 
     chunks: DataFrame
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    texts: DataFrame | None = None
 
 
 def build_lexical_index(
@@ -31,10 +33,11 @@ def build_lexical_index(
 ) -> LexicalIndex:
     """``chunks``: kb_id, doc_id, chunk_id, ordinal, text.
 
-    The text is partitioned by chunk once.  Term counts are computed inside the
-    row, and the per-chunk score sums later reuse the same partitioning, so
-    postings themselves are never shuffled.  Chunks are small, so no key can be
-    hot.  Pass ``clustered`` when the table is already bucketed by chunk_id.
+    Only whoever needs ``postings`` (a saved index, all scores, a scope) has the text
+    partitioned by chunk: term counts are computed inside the row, and per-chunk
+    sums reuse the partitioning.  Ranked search without a scope scores ``texts`` in place.
+    Chunks are small, so no key can be hot.  Pass ``clustered`` when the table is already
+    bucketed by chunk_id.
     """
     facts = ["kb_id", "doc_id", "chunk_id", "ordinal"]
     spread = chunks if clustered else chunks.repartition("chunk_id")
@@ -72,7 +75,7 @@ def build_lexical_index(
         "df",
         F.when(F.col("raw_idf") < 0, F.col("__floor")).otherwise(F.col("raw_idf")).alias("idf"),
     )
-    return LexicalIndex(chunks.select(*facts), postings, terms, stats)
+    return LexicalIndex(chunks.select(*facts), postings, terms, stats, chunks.select(*facts, "text"))
 
 
 def write_lexical_index(index: LexicalIndex, path: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import text
 from docquarry.operators.index import LexicalIndex
+from docquarry.operators.inplace import best_in_place
 from docquarry.params import Bm25Params
 from docquarry.session import ensure_checkpoint_dir
 
@@ -161,8 +162,9 @@ def top_chunks(
 ) -> DataFrame:
     """(query_id, kb_id, doc_id, chunk_id, ordinal, score, bm25, rank) of the best N.
 
-    The rank filter is applied in every partition before rows move, so the
-    exchange carries at most N rows per question and partition.  ``bm25`` is
+    Without a scope the texts are scored where they are read; the exchange carries
+    at most N rows per question and task.  With a scope, or from a saved index,
+    the rank filter is applied in every partition before rows move.  ``bm25`` is
     min-max normalised over the kept rows; 1.0 when all are equal.
     """
     top_n = max(1, int(top_n))
@@ -170,8 +172,12 @@ def top_chunks(
     asked = questions.select("kb_id", "query_id", "question")
     ship = is_shippable(asked)
     weighted = weighted_terms(asked, index, ship=ship)
-    scored = in_scope(_sum_scores(weighted, index, params), scope).select(*columns)
-    kept = _best(scored, top_n).select(*columns)
+    if ship and scope is None and index.texts is not None:
+        # Each task keeps its best rows; the text is not moved.
+        scored = best_in_place(index.texts, weighted, top_n, params, SCORE_DIGITS)
+    else:
+        scored = in_scope(_sum_scores(weighted, index, params), scope)
+    kept = _best(scored.select(*columns), top_n).select(*columns)
     padding = zero_padding(asked, weighted, index, scope, top_n, params, ship=ship).withColumn(
         "score", F.lit(None).cast("double")
     )
