@@ -38,6 +38,18 @@ def domain_counts(
     return wide.select(*keys, F.inline(cells))
 
 
+def for_each(listed: DataFrame, counted: DataFrame, zeros: Sequence[str]) -> DataFrame:
+    """``counted`` for every listed key: absent ones have 0 in ``zeros`` and NULL elsewhere.
+
+    ``listed`` holds the key columns, few and distinct; keys that are not listed are left out.
+    """
+    keys = listed.columns
+    joined = listed.join(counted, keys, "left")
+    return joined.select(
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) if c in zeros else F.col(c) for c in counted.columns]
+    )
+
+
 def is_finite(value: Column) -> Column:
     """False for NULL, NaN and infinities."""
     return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))

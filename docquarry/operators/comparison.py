@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import redact, text
-from docquarry.functions.counts import domain_counts, is_finite
+from docquarry.functions.counts import domain_counts, for_each, is_finite
 from docquarry.functions.quantiles import summarise
 from docquarry.operators.checks import GROUNDEDNESS_LABELS, RELEVANCE_LABELS
 
@@ -72,8 +72,15 @@ def result_rows(results: DataFrame) -> DataFrame:
     )
 
 
-def per_model(results: DataFrame, selected_count: Column) -> DataFrame:
-    """Coverage, success and validity counts and rates per model."""
+LATENCY_PARTS = ("relevance", "groundedness", "combined")
+
+
+def _models(results: DataFrame, models: Sequence[str]) -> DataFrame:
+    return results.sparkSession.createDataFrame([(m,) for m in models], "model_id string")
+
+
+def per_model(results: DataFrame, selected_count: Column, models: Sequence[str]) -> DataFrame:
+    """Coverage, success and validity counts and rates of every listed model, 0 without results."""
     rated = F.coalesce(F.col("relevance_label").isin(*RELEVANCE_LABELS), F.lit(False)) & F.col(
         "relevance_score"
     ).isNotNull()
@@ -86,7 +93,8 @@ def per_model(results: DataFrame, selected_count: Column) -> DataFrame:
         F.count_if(grounded).alias("groundedness_valid_result_count"),
     )
     rate = lambda c: F.coalesce(F.try_divide(F.col(c), selected_count), F.lit(0.0))
-    return counted.select(
+    counts = [c for c in counted.columns if c != "model_id"]
+    return for_each(_models(results, models), counted, counts).select(
         "*",
         rate("result_count").alias("result_coverage"),
         rate("relevance_valid_result_count").alias("relevance_valid_result_rate"),
@@ -95,16 +103,22 @@ def per_model(results: DataFrame, selected_count: Column) -> DataFrame:
 
 
 def label_distribution(
-    results: DataFrame, column: str, labels: Sequence[str], selected_count: int | Column
+    results: DataFrame,
+    column: str,
+    labels: Sequence[str],
+    selected_count: int | Column,
+    models: Sequence[str],
 ) -> DataFrame:
-    """(model_id, label, n) incl. 'unknown' (outside the set) and 'missing'."""
+    """(model_id, label, n) of every listed model, incl. 'unknown' (outside the set) and 'missing'."""
     expected = selected_count if isinstance(selected_count, Column) else F.lit(selected_count)
-    known = domain_counts(
+    listed = _models(results, models)
+    cells = listed.select("model_id", F.explode(F.array(*[F.lit(x) for x in (*labels, "unknown")])).alias("label"))
+    counted = domain_counts(
         results, F.col(column), labels, keys=["model_id"], other="unknown"
     )
-    missing = results.groupBy("model_id").agg(
-        F.greatest(F.lit(0).cast("long"), expected - F.count("*")).alias("n")
-    )
+    known = for_each(cells, counted, ["n"])
+    sizes = for_each(listed, results.groupBy("model_id").agg(F.count("*").alias("n")), ["n"])
+    missing = sizes.withColumn("n", F.greatest(F.lit(0).cast("long"), expected - F.col("n")))
     return known.unionByName(missing.select("model_id", F.lit("missing").alias("label"), "n"))
 
 
@@ -152,8 +166,11 @@ def combined_latency(relevance: Column, groundedness: Column) -> Column:
     )
 
 
-def latency_summaries(results: DataFrame) -> DataFrame:
-    """(model_id, part, n, mean, median, maximum) over finite values >= 0."""
+def latency_summaries(results: DataFrame, models: Sequence[str]) -> DataFrame:
+    """(model_id, part, n, mean, median, maximum) over finite values >= 0.
+
+    Every listed model has its three parts; n is 0 and the rest NULL without values.
+    """
     r, g = F.col("relevance_latency"), F.col("groundedness_latency")
     cells = F.array(
         F.struct(F.lit("relevance").alias("part"), r.alias("value")),
@@ -163,7 +180,10 @@ def latency_summaries(results: DataFrame) -> DataFrame:
     usable = results.select("model_id", F.inline(cells)).filter(
         is_finite(F.col("value")) & (F.col("value") >= 0)
     )
-    return summarise(usable, ["model_id", "part"], "value").drop("p95")
+    cells = _models(results, models).select(
+        "model_id", F.explode(F.array(*[F.lit(p) for p in LATENCY_PARTS])).alias("part")
+    )
+    return for_each(cells, summarise(usable, ["model_id", "part"], "value").drop("p95"), ["n"])
 
 
 def run_status(results: DataFrame, expected: Column) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import quantiles, redact, text
-from docquarry.functions.counts import domain_counts, is_finite
+from docquarry.functions.counts import domain_counts, for_each, is_finite
 from docquarry.operators.checks import GROUNDEDNESS_LABELS, RELEVANCE_LABELS
 
 # Issue names and their severity, worst first.
@@ -118,9 +120,15 @@ def invalid_series_values(series: DataFrame) -> DataFrame:
     return series.filter(~is_finite(F.col("value")) | (F.col("value") < 0))
 
 
-def series_summary(series: DataFrame) -> DataFrame:
-    """count, mean, median, nearest-rank p95 and maximum of each series."""
-    return quantiles.summarise(series, ["series"], "value")
+def series_summary(series: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """count, mean, median, nearest-rank p95 and maximum of each named series.
+
+    ``names``: the ten reported ones by default.  A series without values has a count of 0
+    and NULL elsewhere.
+    """
+    every = names or (ANSWER_SERIES, *[name for name, _ in LOG_SERIES], JUDGE_SERIES)
+    listed = series.sparkSession.createDataFrame([(n,) for n in every], "series string")
+    return for_each(listed, quantiles.summarise(series, ["series"], "value"), ["n"])
 
 
 def token_usage(logs: DataFrame) -> DataFrame:

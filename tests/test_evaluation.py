@@ -256,8 +256,13 @@ def test_comparison(spark, rows):
     assert rows(comparison.disagreement_cases(pairs, pairs, keys=KEYS)) == [("p", "2")]
     none = comparison.agreement(pairs.limit(0)).first()
     assert none["agreement_rate"] is None
-    dist = {(r["model_id"], r["label"]): r["n"] for r in comparison.label_distribution(df, "l", checks.RELEVANCE_LABELS, 4).collect()}
+    dist = {(r["model_id"], r["label"]): r["n"] for r in comparison.label_distribution(df, "l", checks.RELEVANCE_LABELS, 4, ("A", "B", "C")).collect()}
     assert dist[("A", "unknown")] == 1 and dist[("B", "missing")] == 1 and dist[("A", "missing")] == 0
+    assert dist[("C", "missing")] == 4 and dist[("C", "high")] == 0
+    timed = df.select("*", *[F.lit(None).cast("double").alias(f"{p}_latency") for p in ("relevance", "groundedness")])
+    assert rows(comparison.latency_summaries(timed, ("C",)), "model_id", "part", "n", "median") == sorted(
+        [("C", p, 0, None) for p in comparison.LATENCY_PARTS], key=repr
+    )
 
 
 def test_triage_and_readiness(spark):

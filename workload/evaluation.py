@@ -282,7 +282,7 @@ _GOLD = """
 SELECT d.source AS paper_id, concat('q', CAST(d.doc_id AS STRING)) AS question_id, CAST(s.k AS INT) AS annotation_index,
   concat('a', CAST(s.k AS STRING)) AS annotation_id, concat('w', CAST(b.item_id AS STRING)) AS worker_id, b.text, CAST((d.doc_id % 7 + s.k) % 7 AS INT) AS form
 FROM {documents} d JOIN (VALUES (0), (1), (2)) AS s(k) ON s.k < 3
-JOIN {benchmark} b ON b.item_id = (d.doc_id * 3 + s.k) % 40"""
+JOIN {benchmark} b ON b.item_id = (d.doc_id * 3 + s.k) % (SELECT count(*) FROM {benchmark})"""
 
 
 def _bundles(spark, sf):
@@ -761,6 +761,10 @@ rows_ AS (SELECT paper_id, question_id, model_id, relevance_label, coalesce(grou
   CASE WHEN rp IS NULL AND gp IS NULL THEN 'success' ELSE 'error' END AS status FROM problem)"""
 
 
+# The last one has no results.
+MODELS = ("A", "B", "silent")
+
+
 def _rows(spark, sf):
     return comparison.result_rows(derive(spark, sf, _RAW_RESULTS))
 
@@ -783,24 +787,28 @@ def checker_results(spark, sf):
     "checker_comparison",
     f"""WITH {_ROWS_SQL}, c AS (SELECT model_id, count(*) AS result_count, count(*) FILTER (status = 'success') AS successful_result_count,
       count(*) FILTER (status <> 'success') AS error_result_count, count(*) FILTER (relevance_label IN ('high', 'medium', 'low') AND relevance_score IS NOT NULL) AS relevance_valid_result_count,
-      count(*) FILTER (groundedness_label <> 'unknown') AS groundedness_valid_result_count FROM rows_ GROUP BY model_id)
+      count(*) FILTER (groundedness_label <> 'unknown') AS groundedness_valid_result_count FROM rows_ GROUP BY model_id),
+    f AS (SELECT model_id, coalesce(result_count, 0) AS result_count, coalesce(successful_result_count, 0) AS successful_result_count,
+      coalesce(error_result_count, 0) AS error_result_count, coalesce(relevance_valid_result_count, 0) AS relevance_valid_result_count,
+      coalesce(groundedness_valid_result_count, 0) AS groundedness_valid_result_count
+      FROM (VALUES ('A'), ('B'), ('silent')) m(model_id) LEFT JOIN c USING (model_id))
     SELECT *, round(result_count / (SELECT count(*) FROM documents), 9) AS result_coverage, round(relevance_valid_result_count / (SELECT count(*) FROM documents), 9) AS relevance_valid_result_rate,
-      round(groundedness_valid_result_count / (SELECT count(*) FROM documents), 9) AS groundedness_valid_result_rate FROM c""",
+      round(groundedness_valid_result_count / (SELECT count(*) FROM documents), 9) AS groundedness_valid_result_rate FROM f""",
 )
 def checker_comparison(spark, sf):
-    m = comparison.per_model(_rows(spark, sf), _selected(spark, sf))
+    m = comparison.per_model(_rows(spark, sf), _selected(spark, sf), MODELS)
     return m.select(*[F.round(c, 9).alias(c) if c.endswith(("coverage", "rate")) else F.col(c) for c in m.columns])
 
 
 @R.add(
     "checker_label_distribution",
-    f"""WITH {_ROWS_SQL}, m AS (SELECT DISTINCT model_id FROM rows_), d AS (SELECT unnest(['high', 'medium', 'low', 'unknown', 'missing']) AS label)
+    f"""WITH {_ROWS_SQL}, m AS (SELECT model_id FROM (VALUES ('A'), ('B'), ('silent')) v(model_id)), d AS (SELECT unnest(['high', 'medium', 'low', 'unknown', 'missing']) AS label)
     SELECT m.model_id, d.label, CASE WHEN d.label = 'missing' THEN greatest(0, (SELECT count(*) FROM documents) - (SELECT count(*) FROM rows_ r WHERE r.model_id = m.model_id))
       ELSE (SELECT count(*) FROM rows_ r WHERE r.model_id = m.model_id AND CASE WHEN r.relevance_label IN ('high', 'medium', 'low') THEN r.relevance_label ELSE 'unknown' END = d.label) END AS n FROM m, d""",
 )
 def checker_label_distribution(spark, sf):
     return comparison.label_distribution(
-        _rows(spark, sf), "relevance_label", RELEVANCE_LABELS, _selected(spark, sf)
+        _rows(spark, sf), "relevance_label", RELEVANCE_LABELS, _selected(spark, sf), MODELS
     )
 
 
@@ -847,10 +855,12 @@ def checker_disagreement_cases(spark, sf):
     "checker_latency",
     f"""WITH {_ROWS_SQL}, l AS (SELECT model_id, 'relevance' AS part, relevance_latency AS v FROM rows_ UNION ALL SELECT model_id, 'groundedness', groundedness_latency FROM rows_
       UNION ALL SELECT model_id, 'combined', coalesce(relevance_latency, 0) + coalesce(groundedness_latency, 0) FROM rows_ WHERE coalesce(relevance_latency, groundedness_latency) IS NOT NULL)
-    SELECT model_id, part, count(*) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(max(v), 6) AS maximum FROM l WHERE v >= 0 GROUP BY ALL""",
+    SELECT model_id, part, count(v) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(max(v), 6) AS maximum
+    FROM (VALUES ('A'), ('B'), ('silent')) m(model_id) CROSS JOIN (VALUES ('relevance'), ('groundedness'), ('combined')) p(part)
+    LEFT JOIN (SELECT * FROM l WHERE v >= 0) USING (model_id, part) GROUP BY ALL""",
 )
 def checker_latency(spark, sf):
-    s = comparison.latency_summaries(_rows(spark, sf))
+    s = comparison.latency_summaries(_rows(spark, sf), MODELS)
     return s.select("model_id", "part", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "maximum")])
 
 

@@ -450,6 +450,12 @@ series AS (SELECT 'End-to-end answer' AS series, CAST(elapsed_seconds AS DOUBLE)
   UNION ALL SELECT 'Groundedness checker', total_seconds / 4 FROM log)"""
 
 
+_SERIES_NAMES = (
+    "'End-to-end answer', 'Total retrieval', 'Dense retrieval', 'BM25', 'Fusion', 'Reranking', 'Generator',"
+    " 'Relevance checker', 'Groundedness checker', 'Semantic judge'"
+)
+
+
 def _series(spark, sf):
     return report.all_series(
         derive(spark, sf, _ANSWER_TIMES), event_logs(spark, sf), derive(spark, sf, _JUDGE_TIMES)
@@ -469,7 +475,8 @@ def latency_series(spark, sf):
 @R.add(
     "latency_summary",
     f"""WITH {_SERIES_SQL} SELECT series, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
-      round(quantile_disc(value, 0.95), 6) AS p95, round(max(value), 6) AS maximum FROM series WHERE value IS NOT NULL GROUP BY series""",
+      round(quantile_disc(value, 0.95), 6) AS p95, round(max(value), 6) AS maximum
+    FROM (SELECT unnest([{_SERIES_NAMES}]) AS series) LEFT JOIN series USING (series) GROUP BY series""",
 )
 def latency_summary(spark, sf):
     s = report.series_summary(_series(spark, sf))

@@ -397,8 +397,8 @@ SELECT b.item_id AS query_id, s.lang AS kb_id,
   CASE b.item_id % 4 WHEN 0 THEN 'all' WHEN 1 THEN 'selected' WHEN 2 THEN 'unheard-of' ELSE 'selected' END AS scope_mode,
   CASE b.item_id % 4 WHEN 1 THEN s.names WHEN 2 THEN s.names ELSE NULL END AS selected
 FROM {benchmark} b JOIN (
-  SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS k, @NAMES AS names FROM {documents} GROUP BY lang
-) s ON s.k = b.item_id % 3"""
+  SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS k, count(*) OVER () AS langs, @NAMES AS names FROM {documents} GROUP BY lang
+) s ON s.k = b.item_id % s.langs"""
 _KB_DOCS = "SELECT lang AS kb_id, CAST(doc_id AS STRING) AS doc_id, source AS file_name, doc_id AS doc_order FROM {documents}"
 
 
