@@ -39,6 +39,11 @@ CAUSES = (
     "connection",
     "other_failure",
 )
+# What names each cause in a failure text, in lower case.
+DAY_LIMIT_MARKS = ("tokens per day", "tpd")
+MINUTE_LIMIT_MARKS = ("tokens per minute", "tpm")
+TIMEOUT_MARKS = ("timeout", "timed out")
+CONNECTION_MARKS = ("connection", "connect error")
 _MALFORMED_MARKS = (
     "invalid context-score",
     "invalid context score",
@@ -79,11 +84,11 @@ def failure_cause(explanation: Column) -> Column:
     low = F.lower(F.coalesce(explanation, F.lit("")))
     limited = _mentions(low, "429")
     return (
-        F.when(limited & _mentions(low, "tokens per day", "tpd"), "rate_limit_tpd")
-        .when(limited & _mentions(low, "tokens per minute", "tpm"), "rate_limit_tpm")
+        F.when(limited & _mentions(low, *DAY_LIMIT_MARKS), "rate_limit_tpd")
+        .when(limited & _mentions(low, *MINUTE_LIMIT_MARKS), "rate_limit_tpm")
         .when(_mentions(low, *_MALFORMED_MARKS), "malformed_output")
-        .when(_mentions(low, "timeout", "timed out"), "timeout")
-        .when(_mentions(low, "connection", "connect error"), "connection")
+        .when(_mentions(low, *TIMEOUT_MARKS), "timeout")
+        .when(_mentions(low, *CONNECTION_MARKS), "connection")
         .otherwise("other_failure")
     )
 

@@ -11,6 +11,7 @@ from docquarry.functions import text
 
 RELEVANCE_LABELS = ("high", "medium", "low")
 GROUNDEDNESS_LABELS = ("grounded", "partially_grounded", "not_grounded")
+# The text and the length limit of refused checks.
 NO_CONTEXT = "No retrieved context was available."
 ERROR_LIMIT = 500
 

@@ -21,10 +21,7 @@ GROUNDEDNESS_DISPLAY = {
 RELEVANCE_DISPLAY_FALLBACK = "Low"
 GROUNDEDNESS_DISPLAY_FALLBACK = "Partially grounded"
 
-# Marks that an earlier layout put before the labels.
-EARLIER_MARKS = ("🟢 ", "🟡 ", "🔴 ", "⚪ ")
-EARLIER_SCOPE_MARK = "📚 "
-
+# Fixed value: the error of an answer without substance.
 EMPTY_ANSWER_ERROR = (
     "GenerationIntegrityError: The provider returned no substantive answer "
     "after diagnostic stripping."
@@ -96,32 +93,8 @@ def diagnostics_suffix(
     )
 
 
-def _suffix_pattern() -> str:
-    line = r"\r?\n"
-
-    def marked(labels: dict[str, str]) -> str:
-        return "|".join(f"(?:{m})?{d}" for m, d in zip(EARLIER_MARKS, labels.values()))
-
-    def bare(labels: dict[str, str]) -> str:
-        return "|".join(labels.values())
-
-    earlier = (
-        rf"Retrieval relevance: (?:{marked(RELEVANCE_DISPLAY)})[ \t]*"
-        rf"{line}Groundedness: (?:{marked(GROUNDEDNESS_DISPLAY)})[ \t]*"
-        rf"(?:{line}(?:{EARLIER_SCOPE_MARK})?Scope: (?:all indexed documents \([0-9]+\)"
-        r"|selected documents \([^\r\n]+\)))?"
-    )
-    current = (
-        rf"---[ \t]*{line}{line}\*\*Answer diagnostics\*\*[ \t]*{line}{line}"
-        rf"- \*\*Retrieval relevance:\*\* (?:{bare(RELEVANCE_DISPLAY)})[ \t]*"
-        rf"{line}- \*\*Groundedness:\*\* (?:{bare(GROUNDEDNESS_DISPLAY)})[ \t]*"
-        rf"(?:{line}- \*\*Scope:\*\* (?:All indexed documents \([0-9]+\)"
-        r"|Selected documents \([^\r\n]+\)))?"
-    )
-    return rf"{line}{line}(?:{earlier}|{current})[ \t\r\n]*\z"
-
-
-SUFFIX_PATTERN = _suffix_pattern()
+# Fixed value: a closing diagnostics block of the earlier or the present layout.
+SUFFIX_PATTERN = r"""\r?\n\r?\n(?:Retrieval relevance: (?:(?:🟢 )?High|(?:🟡 )?Medium|(?:🔴 )?Low|(?:⚪ )?Unknown)[ \t]*\r?\nGroundedness: (?:(?:🟢 )?Grounded|(?:🟡 )?Partially grounded|(?:🔴 )?Not grounded|(?:⚪ )?Unknown)[ \t]*(?:\r?\n(?:📚 )?Scope: (?:all indexed documents \([0-9]+\)|selected documents \([^\r\n]+\)))?|---[ \t]*\r?\n\r?\n\*\*Answer diagnostics\*\*[ \t]*\r?\n\r?\n- \*\*Retrieval relevance:\*\* (?:High|Medium|Low|Unknown)[ \t]*\r?\n- \*\*Groundedness:\*\* (?:Grounded|Partially grounded|Not grounded|Unknown)[ \t]*(?:\r?\n- \*\*Scope:\*\* (?:All indexed documents \([0-9]+\)|Selected documents \([^\r\n]+\)))?)[ \t\r\n]*\z"""
 
 
 def without_suffix(answer: Column) -> Column:

@@ -148,11 +148,13 @@ def nearest(
 
     ``questions``: kb_id, query_id, embedding; ``vectors``: kb_id, chunk_id,
     ordinal, embedding.  Both ways keep a local top-N per block before the
-    final ranking, so the shuffle is N rows per question and block.
+    final ranking, so the shuffle is N rows per question and block.  Rows without a
+    vector take no part on either side.
     """
     top_n = max(1, int(top_n))
-    first = questions.select(F.size("embedding").alias("d")).first()
-    width = first["d"] if first else 1
+    questions = questions.filter(F.col("embedding").isNotNull())
+    vectors = vectors.filter(F.col("embedding").isNotNull())
+    width = questions.agg(F.max(F.size("embedding"))).first()[0] or 1
     # A question costs its vector and its list of N; counting stops at the bound.
     bound = max(1, max_shipped_values // (max(1, width) + 3 * top_n))
     asked = questions.select("query_id").limit(bound + 1).count()

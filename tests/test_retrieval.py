@@ -270,3 +270,33 @@ def test_a_failing_row_does_not_fail_its_batch(spark):
     got = {r["id"]: (r["text"], r["status"], r["error"]) for r in modelstage.run_model(df, make, ["id"]).collect()}
     assert got[1][:2] == ("A", "success") and got[3][:2] == ("C", "success")
     assert got[2] == (None, "error", "RuntimeError: no")
+
+
+def test_rows_without_a_vector_take_no_part(spark):
+    kind = "kb_id string, query_id long, embedding array<double>"
+    asked = spark.createDataFrame([("k", 1, None), ("k", 2, [1.0, 0.0])], kind)
+    rows = [("k", "a", 0, None), ("k", "b", 1, [0.0, 1.0]), ("k", "c", 2, [1.0, 0.5])]
+    vectors = spark.createDataFrame(rows, "kb_id string, chunk_id string, ordinal long, embedding array<double>")
+    for bound in (1, 4_000_000):
+        got = dense.nearest(asked, vectors, 5, max_shipped_values=bound).collect()
+        assert [(r["query_id"], r["chunk_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(2, "c"), (2, "b")]
+
+
+def test_lexical_search_in_place_equals_search_by_postings(spark, rows):
+    random.seed(11)
+    words = [f"w{i}" for i in range(30)]
+    chunks = spark.createDataFrame(
+        [(f"k{i % 2}", f"d{i}", f"c{i}", i, " ".join(random.choice(words) for _ in range(random.randint(0, 12)))) for i in range(60)]
+        + [("k0", "none", "cn", 99, None)],
+        "kb_id string, doc_id string, chunk_id string, ordinal long, text string",
+    )
+    asked = spark.createDataFrame(
+        [(f"k{i % 2}", i, " ".join(random.choice(words) for _ in range(4))) for i in range(9)] + [("k9", 90, "w1")],
+        "kb_id string, query_id long, question string",
+    )
+    lex = index.build_lexical_index(chunks)
+    moved = index.LexicalIndex(lex.chunks, lex.postings, lex.terms, lex.stats)
+    columns = ["query_id", "chunk_id", "rank"]
+    assert rows(lexical.top_chunks(asked, lex, 6), *columns) == rows(lexical.top_chunks(asked, moved, 6), *columns)
+    plan = lexical.top_chunks(asked, lex, 6)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "text" in line]

@@ -316,8 +316,7 @@ _DECORATED_TAIL = """CASE conv_id % 5 WHEN 0 THEN concat(' ', chr(10))
     "classified_answers",
     f"""SELECT conv_id, turn, cleaned_answer, CASE WHEN {strip_sql('cleaned_answer')} = '' THEN 'error' ELSE 'success' END AS status,
       CASE WHEN {strip_sql('cleaned_answer')} = '' THEN '{conversation.EMPTY_ANSWER_ERROR}' END AS error
-    FROM (SELECT conv_id, turn, regexp_replace(concat(answer, CASE WHEN conv_id % 5 IN (0, 4) THEN {_SUFFIX_SQL} ELSE '' END, {_DECORATED_TAIL}),
-      '{conversation.SUFFIX_PATTERN}', '') AS cleaned_answer FROM ({_ANSWERS_SQL.replace('AS names', 'AS names, role')}))""",
+    FROM (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 3 THEN concat(answer, {_DECORATED_TAIL}) ELSE answer END AS cleaned_answer FROM ({_ANSWERS_SQL.replace('AS names', 'AS names, role')}))""",
 )
 def classified_answers(spark, sf):
     rows = derive(spark, sf, _ANSWERS)
