@@ -57,43 +57,57 @@ def repeated_bits(digests: DataFrame, words: int) -> DataFrame:
     )
 
 
-def mark_candidates(digests: DataFrame, rows: int) -> DataFrame:
-    """Add ``candidate``: may another row have the same digest?  ``digests`` is read twice."""
-    words = max(1, rows * BITS_PER_ROW // 64)
-    found = settle(repeated_bits(digests, words), "bloom")
-    sent = found.count() <= MAX_SENT_WORDS
-    word, first, second = _word_and_bits(F.col("digest"), words)
-    mask = _bit(first).bitwiseOR(_bit(second))
-    return (
-        digests.withColumn("word", word)
-        .join(F.broadcast(found) if sent else found, "word", "left")
-        .withColumn("candidate", F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False)))
-        .drop("word", "bits")
+class RepeatFilter:
+    """The filter of pass 2, built from the ``digest`` column of ``digests``."""
+
+    def __init__(self, digests: DataFrame):
+        self.words = max(1, digests.count() * BITS_PER_ROW // 64)
+        found = settle(repeated_bits(digests, self.words), "bloom")
+        self.found = F.broadcast(found) if found.count() <= MAX_SENT_WORDS else found
+
+    def mark(self, rows: DataFrame, digest: str, candidate: str) -> DataFrame:
+        """Add ``candidate``: may another row have the same digest?"""
+        word, first, second = _word_and_bits(F.col(digest), self.words)
+        mask = _bit(first).bitwiseOR(_bit(second))
+        hit = F.coalesce(F.col("__bits").bitwiseAND(mask) == mask, F.lit(False))
+        found = self.found.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
+        return (
+            rows.withColumn("__word", word)
+            .join(found, "__word", "left")
+            .withColumn(candidate, hit)
+            .drop("__word", "__bits")
+        )
+
+
+def _classes(candidates: DataFrame) -> DataFrame:
+    """(digest, keep_id, group_size).
+
+    Written, so that both sides of the joins with it are plain exchanges and a class with
+    a third of all rows can be split.
+    """
+    return settle(
+        candidates.groupBy("digest").agg(
+            F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
+        ),
+        "classes",
     )
 
 
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per document."""
     digests = settle(narrow(docs, id_col, _digest(F.col(text_col)).alias("digest")), "digests")
-    marked = mark_candidates(digests, digests.count())
+    marked = RepeatFilter(digests).mark(digests, "digest", "candidate")
     single = marked.filter(~F.col("candidate")).select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),
         F.lit(1).cast("bigint").alias("group_size"),
         "digest",
     )
-    members = (
-        marked.filter("candidate").groupBy("doc_id", "digest").agg(F.count("*").alias("copies"))
-    )
-    # Written, so that both sides of the join are plain exchanges and a class
-    # with a third of all rows can be split.
-    classes = settle(
-        marked.filter("candidate")
-        .groupBy("digest")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")),
-        "classes",
+    candidates = marked.filter("candidate")
+    members = candidates.groupBy("doc_id", "digest").agg(F.count("*").alias("copies"))
+    grouped = members.join(_classes(candidates), "digest").select(
+        "doc_id", "keep_id", "group_size", "digest"
     )
-    grouped = members.join(classes, "digest").select("doc_id", "keep_id", "group_size", "digest")
     return single.unionByName(grouped).select(
         "doc_id",
         "keep_id",
@@ -104,23 +118,22 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; of fully repeated rows one stays."""
+    """The rows of ``docs`` that stay, all columns; of fully repeated rows one stays.
+
+    Rows that the filter clears are not moved; only the others meet their class.
+    """
     digests = settle(narrow(docs, id_col, _digest(F.col(text_col)).alias("digest")), "digests")
-    lost = mark_candidates(digests, digests.count()).filter("candidate").select("digest").distinct()
-    classes = duplicate_classes(docs, id_col, text_col).filter("group_size > 1")
-    own = docs.withColumn("__digest", _digest(F.col(text_col)))
-    suspects = lost.select(F.col("digest").alias("__digest"))
-    rest = own.join(suspects, "__digest", "left_anti")
-    kept = classes.filter("kept").select(
-        F.unhex("text_sha256").alias("__digest"), F.col("keep_id").alias("__keep")
-    )
-    single = own.join(suspects, "__digest", "left_semi").join(
-        kept.select("__digest"), "__digest", "left_anti"
+    repeats = RepeatFilter(digests)
+    classes = _classes(repeats.mark(digests, "digest", "candidate").filter("candidate")).select(
+        F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep")
     )
+    own = docs.withColumn("__digest", _digest(F.col(text_col)))
+    marked = repeats.mark(own, "__digest", "__candidate")
     chosen = (
-        own.join(kept, "__digest")
+        marked.filter("__candidate")
+        .join(classes, "__digest")
         .filter(F.col(id_col).eqNullSafe(F.col("__keep")))
         .dropDuplicates(["__digest"])
-        .drop("__keep")
     )
-    return rest.unionByName(single).unionByName(chosen).drop("__digest")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.filter(~F.col("__candidate")).select(*columns).unionByName(chosen.select(*columns))
