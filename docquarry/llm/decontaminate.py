@@ -59,10 +59,12 @@ def _powers(count: int) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray = _IS_WORD
+) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts ``data[offsets[i]:offsets[i + 1]]`` and each word's text."""
     folded = _FOLD[data]
-    inside = _IS_WORD[folded]
+    inside = in_word[folded]
     at = np.flatnonzero(inside)
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
