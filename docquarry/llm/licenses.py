@@ -1,15 +1,15 @@
 """Licences of files, from their texts and from the directories above them.
 
 Every line of a file is compared with the templates by the cosine of TF-IDF vectors.
-Document frequencies of the templates' terms are counted over the whole corpus; a
-term that no template has weighs as much as a term no document has.  A line with a
-cosine of at least ``MIN_COSINE`` is a licence line of the best template.
+Document frequencies of all terms are counted over the whole corpus, so that weights follow
+shares of documents and not their number.  A line with a cosine of at least ``MIN_COSINE`` is a
+licence line of the best template.
 
 Few lines can reach that.  Of each template the heaviest terms are its anchors: as many as it
 takes for the others' weight to stay under ``MIN_COSINE`` of the whole, so a line
 without an anchor cannot reach it (Cauchy-Schwarz).  Only lines with an anchor are
-cut into terms.  Templates, terms and weights are bounded by the template list
-and are broadcast; terms of lines are never a join key that moves.
+cut into terms.  Templates and their terms are bounded by the template list and are broadcast; the
+frequencies are joined to the terms of these lines by a shuffle.
 
 A file with licence lines of at least ``min_share`` of its words is a licence file and
 governs its directory.  A file without a licence line takes the licence of the nearest
@@ -75,19 +75,20 @@ def _template_terms() -> list[list[str]]:
     return [re.findall("[a-z0-9]+", wording.lower()) for _, wording in TEMPLATES]
 
 
-def term_weights(texts: DataFrame) -> tuple[dict[str, float], float]:
-    """Inverse document frequency of each template term over column ``text``; that of an unseen term."""
-    vocabulary = sorted({t for terms in _template_terms() for t in terms})
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    counted = (
-        texts.select(F.explode(F.array_intersect(terms_of(F.col("text")), known)).alias("term"))
+def document_frequencies(texts: DataFrame) -> DataFrame:
+    """(term, n): in how many rows of column ``text`` each term is, for all terms."""
+    return (
+        texts.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("n"))
     )
-    total = texts.count()
-    frequency = {r["term"]: r["n"] for r in counted.collect()}
-    weights = {t: math.log((1 + total) / (1 + frequency.get(t, 0))) + 1 for t in vocabulary}
-    return weights, math.log(1 + total) + 1
+
+
+def term_weights(frequencies: DataFrame, total: int) -> dict[str, float]:
+    """Inverse document frequency of each template term."""
+    vocabulary = sorted({t for terms in _template_terms() for t in terms})
+    known = {r["term"]: r["n"] for r in frequencies.filter(F.col("term").isin(vocabulary)).collect()}
+    return {t: math.log((1 + total) / (1 + known.get(t, 0))) + 1 for t in vocabulary}
 
 
 def template_vectors(weights: dict[str, float]) -> list[dict[str, float]]:
@@ -119,7 +120,9 @@ def licence_lines(docs: DataFrame, id_col: str, text_col: str, least: float = MI
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")
     )
-    weights, unseen = term_weights(rows)
+    total = rows.count()
+    frequencies = settle(document_frequencies(rows), "term-frequencies")
+    weights = term_weights(frequencies, total)
     vectors = template_vectors(weights)
     marks = "|".join(sorted(anchors(vectors, least)))
     anchored = rf"(?<![a-z0-9])({marks})(?![a-z0-9])"
@@ -137,13 +140,14 @@ def licence_lines(docs: DataFrame, id_col: str, text_col: str, least: float = MI
     )
     table = spark.createDataFrame(
         [
-            (term, weights[term], [v.get(term, 0.0) for v in vectors]) for term in sorted(weights)
+            (term, [v.get(term, 0.0) for v in vectors]) for term in sorted(weights)
         ],
-        "term string, idf double, templates array<double>",
-    )
-    scored = counted.join(F.broadcast(table), "term", "left").withColumn(
-        "w", F.col("tf") * F.coalesce("idf", F.lit(unseen))
+        "term string, templates array<double>",
     )
+    idf = F.log(F.lit(1.0 + total) / (1 + F.col("n"))) + 1
+    # The vocabulary grows with the corpus: it is dealt by term, not sent to every task.
+    weighed = counted.join(frequencies.hint("shuffle_merge"), "term").withColumn("w", F.col("tf") * idf)
+    scored = weighed.join(F.broadcast(table), "term", "left")
     line = ["doc_id", "th", "line_no"]
     # One pass over a line's terms gives its norm and its product with every template.
     products = [

@@ -251,6 +251,14 @@ def test_licences(spark):
     assert licenses.scan_licences(docs.limit(0), F.col("p")).collect() == []
 
 
+@pytest.mark.parametrize("copies", [1, 20])
+def test_licence_lines_stay_when_the_corpus_is_copied(spark, copies):
+    rows = [(i, "Released under the MIT License data") for i in range(4 * copies)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = licenses.licence_lines(docs, "doc_id", "text").collect()
+    assert len(found) == 4 * copies and {round(r.cosine, 3) for r in found} == {0.913}
+
+
 def test_lines_without_anchors_stay_below_the_threshold():
     weights = {t: 1.0 + len(t) for terms in licenses._template_terms() for t in terms}
     vectors = licenses.template_vectors(weights)
