@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import (
+    block_neighbours,
     decontaminate,
     exact_dedup,
+    hard_negatives,
     language_id,
     licenses,
     line_dedup,
+    prefix_trie,
     secret_scan,
     sentencepiece_fst,
     sharding,
@@ -18,6 +21,7 @@ from docquarry.llm import (
     toxicity,
 )
 from docquarry.llm.common import scan
+from docquarry.llm.vectors import is_searchable
 
 QUERIES = {}
 ORACLES = {}
@@ -310,3 +314,120 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         number,
     )
     return licenses.scan_licences(scan(spark, sf_dir, "documents"), path, min_share=0.1)
+
+
+@_query(
+    "op11_block_nearest_neighbours",
+    """
+    WITH rows AS (
+        SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+        WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), pairs AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score
+        FROM rows q JOIN rows c ON q.vec_id <> c.vec_id
+        WHERE q.vec_id % 20 = 0
+    )
+    SELECT query_id, (row_number() OVER best)::INTEGER AS rank, vec_id, score
+    FROM pairs
+    WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+    QUALIFY row_number() OVER best <= 20
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_neighbours.nearest_neighbours(scan(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+# CRC-32 of the decimal digits of an id, bit by bit, as SQL.
+_CRC_SQL = """
+    bits AS (
+        SELECT list_transform(range(256), lambda b: list_reduce(
+            list_prepend(b, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS crc_table
+    ), ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+    plans AS (
+        SELECT conv_id, conv_id - conv_id % 100 AS base,
+               xor(list_reduce(
+                   list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+                   lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295) % 6 AS h
+        FROM ids, bits
+    )"""
+
+
+@_query(
+    "op12_contracted_prefix_trie",
+    f"""
+    WITH {_CRC_SQL},
+    ordered AS (
+        SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), lists AS (SELECT conv_id, list(t ORDER BY pos) AS ts FROM ordered GROUP BY conv_id),
+    rebuilt AS (
+        SELECT p.conv_id, list_concat(coalesce(b.ts[1:h], []), o.ts[h + 1:]) AS ts
+        FROM plans p JOIN lists o ON o.conv_id = p.conv_id LEFT JOIN lists b ON b.conv_id = p.base
+    ), prefixes AS (
+        SELECT conv_id, d, ts[1:d] AS prefix, d = len(ts) AS ends FROM rebuilt, range(len(ts) + 1) AS r(d)
+    ), nodes AS (
+        SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+               string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS names
+        FROM prefixes GROUP BY prefix, d
+    ), edges AS (
+        SELECT n.prefix, p.conv_id AS parent_conv_id, p.prefix AS parent
+        FROM nodes n JOIN nodes p ON n.d > 0 AND p.d = n.d - 1 AND p.prefix = n.prefix[1:n.d - 1]
+    ), children AS (SELECT parent AS prefix, count(*) AS n_children FROM edges GROUP BY parent),
+    below AS (
+        SELECT u.prefix, count(*) FILTER (c.prefix IS NULL) AS n_leaves,
+               sum((v.n_convs - 1) * CASE WHEN v.d > 0 THEN length(v.prefix[v.d].text) ELSE 0 END)::BIGINT AS saved_tokens
+        FROM (SELECT n.*, n.prefix[1:k] AS top FROM nodes n, range(n.d + 1) AS r(k)) v
+        JOIN nodes u ON u.prefix = v.top LEFT JOIN children c ON c.prefix = v.prefix
+        GROUP BY u.prefix
+    )
+    SELECT n.conv_id, n.d AS depth, e.parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+           b.n_leaves, b.saved_tokens, sha256(coalesce(n.names, '')) AS ends_sha256
+    FROM nodes n LEFT JOIN edges e USING (prefix) LEFT JOIN children c USING (prefix) JOIN below b USING (prefix)
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("conv_id")
+    return prefix_trie.conversation_trie(
+        scan(spark, sf_dir, "conversations"), number - number % 100, F.crc32(number.cast("string")) % 6, 5
+    )
+
+
+@_query(
+    "op13_lemp_hard_negatives",
+    """
+    WITH rows AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+               list_dot_product(a.v::DOUBLE[], r.v::DOUBLE[])::BIGINT AS score
+        FROM rows a JOIN rows r ON a.vec_id <> r.vec_id
+        WHERE a.vec_id % 100 = 0
+    ), positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT anchor_id, positive_id, (row_number() OVER best)::INTEGER AS rank, vec_id AS negative_id,
+           positive_score, score AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+    QUALIFY row_number() OVER best <= 10
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number, label = F.col("vec_id"), F.col("label")
+    rows = (
+        scan(spark, sf_dir, "embeddings")
+        .filter(is_searchable(F.col("embedding"), zero=True))
+        .select(
+            "vec_id",
+            F.when(number % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+            F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("embedding"),
+        )
+    )
+    return hard_negatives.mine(rows, number % 100 == 0)
