@@ -233,10 +233,12 @@ def mine(
     dealt = settle(
         clean.select("id", "label", "vector", "length2", "anchor")
         .repartitionByRange(r_blocks, F.desc("length2"), "anchor")
-        .select("id", "label", "vector", F.spark_partition_id().alias("r")),
+        .select("id", "label", "vector", F.spark_partition_id().alias("part")),
         "length-blocks",
     )
-    r_blocks = dealt.agg(F.max("r")).first()[0] + 1
+    # However many partitions there are: neighbours share a block.
+    parts = max(r_blocks, dealt.agg(F.max("part")).first()[0] + 1)
+    dealt = dealt.withColumn("r", F.floor(F.col("part") * r_blocks / parts)).drop("part")
 
     def searched(anchors: DataFrame, k: int, same_label: bool) -> DataFrame:
         asked = anchors.withColumn("a", F.pmod(F.xxhash64(F.lit(1), "anchor"), F.lit(a_blocks)))
