@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 CORRUPT = "_corrupt"
 
 
-def _parsed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """``value`` and ``__row`` of every line that is not blank.
+def parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """``value`` and ``__row`` of every line of ``value`` that is not blank.
 
     ``__row`` has the schema's fields and ``_corrupt``: the line itself where it is not one
     object of the schema.  A line that holds an array of objects is not.
@@ -24,19 +24,19 @@ def _parsed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     row = F.from_json("value", with_corrupt, options)
     line = F.regexp_replace("value", r"^\s+", "")
     bad = ~line.startswith("{") | row[CORRUPT].isNotNull() | row.isNull()
-    return (
-        spark.read.text(path)
-        .filter(line != "")
-        .select(
-            "value",
-            F.struct(
-                *[F.when(~bad, row[f.name]).alias(f.name) for f in schema.fields],
-                F.when(bad, F.col("value")).alias(CORRUPT),
-            ).alias("__row"),
-        )
+    return lines.filter(line != "").select(
+        "value",
+        F.struct(
+            *[F.when(~bad, row[f.name]).alias(f.name) for f in schema.fields],
+            F.when(bad, F.col("value")).alias(CORRUPT),
+        ).alias("__row"),
     )
 
 
+def _parsed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return parsed(spark.read.text(path), schema)
+
+
 def read_strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Blank lines are skipped; a malformed line fails the job, which names file and line."""
     parsed = _parsed(spark, path, schema)

@@ -9,22 +9,30 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docquarry.functions import redact, text
 from docquarry.operators import telemetry
+from docquarry.sources import appended, jsonl
 
 
 def tail(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Lines appended since the last checkpoint; the checkpoint is the offset.
+    """Lines appended since the last checkpoint; the checkpoint holds each file's byte offset.
 
-    Files already read that disappear or shrink are a source error, as files
-    of an append-only log are never rewritten.  Malformed lines are dropped.
+    Bytes appended to a file that was read before are new lines.  Files that disappear or
+    shrink fail the query, as files of an append-only log are never rewritten.  Malformed lines,
+    among them arrays and lines that are not UTF-8, are dropped.
     """
-    corrupt = "_corrupt"
-    lines = (
-        spark.readStream.schema(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())]))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", corrupt)
-        .json(path)
-    )
-    return lines.filter(F.col(corrupt).isNull()).drop(corrupt)
+    lines = jsonl.parsed(appended.stream_lines(spark, path), schema)
+    return jsonl.well_formed(lines.select("__row.*"))
+
+
+def lines_of_run(
+    spark: SparkSession, path: str, schema: T.StructType, starting: dict[str, int], conversations: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """What a run appended after the recorded offsets: its cleaned rows, and the number of malformed lines.
+
+    A line that is not UTF-8 is malformed.
+    """
+    lines = appended.lines_since(spark, path, starting)
+    rows = jsonl.parsed(lines.withColumn("value", F.coalesce("value", F.lit("\ufffd"))), schema).select("__row.*")
+    return run_logs(jsonl.well_formed(rows), conversations), jsonl.malformed_count(rows)
 
 
 def run_logs(stream: DataFrame, conversations: DataFrame) -> DataFrame:

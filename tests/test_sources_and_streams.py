@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docquarry import schemas
 from docquarry.params import AdmissionLimits, ChunkParams
-from docquarry.sources import files, jsonl, papers
+from docquarry.sources import appended, files, jsonl, papers
 from docquarry.streaming import logs, sessions, uploads
 
 LINE = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
@@ -117,3 +117,71 @@ def test_allowance_carries_over_batches(spark, tmp_path):
         sessions.admit_available(stream, out, check, ["n"], AdmissionLimits(max_questions=3))
     got = spark.read.parquet(f"{out}/admissions").orderBy("n").collect()
     assert [r["admission"] for r in got] == ["admitted"] * 3 + ["over_limit"] * 3
+
+
+def test_tail_reads_what_was_appended_to_a_seen_file(spark, tmp_path):
+    log, out, check = tmp_path / "log.jsonl", str(tmp_path / "out"), str(tmp_path / "check")
+
+    def arrive(data: bytes):
+        with log.open("ab") as handle:
+            handle.write(data)
+        logs.write_available(logs.tail(spark, str(log), LINE), out, check)
+        return sorted(r["a"] for r in spark.read.schema(LINE).parquet(out).collect())
+
+    assert arrive(b'{"a": 1}\n{"a": 2}\r\n\n{"a": 3') == [1, 2]
+    assert arrive(b"") == [1, 2]
+    # The unfinished line ends now; an array, a broken line and one that is not UTF-8 are dropped.
+    assert arrive(b'3}\n[{"a": 8}, {"a": 9}]\n{"a":\n{"a": 7, "b": "\xff"}\n{"a": 4}\n') == [1, 2, 4, 33]
+    assert arrive(b'{"a": 5}\n' * 3) == [1, 2, 4, 5, 5, 5, 33]
+    log.write_bytes(log.read_bytes()[:-9])
+    with pytest.raises(Exception, match="shorter than"):
+        arrive(b"")
+
+
+def test_tail_of_a_folder_fails_on_rewritten_and_lost_files(spark, tmp_path):
+    folder = tmp_path / "logs"
+    (folder / "sub").mkdir(parents=True)
+    (folder / "sub" / "a.jsonl").write_text('{"a": 1}\n')
+    (folder / "_SUCCESS").write_text("x\n")
+    for name, damage, message in (
+        ("rewritten", lambda: (folder / "sub" / "a.jsonl").write_text('{"a": 11, "b": "longer"}\n'), "rewritten"),
+        ("lost", lambda: (folder / "sub" / "a.jsonl").rename(folder / "sub" / "b.jsonl"), "gone"),
+    ):
+        out, check = str(tmp_path / f"out-{name}"), str(tmp_path / f"check-{name}")
+        logs.write_available(logs.tail(spark, folder.as_uri(), LINE), out, check)
+        assert spark.read.parquet(out).count() == 1
+        damage()
+        with pytest.raises(Exception, match=message):
+            logs.write_available(logs.tail(spark, folder.as_uri(), LINE), out, check)
+
+
+@pytest.mark.parametrize("split_bytes", [1, 2, 3, 7, 50, 1 << 20])
+def test_splits_hand_out_every_line_once(tmp_path, split_bytes):
+    text = b"\n\nab\n\xc3\xa9\r\n" + b"x" * 40 + b"\n\nlast\nnot ended"
+    (tmp_path / "f").write_bytes(text)
+    files_ = appended._Files({"path": str(tmp_path), "splitBytes": str(split_bytes)})
+    for first, stop in ((0, len(text)), (2, len(text)), (2, len(text) - 9), (0, 1)):
+        got = []
+        for split in files_.splits({"f": first}, {"f": stop}):
+            for batch in files_.read(split):
+                got += zip(batch["offset"].to_pylist(), batch["value"].to_pylist())
+        want, at = [], first
+        for line in text[first:stop].split(b"\n"):
+            if at < stop:
+                want.append((at, line.removesuffix(b"\r").decode()))
+            at += len(line) + 1
+        assert got == want
+
+
+def test_lines_of_a_run_from_recorded_offsets(spark, tmp_path, rows):
+    log = tmp_path / "app.jsonl"
+    one = {"conversation_id": "c1", "retrieval": {"retrieval_relevance": "high", "relevance_explanation": "x"}}
+    log.write_text(json.dumps(one) + "\n")
+    recorded = appended.current_offsets(str(log))
+    with log.open("ab") as handle:
+        handle.write((json.dumps(one) + "\n").encode() * 2 + b'[1]\n"\xff"\n\n{"conversation_id": "c2"}\n{"conv')
+    run = spark.createDataFrame([("c1",)], "conversation_id string")
+    found, malformed = logs.lines_of_run(spark, str(log), spark.createDataFrame([], LOG).schema, recorded, run)
+    assert rows(found, "conversation_id") == [("c1",)] * 2 and malformed.first()[0] == 3
+    with pytest.raises(Exception, match="shorter than"):
+        appended.lines_since(spark, str(log), {"": 10_000}).count()
