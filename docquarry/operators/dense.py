@@ -196,25 +196,3 @@ def with_dense_score(found: DataFrame) -> DataFrame:
         .withColumn("similarity", similarity(F.col("distance")))
     )
     return normalise(unique, "similarity", "dense")
-
-
-def approximate_nearest(
-    questions: DataFrame, vectors: DataFrame, radius: float, *, bucket: float = 2.0, tables: int = 4
-) -> DataFrame:
-    """Approximate join by random projection hashing, for very large bases."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def prepared(df: DataFrame, key: str) -> DataFrame:
-        return df.select(F.col(key), array_to_vector(F.col("embedding")).alias("features"))
-
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7
-    ).fit(prepared(vectors, "chunk_id"))
-    return model.approxSimilarityJoin(
-        prepared(questions, "query_id"), prepared(vectors, "chunk_id"), radius, "euclidean"
-    ).select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.chunk_id").alias("chunk_id"),
-        (F.col("euclidean") * F.col("euclidean")).alias("distance"),
-    )

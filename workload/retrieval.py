@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.functions import text
-from docquarry.operators import dense, fusion, index, lexical, rerank, routing, scope
+from docquarry.operators import dense, fusion, index, lexical, rerank, routing, scope, vector_index
 from docquarry.params import RetrievalParams
 from docquarry.plans import hybrid
-from docquarry.session import spread
+from docquarry.session import scratch_dir, spread
 from workload.tables import Registry, derive, plain
 
 R = Registry()
@@ -280,6 +280,39 @@ def dense_top_chunks_by_grid(spark, sf):
     )
 
 
+def _vector_index(spark, sf):
+    path = scratch_dir(spark, "vector-index")
+    vector_index.write_vector_index(derive(spark, sf, VECTORS), path)
+    return vector_index.read_vector_index(spark, path)
+
+
+@R.add("dense_top_chunks_by_cells", f"WITH {dense_ctes(VECTOR_QUESTIONS, 10)} SELECT {_DENSE} FROM found")
+def dense_top_chunks_by_cells(spark, sf):
+    found = vector_index.nearest_in_cells(derive(spark, sf, VECTOR_QUESTIONS), _vector_index(spark, sf), 10)
+    return found.select(
+        "query_id",
+        "chunk_id",
+        F.round("distance", 6).alias("distance"),
+        F.round(dense.similarity(F.col("distance")), 6).alias("similarity"),
+        "rank",
+    )
+
+
+@R.add(
+    "dense_recall_by_cells",
+    f"""WITH {dense_ctes(VECTOR_QUESTIONS, 10)} SELECT count(DISTINCT query_id) AS questions, count(*) AS wanted,
+    true AS nine_tenths_reached FROM found""",
+)
+def dense_recall_by_cells(spark, sf):
+    questions, indexed = derive(spark, sf, VECTOR_QUESTIONS), _vector_index(spark, sf)
+    probes = vector_index.probes_for(questions, indexed, 10)
+    found = vector_index.nearest_in_cells(questions, indexed, 10, probes)
+    exact = dense.nearest(questions, derive(spark, sf, VECTORS), 10)
+    return vector_index.recall(found, exact).select(
+        "questions", "wanted", (F.col("reached") >= 0.9 * F.col("wanted")).alias("nine_tenths_reached")
+    )
+
+
 @R.add(
     "dense_scores_in_scope",
     f"""WITH {dense_ctes(VECTOR_QUESTIONS, 30, LABEL_SCOPE)}
