@@ -64,6 +64,10 @@ def document_id(kb_id: Column, path: Column, params: ChunkParams) -> Column:
     )
 
 
+# What makes two files the same document.
+COPY_KEYS = ("kb_id", "fingerprint", "chunk_size", "chunk_overlap")
+
+
 def first_copies(
     files: DataFrame, existing: DataFrame | None, params: ChunkParams, order: str
 ) -> DataFrame:
@@ -83,8 +87,7 @@ def first_copies(
     )
     if existing is None:
         return unique
-    keys = ["kb_id", "fingerprint", "chunk_size", "chunk_overlap"]
-    return unique.join(existing.select(*keys).distinct(), keys, "left_anti")
+    return unique.join(existing.select(*COPY_KEYS).distinct(), list(COPY_KEYS), "left_anti")
 
 
 def only_first_upload(files: DataFrame, order: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docquarry.functions import redact, text
 from docquarry.operators import telemetry
 from docquarry.sources import appended, jsonl
+from docquarry.sources.versions import Layout, VersionedTables
 
 
 def tail(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -88,11 +89,20 @@ def windowed_availability(stream: DataFrame, time: str, width: str, late: str) -
     )
 
 
+_TOTALS = {"totals": Layout(())}
+
+
 def update_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest totals of a complete-mode aggregate in a table."""
+    """Publish the totals of a complete-mode aggregate as a new version each batch.
+
+    A reader (see :func:`read_totals`) sees the last whole version, also while the next one is
+    written or after its write failed.
+    """
 
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def store(batch: DataFrame, batch_id: int) -> None:
+        tables = VersionedTables(batch.sparkSession, path, _TOTALS)
+        tables.publish(batch_id, {"totals": (batch, [0])}, tables.snapshot(batch_id))
+        tables.expire()
 
     query = (
         stream.writeStream.outputMode("complete")
@@ -103,3 +113,8 @@ def update_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
     query.awaitTermination()
     return query
+
+
+def read_totals(spark: SparkSession, path: str) -> DataFrame | None:
+    """The totals last published; None before the first."""
+    return VersionedTables(spark, path, _TOTALS).snapshot().read("totals")

@@ -12,7 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 from docquarry.functions import text
 from docquarry.operators.admission import admit_questions
 from docquarry.params import AdmissionLimits
-from docquarry.streaming.tables import earlier_batches, replace_batch
+from docquarry.sources.versions import Layout, VersionedTables
+from docquarry.streaming.tables import batch_rows, replace_batch
+
+
+# Questions each session has spent; a batch reads and replaces the buckets of its own sessions.
+_SPENT = {"spent": Layout(("session_id",), 256)}
 
 
 def admit_available(
@@ -24,25 +29,28 @@ def admit_available(
 ) -> StreamingQuery:
     """Label questions batch by batch in (``order``) sequence.
 
-    Writes ``path/admissions`` and the spent allowance to ``path/used``.  Each
-    batch runs the skew-safe batch operator, so no session is tied to one task.
+    Writes ``path/admissions`` and, as a table of hashed buckets, the allowance spent by each session:
+    a batch costs the buckets that its sessions fall into, however many batches there were.
+    Each batch runs the skew-safe batch operator, so no session is tied to one task.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spent = earlier_batches(batch.sparkSession, f"{path}/used", batch_id)
-        if spent is not None:
-            here = batch.select("session_id").distinct()
-            spent = (
-                spent.join(here, "session_id", "left_semi")
-                .groupBy("session_id")
-                .agg(F.sum("used").cast("int").alias("used"))
-            )
-        replace_batch(admit_questions(batch, order, limits, spent), f"{path}/admissions", batch_id)
-        done = batch.sparkSession.read.parquet(f"{path}/admissions/batch={batch_id}")
-        used = done.filter(F.col("admission") == "admitted").groupBy("session_id").agg(
+        spent = VersionedTables(batch.sparkSession, f"{path}/state", _SPENT)
+        before = spent.snapshot(batch_id)
+        touched = _SPENT["spent"].touched(batch)
+        used = before.read("spent", touched)
+        known = used and used.join(batch.select("session_id").distinct(), "session_id", "left_semi")
+        replace_batch(admit_questions(batch, order, limits, known), f"{path}/admissions", batch_id)
+        done = batch_rows(batch.sparkSession, f"{path}/admissions", batch_id)
+        if done is None:
+            return
+        now = done.filter(F.col("admission") == "admitted").groupBy("session_id").agg(
             F.count("*").cast("int").alias("used")
         )
-        replace_batch(used, f"{path}/used", batch_id)
+        if used is not None:
+            now = used.unionByName(now).groupBy("session_id").agg(F.sum("used").cast("int").alias("used"))
+        spent.publish(batch_id, {"spent": (now, touched)}, before)
+        spent.expire()
 
     query = (
         asked.writeStream.option("checkpointLocation", checkpoint)

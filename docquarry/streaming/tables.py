@@ -6,15 +6,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
-def earlier_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Rows of earlier batches; a replayed batch does not see itself."""
+def batch_rows(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What a batch wrote; None if it wrote no rows."""
     try:
-        table = spark.read.parquet(path)
+        return spark.read.parquet(f"{path}/batch={batch_id}")
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
-    return table.filter(table["batch"] < batch_id).drop("batch")
 
 
 def replace_batch(rows: DataFrame, path: str, batch_id: int) -> None:

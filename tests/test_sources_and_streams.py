@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docquarry import schemas
 from docquarry.params import AdmissionLimits, ChunkParams
 from docquarry.sources import appended, files, jsonl, papers
+from docquarry.sources.versions import Layout, VersionedTables
 from docquarry.streaming import logs, sessions, uploads
 
 LINE = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
@@ -95,7 +96,7 @@ def test_windowed_counts(spark, tmp_path):
     stream = spark.readStream.schema(frame.schema).parquet(source)
     counts = logs.windowed_availability(stream, "ts", "1 hour", "10 minutes")
     logs.update_table(counts, str(tmp_path / "out"), str(tmp_path / "check"))
-    got = spark.read.parquet(str(tmp_path / "out"))
+    got = logs.read_totals(spark, str(tmp_path / "out"))
     assert sorted((r["role"], r["state"], r["count"]) for r in got.collect()) == [("groundedness", "unknown", 1), ("relevance", "valid", 1), ("relevance", "valid", 1)]
 
 
@@ -105,7 +106,7 @@ def test_uploads_are_indexed_once(spark, tmp_path, rows):
         frame = spark.createDataFrame(data, "kb_id string, pos long, fingerprint string")
         frame.write.mode("append").parquet(source)
         uploads.index_uploads(spark.readStream.schema(frame.schema).parquet(source), out, check, ChunkParams(), "pos")
-    assert rows(spark.read.parquet(out), "pos", "fingerprint") == [(1, "x"), (3, "y"), (5, "z")]
+    assert rows(uploads.indexed_uploads(spark, out), "pos", "fingerprint") == [(1, "x"), (3, "y"), (5, "z")]
 
 
 def test_allowance_carries_over_batches(spark, tmp_path):
@@ -185,3 +186,61 @@ def test_lines_of_a_run_from_recorded_offsets(spark, tmp_path, rows):
     assert rows(found, "conversation_id") == [("c1",)] * 2 and malformed.first()[0] == 3
     with pytest.raises(Exception, match="shorter than"):
         appended.lines_since(spark, str(log), {"": 10_000}).count()
+
+
+def keyed(spark, data):
+    return spark.createDataFrame(data, "key string, n long")
+
+
+def test_versions_replace_touched_buckets_only(spark, tmp_path, rows):
+    tables = VersionedTables(spark, str(tmp_path / "t"), {"a": Layout(("key",), 8), "b": Layout(())})
+    assert tables.snapshot().version is None and tables.snapshot().read("a") is None
+    first = keyed(spark, [(f"k{n}", n) for n in range(40)])
+    tables.publish(0, {"a": (first, list(range(8))), "b": (first.limit(3), [0])}, tables.snapshot())
+    one = keyed(spark, [("k3", -3), ("k4", -4)])
+    touched = tables.layouts["a"].touched(one)
+    old = tables.snapshot()
+    kept = old.read("a", touched).join(one, "key", "left_anti")
+    tables.publish(1, {"a": (kept.unionByName(one), touched)}, old)
+    now = tables.snapshot()
+    assert {v for (t, b), v in now.held.items() if t == "a" and b in touched} == {1}
+    assert {v for (t, b), v in now.held.items() if t == "a" and b not in touched} == {0}
+    assert rows(now.read("a")) == sorted(((f"k{n}", -n if n in (3, 4) else n) for n in range(40)), key=repr)
+    assert now.read("b").count() == 3 and old.read("a").filter("n < 0").count() == 0
+    # A repeated version sees what was before it, and a bucket may become empty.
+    again = tables.snapshot(1)
+    assert again.version == 0
+    tables.publish(1, {"a": (first.limit(0), list(range(8)))}, again)
+    assert tables.snapshot().read("a") is None and tables.snapshot().read("b").count() == 3
+
+
+def test_a_failing_writer_is_not_seen(spark, tmp_path, rows):
+    tables = VersionedTables(spark, str(tmp_path / "t"), {"a": Layout(("key",), 4)})
+    tables.publish(0, {"a": (keyed(spark, [("x", 1), ("y", 2)]), [0, 1, 2, 3])}, tables.snapshot())
+    broken = keyed(spark, [("x", 5), ("y", 6)]).withColumn(
+        "n", F.when(F.col("n") == 6, F.raise_error(F.lit("stop")).cast("long")).otherwise(F.col("n"))
+    )
+    with pytest.raises(Exception, match="stop"):
+        tables.publish(1, {"a": (broken, [0, 1, 2, 3])}, tables.snapshot())
+    assert rows(tables.snapshot().read("a")) == [("x", 1), ("y", 2)]
+    for version in (1, 2, 3):
+        tables.publish(version, {"a": (keyed(spark, [("x", version)]), tables.layouts["a"].touched(keyed(spark, [("x", 0)])))}, tables.snapshot())
+    tables.expire(1)
+    assert rows(tables.snapshot().read("a")) == [("x", 3), ("y", 2)]
+    left = sorted(p.name for p in (tmp_path / "t" / "data" / "a").iterdir())
+    assert left == ["version=0", "version=3"]
+
+
+def test_a_batch_reads_the_buckets_of_its_own_files(spark, tmp_path):
+    """After many batches a small one still reads a few files of the state."""
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    read = []
+    for n in range(6):
+        frame = spark.createDataFrame([("k", 100 * n + i, f"f{100 * n + i}") for i in range(4)], "kb_id string, pos long, fingerprint string")
+        frame.write.mode("append").parquet(source)
+        uploads.index_uploads(spark.readStream.schema(frame.schema).parquet(source), out, check, ChunkParams(), "pos")
+        state = VersionedTables(spark, f"{out}/state", uploads._KNOWN).snapshot()
+        touched = uploads._KNOWN["known"].touched(frame)
+        read.append(len(state.read("known", touched).inputFiles()))
+        assert state.read("known").count() == 4 * (n + 1)
+    assert max(read) <= 4 and uploads.indexed_uploads(spark, out).count() == 24

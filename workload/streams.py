@@ -55,7 +55,7 @@ def streamed_availability(spark, sf):
     out, checkpoint = scratch_dir(spark, "out"), scratch_dir(spark, "offsets")
     counts = log_stream.availability_counts(log_stream.tail(spark, path, schema))
     log_stream.update_table(counts, out, checkpoint)
-    return spark.read.parquet(out)
+    return log_stream.read_totals(spark, out)
 
 
 @R.add(
@@ -70,7 +70,7 @@ def streamed_uploads(spark, sf):
         files.write.mode("append").parquet(source)
         stream = spark.readStream.schema(files.schema).parquet(source)
         uploads.index_uploads(stream, out, checkpoint, ChunkParams(600, 50), "doc_id")
-    return spark.read.parquet(out).groupBy("kb_id", "fingerprint").agg(F.count("*").alias("n"))
+    return uploads.indexed_uploads(spark, out).groupBy("kb_id", "fingerprint").agg(F.count("*").alias("n"))
 
 
 @R.add(
