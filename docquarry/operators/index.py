@@ -19,13 +19,30 @@ class LexicalIndex:
     """chunks(kb_id, doc_id, chunk_id, ordinal),
     postings(kb_id, doc_id, chunk_id, ordinal, dl, term, tf),
     terms(kb_id, term, df, idf), stats(kb_id, n, avgdl); ``texts``: the chunks with
-    their text, where the index was built from them and not read back."""
+    their text, where the index was built from them and not read back; ``blocks``: the
+    postings as blocks with heads, where it comes from a maintained store."""
 
     chunks: DataFrame
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
     texts: DataFrame | None = None
+    blocks: DataFrame | None = None
+
+
+def weighted_vocabulary(vocabulary: DataFrame, stats: DataFrame, params: Bm25Params) -> DataFrame:
+    """(kb_id, term, df, idf) from (kb_id, term, df) and (kb_id, n)."""
+    raw = vocabulary.join(stats.select("kb_id", "n"), "kb_id").withColumn(
+        "raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    )
+    # Terms found in more than half of the chunks get a share of the mean.
+    floor = raw.groupBy("kb_id").agg((F.avg("raw_idf") * params.epsilon).alias("__floor"))
+    return raw.join(floor, "kb_id").select(
+        "kb_id",
+        "term",
+        "df",
+        F.when(F.col("raw_idf") < 0, F.col("__floor")).otherwise(F.col("raw_idf")).alias("idf"),
+    )
 
 
 def build_lexical_index(
@@ -64,17 +81,7 @@ def build_lexical_index(
         .groupBy("kb_id", "term")
         .agg(F.count("*").alias("df"))
     )
-    raw = vocabulary.join(stats.select("kb_id", "n"), "kb_id").withColumn(
-        "raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    )
-    # Terms found in more than half of the chunks get a share of the mean.
-    floor = raw.groupBy("kb_id").agg((F.avg("raw_idf") * params.epsilon).alias("__floor"))
-    terms = raw.join(floor, "kb_id").select(
-        "kb_id",
-        "term",
-        "df",
-        F.when(F.col("raw_idf") < 0, F.col("__floor")).otherwise(F.col("raw_idf")).alias("idf"),
-    )
+    terms = weighted_vocabulary(vocabulary, stats, params)
     return LexicalIndex(chunks.select(*facts), postings, terms, stats, chunks.select(*facts, "text"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import text
 from docquarry.operators.index import LexicalIndex
 from docquarry.operators.inplace import best_in_place
+from docquarry.operators.lexical_store import best_of_blocks
 from docquarry.params import Bm25Params
 from docquarry.session import ensure_checkpoint_dir
 
@@ -163,7 +164,8 @@ def top_chunks(
     """(query_id, kb_id, doc_id, chunk_id, ordinal, score, bm25, rank) of the best N.
 
     Without a scope the texts are scored where they are read; the exchange carries
-    at most N rows per question and task.  With a scope, or from a saved index,
+    at most N rows per question and task.  From a maintained store only the ranges of chunks are
+    scored whose bound reaches the N-th best score.  With a scope, or from a saved index,
     the rank filter is applied in every partition before rows move.  ``bm25`` is
     min-max normalised over the kept rows; 1.0 when all are equal.
     """
@@ -175,6 +177,8 @@ def top_chunks(
     if ship and scope is None and index.texts is not None:
         # Each task keeps its best rows; the text is not moved.
         scored = best_in_place(index.texts, weighted, top_n, params, SCORE_DIGITS)
+    elif scope is None and index.blocks is not None:
+        scored = best_of_blocks(weighted, index.blocks, top_n, params, SCORE_DIGITS)
     else:
         scored = in_scope(_sum_scores(weighted, index, params), scope)
     kept = _best(scored.select(*columns), top_n).select(*columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.functions import text
-from docquarry.operators import dense, fusion, index, lexical, rerank, routing, scope, vector_index
+from docquarry.operators import dense, fusion, index, lexical, lexical_store, rerank, routing, scope, vector_index
 from docquarry.params import RetrievalParams
 from docquarry.plans import hybrid
 from docquarry.session import scratch_dir, spread
@@ -251,6 +251,28 @@ def bm25_top_chunks_in_scope(spark, sf):
     )
 
 
+@R.add("bm25_top_chunks_from_store", f"WITH {bm25_ctes(CHUNKS, QUESTIONS, 10)} SELECT {_TOP} FROM lexical")
+def bm25_top_chunks_from_store(spark, sf):
+    """Three uploads: stale texts and documents that go again, the present texts of most languages, the rest."""
+    path = scratch_dir(spark, "lexical-store")
+    settings = {"buckets": 16, "width": 256}
+    chunks = derive(spark, sf, CHUNKS_BY_LANG.replace("lang AS kb_id", "'src' AS kb_id, lang"))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    stale = chunks.withColumn("text", F.when(english, F.concat(F.lit("stale "), "text")).otherwise(F.col("text")))
+    gone = derive(
+        spark,
+        sf,
+        """SELECT 'src' AS kb_id, concat('page', page_id) AS doc_id, concat('page', page_id) AS chunk_id,
+        -1 - page_id AS ordinal, html AS text FROM {pages}""",
+    )
+    lexical_store.update(spark, path, stale.select(*gone.columns).unionByName(gone), **settings)
+    lexical_store.update(spark, path, chunks.filter(english).select(*gone.columns), **settings)
+    lexical_store.update(spark, path, removed=gone.select("kb_id", "doc_id"), **settings)
+    questions = derive(spark, sf, QUESTIONS)
+    lex = lexical_store.read(spark, path, questions, buckets=16)
+    return _top(lexical.top_chunks(questions, lex, 10))
+
+
 _DENSE = "query_id, chunk_id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity, CAST(rank AS INT) AS rank"
 
 
