@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import redact, text
-from docquarry.functions.counts import domain_counts, for_each, is_finite
+from docquarry.functions.counts import domain_counts, for_each, is_finite, listed
 from docquarry.functions.quantiles import summarise
 from docquarry.operators.checks import GROUNDEDNESS_LABELS, RELEVANCE_LABELS
 
@@ -76,7 +76,7 @@ LATENCY_PARTS = ("relevance", "groundedness", "combined")
 
 
 def _models(results: DataFrame, models: Sequence[str]) -> DataFrame:
-    return results.sparkSession.createDataFrame([(m,) for m in models], "model_id string")
+    return listed(results.sparkSession, models, "model_id")
 
 
 def per_model(results: DataFrame, selected_count: Column, models: Sequence[str]) -> DataFrame:

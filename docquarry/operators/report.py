@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import quantiles, redact, text
-from docquarry.functions.counts import domain_counts, for_each, is_finite
+from docquarry.functions.counts import domain_counts, for_each, is_finite, listed
 from docquarry.operators.checks import GROUNDEDNESS_LABELS, RELEVANCE_LABELS
 
 # Issue names and their severity, worst first.
@@ -127,8 +127,7 @@ def series_summary(series: DataFrame, names: Sequence[str] | None = None) -> Dat
     and NULL elsewhere.
     """
     every = names or (ANSWER_SERIES, *[name for name, _ in LOG_SERIES], JUDGE_SERIES)
-    listed = series.sparkSession.createDataFrame([(n,) for n in every], "series string")
-    return for_each(listed, quantiles.summarise(series, ["series"], "value"), ["n"])
+    return for_each(listed(series.sparkSession, every, "series"), quantiles.summarise(series, ["series"], "value"), ["n"])
 
 
 def token_usage(logs: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -111,6 +112,40 @@ def test_summary_is_exact(spark, n):
     assert r["p95"] == sorted(values)[max(1, math.ceil(0.95 * n)) - 1]
 
 
+def test_a_million_values_in_one_bin_are_never_sorted_together(spark):
+    """Values a millionth apart share the first bin, and most of them the second."""
+    series = spark.range(1_000_000).select(
+        F.lit("s").alias("s"), (F.lit(1000.0) + F.col("id") / 1e6).alias("v")
+    ).unionByName(spark.createDataFrame([("t", 0.0), ("t", 5e-324), ("t", 1e300)], "s string, v double"))
+    distinct = quantiles.collapsed(series, ["s"], "v")
+    ranks = spark.createDataFrame([("s", "a", 1), ("s", "b", 500_001), ("s", "c", 1_000_000), ("t", "a", 2)], "s string, name string, rank long")
+    left = quantiles.candidates(distinct, ["s"], ranks, 1000)
+    assert left.groupBy("s", "name").count().agg(F.max("count")).first()[0] <= 1000
+    found = {(r["s"], r["name"]): r["value"] for r in quantiles.ranked_values(series, ["s"], "v", ranks, max_sorted=1000).collect()}
+    assert found == {("s", "a"): 1000.0, ("s", "b"): 1000.5, ("s", "c"): 1000.0 + 999_999 / 1e6, ("t", "a"): 5e-324}
+
+
+@pytest.mark.parametrize("max_sorted", [1, 2, 7])
+def test_ranks_of_values_next_to_each_other(spark, max_sorted):
+    """Neighbouring doubles around powers of two, where numbering them is delicate."""
+    import random
+
+    rng = random.Random(max_sorted)
+    values = [0.0, 0.0]
+    for base in (1.0, 2.0, 0.5, 1024.0, 3.0, 1e-310):
+        x = base
+        for _ in range(4):
+            values.append(x)
+            x = math.nextafter(x, 0)
+        values += [math.nextafter(base, math.inf)] * rng.randrange(3)
+    rng.shuffle(values)
+    df = spark.createDataFrame([("s", v) for v in values], "s string, v double")
+    ranks = [(n + 1, v) for n, v in enumerate(sorted(values))]
+    wanted = spark.createDataFrame([("s", str(n), n) for n, _ in ranks], "s string, name string, rank long")
+    found = quantiles.ranked_values(df, ["s"], "v", wanted, max_sorted=max(2, max_sorted))
+    assert sorted((int(r["name"]), r["value"]) for r in found.collect()) == ranks
+
+
 def test_summary_of_nothing_has_no_row(spark):
     assert quantiles.summarise(spark.createDataFrame([], "s string, v double"), ["s"], "v").count() == 0
 
