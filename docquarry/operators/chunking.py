@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import ordered, text
 from docquarry.params import ChunkParams
+from docquarry.session import written
 
 _CHUNKS = "array<struct<start:int,stop:int,text:string>>"
 
@@ -64,45 +65,26 @@ def chunk_rows(rows: DataFrame, params: ChunkParams, *, body: str = "text") -> D
     ``rows`` has ``doc_id`` and, when a document has several rows, an integer
     ``part`` giving their order; chunks are numbered over the whole document.
     Rows whose normalised text is empty yield nothing.  Without ``part`` no
-    data moves.
+    data moves; with it the windows are written once, to be numbered.
     """
     kept = [c for c in rows.columns if c != body]
-
-    def pieces(of: DataFrame) -> DataFrame:
-        clean = of.withColumn(body, text.normalise_newlines(F.col(body))).filter(F.col(body) != "")
-        windows = clean.select(*kept, chunk_column(F.col(body), params).alias("__chunks"))
-        return windows.select(*kept, F.posexplode_outer("__chunks").alias("__i", "__c")).filter(
-            F.col("__i").isNotNull()
-        )
-
-    found = pieces(rows)
-    if "part" not in rows.columns:
-        index = F.col("__i")
-    else:
-        # Documents of up to BLOCK parts are numbered in one pass.  Longer ones
-        # are cut into blocks; only their chunks are counted a second time.
-        block = F.floor(F.col("part") / ordered.BLOCK)
-        longer = rows.filter(F.col("part") >= ordered.BLOCK).select("doc_id").distinct()
-        totals = (
-            pieces(rows.join(longer, "doc_id", "left_semi"))
-            .groupBy("doc_id", block.alias("__blk"))
-            .agg(F.count("*").alias("__n"))
-        )
-        earlier = Window.partitionBy("doc_id").orderBy("__blk").rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        carry = totals.select("doc_id", "__blk", F.sum("__n").over(earlier).alias("__before"))
-        inside = Window.partitionBy("doc_id", "__blk").orderBy("part", "__i")
-        found = (
-            found.withColumn("__blk", block)
-            .withColumn("__row", F.row_number().over(inside) - 1)
-            .join(carry, ["doc_id", "__blk"], "left")
+    clean = rows.withColumn(body, text.normalise_newlines(F.col(body))).filter(F.col(body) != "")
+    windows = clean.select(*kept, chunk_column(F.col(body), params).alias("__chunks"))
+    index = F.col("__i")
+    if "part" in rows.columns:
+        # Cut once; the counts of earlier parts are a running value of few columns.
+        windows = written(windows, "windows")
+        count = ordered.Total(F.size("__chunks").cast("long"))
+        windows = ordered.running(windows, ["doc_id"], "part", {"__before": count}, levels=2)
+        index = F.col("__before") + index
+    return (
+        windows.select("*", F.posexplode_outer("__chunks").alias("__i", "__c"))
+        .filter(F.col("__i").isNotNull())
+        .select(
+            *kept,
+            index.cast("int").alias("chunk_index"),
+            F.col("__c.start").alias("start"),
+            F.col("__c.stop").alias("stop"),
+            F.col("__c.text").alias("text"),
         )
-        index = F.coalesce("__before", F.lit(0)) + F.col("__row")
-    return found.select(
-        *kept,
-        index.cast("int").alias("chunk_index"),
-        F.col("__c.start").alias("start"),
-        F.col("__c.stop").alias("stop"),
-        F.col("__c.text").alias("text"),
     )

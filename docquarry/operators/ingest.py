@@ -185,11 +185,8 @@ def merge_adjacent_sections(rows: DataFrame, keys: list[str], order: str) -> Dat
 
     Two missing headers count as the same header.
     """
-    with_prev = ordered.previous_value(rows, keys, order, F.col("section_header"), "__prev")
-    changed = (F.size("__prev") > 0) & ~F.col("section_header").eqNullSafe(F.col("__prev")[0])
-    return ordered.running_total(
-        with_prev, keys, order, changed.cast("int"), "group_no", inclusive=True
-    ).drop("__prev")
+    runs = {"group_no": ordered.RunNumber(F.col("section_header"))}
+    return ordered.running(rows, keys, order, runs)
 
 
 def word_groups(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -259,19 +259,17 @@ def snapshot_deltas(
     Snapshot numbers are dense, so each row also speaks for its successor: one
     aggregation on (key, number) replaces a window over a whole key.
     """
-    now = snapshots.select(
-        *keys, number, F.lit(True).alias("__real"), *[F.col(c).alias(c) for c in counters]
-    )
-    before = snapshots.select(
-        *keys,
-        (F.col(number) + 1).alias(number),
-        F.lit(False).alias("__real"),
-        *[-F.col(c) for c in counters],
-    ).toDF(*now.columns)
+    def as_of(at: Column, real: bool, sign: int) -> Column:
+        return F.struct(
+            at.alias("__at"), F.lit(real).alias("__real"), *[(sign * F.col(c)).alias(f"__{c}") for c in counters]
+        )
+
+    both = F.array(as_of(F.col(number), True, 1), as_of(F.col(number) + 1, False, -1))
     return (
-        now.unionByName(before)
+        snapshots.select(*keys, F.inline(both))
+        .withColumnRenamed("__at", number)
         .groupBy(*keys, number)
-        .agg(F.bool_or("__real").alias("__real"), *[F.sum(c).alias(f"{c}_delta") for c in counters])
+        .agg(F.bool_or("__real").alias("__real"), *[F.sum(f"__{c}").alias(f"{c}_delta") for c in counters])
         .filter("__real")
         .drop("__real")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import counts, digest, multiset, ordered, quantiles, redact, text
+from docquarry.operators import semantic
 
 ODD = "\x1c\u2003 a\u00a0b\x85c\u3000\n"
 
@@ -92,6 +93,57 @@ def test_running_values_equal_plain_windows(groups, rows, block):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("block,levels", [(1, 1), (3, 1), (3, 3), (2, 4), (10_000, 2)])
+def test_values_of_one_pass_equal_plain_windows(spark, rows, block, levels):
+    rnd = random.Random(block)
+    data = [
+        (k, p, rnd.choice([None, None, "a", "b"]), rnd.choice([None, 1, 5]))
+        for k, n, most in (("hot", 90, 200), ("sparse", 20, 10**15), (None, 4, 9), ("one", 1, 2))
+        for p in rnd.sample(range(-3, most), n)
+    ]
+    df = spark.createDataFrame(data, "k string, pos long, v string, n long")
+    w = Window.partitionBy("k").orderBy("pos")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    prev = F.lag(F.struct("v")).over(w)
+    want = df.withColumn("changed", (prev.isNotNull() & ~prev.eqNullSafe(F.struct("v"))).cast("long")).select(
+        "k",
+        "pos",
+        F.coalesce(F.sum("n").over(before), F.lit(0)),
+        F.coalesce(F.sum("n").over(upto), F.lit(0)),
+        F.last("v", ignorenulls=True).over(upto),
+        F.last("v", ignorenulls=True).over(before),
+        F.sum("changed").over(upto),
+    )
+    values = {
+        "earlier": ordered.Total(F.col("n")),
+        "total": ordered.Total(F.col("n"), inclusive=True),
+        "fill": ordered.Latest(F.col("v")),
+        "last": ordered.Latest(F.col("v"), inclusive=False),
+        "run": ordered.RunNumber(F.col("v")),
+    }
+    keyed = df.withColumn("k", F.coalesce("k", F.lit("none")))
+    got = ordered.running(keyed, ["k"], "pos", values, block=block, levels=levels)
+    assert got.columns == ["k", "pos", "v", "n", *values]
+    assert rows(got.select(F.nullif("k", F.lit("none")), "pos", *values)) == rows(want)
+
+
+def test_scans_of_running_values(spark, tmp_path):
+    """Three totals read the rows twice, and their changes read no more."""
+    spark.range(50).selectExpr("id % 3 AS k", "id AS pos", "id AS n").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    values = {c: ordered.Total(F.col("n")) for c in "abc"}
+    assert scans(ordered.running(table, ["k"], "pos", values)) == 2
+    values = {c: ordered.Total(F.col("n"), inclusive=True) for c in "abc"}
+    deltas = semantic.snapshot_deltas(ordered.running(table, ["k"], "pos", values), ["k"], "pos", ["b"])
+    assert scans(deltas) == 2
+
+
+def scans(df):
+    df.collect()
+    plan = df._jdf.queryExecution().toString()
+    return plan.partition("== Physical Plan ==")[2].partition("== Initial Plan ==")[0].count("Scan parquet")
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([("b a b c b",), ("",)], "x string")
     got = multiset.with_token_counts(df, text.tokens(F.col("x")), "c").select("c").collect()

@@ -704,9 +704,9 @@ def _snapshots(spark, sf):
 
     rows = table(spark, sf, "events").select(F.col("user_id").alias("judge_id"), "event_id", "event_type")
     errors = F.col("event_type") == "error"
-    for amount, name in ((F.lit(1), "snapshot_no"), (F.when(errors, 2).otherwise(1), "attempts"), (errors.cast("int"), "retries")):
-        rows = ordered.running_total(rows, ["judge_id"], "event_id", amount, name, inclusive=True)
-    return rows
+    amounts = {"snapshot_no": F.lit(1), "attempts": F.when(errors, 2).otherwise(1), "retries": errors.cast("int")}
+    totals = {name: ordered.Total(amount, inclusive=True) for name, amount in amounts.items()}
+    return ordered.running(rows, ["judge_id"], "event_id", totals, levels=2)
 
 
 @R.add(
@@ -727,12 +727,11 @@ def failure_category_deltas(spark, sf):
     from docquarry.functions import ordered
 
     turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("judge_id"), F.col("turn").alias("snapshot_no"), "role")
-    totals = None
-    for role in ("user", "assistant"):
-        so_far = ordered.running_total(
-            turns, ["judge_id"], "snapshot_no", (F.col("role") == role).cast("int"), "total", inclusive=True
-        ).select("judge_id", "snapshot_no", F.lit(role).alias("category"), "total")
-        totals = so_far if totals is None else totals.unionByName(so_far)
+    roles = ("user", "assistant")
+    so_far = {r: ordered.Total((F.col("role") == r).cast("int"), inclusive=True) for r in roles}
+    counted = ordered.running(turns, ["judge_id"], "snapshot_no", so_far)
+    cells = F.array(*[F.struct(F.lit(r).alias("category"), F.col(r).alias("total")) for r in roles])
+    totals = counted.select("judge_id", "snapshot_no", F.inline(cells))
     deltas = semantic.category_deltas(totals, ["judge_id"], "snapshot_no", "category", "total")
     return deltas.withColumn("total_delta", F.col("total_delta").cast("int"))
 
