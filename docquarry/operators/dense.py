@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.shipping import ship_per_question
 from docquarry.operators.lexical import normalise
+from docquarry.operators.scope import Scope, as_scope
 
 DISTANCE_DIGITS = 10
 # Values of question vectors and result lists that a task may hold.
@@ -171,19 +172,17 @@ def nearest(
 
 
 def scoped(
-    found: DataFrame, vectors: DataFrame, scope: DataFrame | None, questions: DataFrame, top_n: int
+    found: DataFrame, vectors: DataFrame, scope: Scope | DataFrame | None, questions: DataFrame, top_n: int
 ) -> DataFrame:
     """Drop rows outside the scope *after* the top-N, so a scope can shorten the list.
 
-    ``vectors`` names the document of each chunk; ``scope`` is (query_id, doc_id).
+    ``vectors`` names the document of each chunk.
     """
+    scope = as_scope(scope)
     if scope is None:
         return found
     small = ship_per_question(found, questions, top_n)
-    named = vectors.select("chunk_id", "doc_id").join(small, "chunk_id")
-    return named.join(
-        scope.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi"
-    )
+    return scope.allowed(vectors.select("chunk_id", "doc_id").join(small, "chunk_id"))
 
 
 def with_dense_score(found: DataFrame) -> DataFrame:

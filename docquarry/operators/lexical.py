@@ -9,6 +9,7 @@ from docquarry.functions import text
 from docquarry.operators.index import LexicalIndex
 from docquarry.operators.inplace import best_in_place
 from docquarry.operators.lexical_store import best_of_blocks
+from docquarry.operators.scope import Scope, as_scope
 from docquarry.params import Bm25Params
 from docquarry.session import ensure_checkpoint_dir
 
@@ -89,12 +90,10 @@ def score(
     return _sum_scores(weighted, index, params)
 
 
-def in_scope(rows: DataFrame, scope: DataFrame | None) -> DataFrame:
+def in_scope(rows: DataFrame, scope: Scope | DataFrame | None) -> DataFrame:
     """Keep allowed documents; corpus statistics stay those of the whole base."""
-    if scope is None:
-        return rows
-    allowed = scope.select("query_id", "doc_id").distinct()
-    return rows.join(allowed, ["query_id", "doc_id"], "left_semi")
+    scope = as_scope(scope)
+    return rows if scope is None else scope.allowed(rows)
 
 
 def _best(rows: DataFrame, top_n: int) -> DataFrame:
@@ -102,29 +101,32 @@ def _best(rows: DataFrame, top_n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
 
 
-def _lowest_chunks(chunks: DataFrame, scoped: bool, count: int) -> DataFrame:
-    """The first chunks by ordinal of each base, or of each document under a scope."""
-    group = ["kb_id", "doc_id"] if scoped else ["kb_id"]
+def _lowest(chunks: DataFrame, group: list[str], count: int | None) -> DataFrame:
+    """The first ``count`` chunks of each group by ordinal; None for all."""
+    if count is None:
+        return chunks
     order = Window.partitionBy(*group).orderBy("ordinal")
-    return (
-        chunks.withColumn("__rn", F.row_number().over(order))
-        .filter(F.col("__rn") <= count)
-        .drop("__rn")
-    )
+    return chunks.withColumn("__rn", F.row_number().over(order)).filter(F.col("__rn") <= count).drop("__rn")
 
 
-def _allowed(asking: DataFrame, pool: DataFrame, scope: DataFrame | None) -> DataFrame:
+def _first_allowed(asking: DataFrame, chunks: DataFrame, scope: Scope | None, count: int | None) -> DataFrame:
+    """The first chunks that each question may use: of its base, or of its scope, listed once a scope."""
+    everything = _lowest(chunks, ["kb_id"], count)
     if scope is None:
-        return asking.join(pool, "kb_id")
-    wanted = scope.select("query_id", "doc_id").distinct()
-    return asking.join(wanted, "query_id").join(pool, ["kb_id", "doc_id"])
+        return asking.join(everything, "kb_id")
+    named = asking.join(scope.questions.select("query_id", "scope_id"), "query_id")
+    members = chunks.join(scope.members.select("scope_id", "doc_id").distinct(), "doc_id")
+    columns = [*asking.columns, "doc_id", "chunk_id", "ordinal"]
+    narrowed = named.join(_lowest(members, ["scope_id", "kb_id"], count), ["scope_id", "kb_id"])
+    free = named.filter(F.col("scope_id").isNull()).join(everything, "kb_id")
+    return narrowed.select(*columns).unionByName(free.select(*columns))
 
 
 def zero_padding(
     questions: DataFrame,
     weighted: DataFrame,
     index: LexicalIndex,
-    scope: DataFrame | None,
+    scope: Scope | None,
     top_n: int,
     params: Bm25Params,
     *,
@@ -141,13 +143,12 @@ def zero_padding(
     """
     odd = weighted.filter(F.col("idf") <= 0).select("query_id").distinct()
     asked = questions.select("kb_id", "query_id")
-    lowest = _lowest_chunks(index.chunks, scope is not None, 2 * top_n)
     if ship and odd.isEmpty():
-        return _allowed(asked, lowest, scope)
-    easy = _allowed(asked.join(odd, "query_id", "left_anti"), lowest, scope)
+        return _first_allowed(asked, index.chunks, scope, 2 * top_n)
+    easy = _first_allowed(asked.join(odd, "query_id", "left_anti"), index.chunks, scope, 2 * top_n)
     terms = weighted.join(odd, "query_id", "left_semi")
     matched = _sum_scores(F.broadcast(terms) if ship else terms, index, params)
-    hard = _allowed(asked.join(odd, "query_id", "left_semi"), index.chunks, scope).join(
+    hard = _first_allowed(asked.join(odd, "query_id", "left_semi"), index.chunks, scope, None).join(
         matched.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"
     )
     return easy.unionByName(hard)
@@ -158,7 +159,7 @@ def top_chunks(
     index: LexicalIndex,
     top_n: int,
     *,
-    scope: DataFrame | None = None,
+    scope: Scope | DataFrame | None = None,
     params: Bm25Params = Bm25Params(),
 ) -> DataFrame:
     """(query_id, kb_id, doc_id, chunk_id, ordinal, score, bm25, rank) of the best N.
@@ -170,6 +171,7 @@ def top_chunks(
     min-max normalised over the kept rows; 1.0 when all are equal.
     """
     top_n = max(1, int(top_n))
+    scope = as_scope(scope)
     columns = ["query_id", "kb_id", "doc_id", "chunk_id", "ordinal", "score"]
     asked = questions.select("kb_id", "query_id", "question")
     ship = is_shippable(asked)

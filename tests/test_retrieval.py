@@ -235,6 +235,58 @@ def test_scope_of_repeated_names(spark, rows):
     assert rows(got, "query_id", "doc_id") == [(1, "d1"), (1, "d2"), (1, "d3"), (2, "d2"), (4, "d1"), (4, "d2"), (4, "d3")]
 
 
+def test_scopes_allow_the_same_documents_as_their_pairs(spark, rows):
+    docs = spark.createDataFrame(
+        [("k", f"d{n}", f"f{n % 4}", n) for n in range(12)] + [("l", "e1", "f1", 1)], "kb_id string, doc_id string, file_name string, n long"
+    )
+    asked = spark.createDataFrame(
+        [(1, "k", "all", None), (2, "k", "selected", ["f1", "f2", "f1"]), (3, "k", "selected", []), (4, "k", "odd", ["f1"]), (5, "k", "selected", ["f2", "f1"]), (6, "l", "selected", ["f1"]), (7, "k", "selected", None)],
+        "query_id long, kb_id string, scope_mode string, selected array<string>",
+    )
+    found = asked.select("query_id", "kb_id").join(docs.select("kb_id", "doc_id"), "kb_id").withColumn("score", F.lit(1))
+    pairs = scope.active_documents(asked, docs, "n")
+    narrowed = scope.of_requests(asked, docs, "n")
+    # Two questions with one selection share its documents; those without a list are not written out.
+    assert narrowed.members.count() == 3
+    want = rows(pairs, "query_id", "doc_id")
+    assert rows(narrowed.allowed(found), "query_id", "doc_id") == want == rows(scope.as_scope(pairs).allowed(found), "query_id", "doc_id")
+    chunks = docs.select("kb_id", "doc_id", F.concat("doc_id", F.lit("c")).alias("chunk_id"), F.col("n").alias("ordinal"), F.lit("w1 w2").alias("text"))
+    questions = asked.select("kb_id", "query_id", F.lit("w9 w1").alias("question"))
+    lex = index.build_lexical_index(chunks)
+    for n in (1, 2, 50):
+        by_scope, by_pairs = (lexical.top_chunks(questions, lex, n, scope=s) for s in (narrowed, pairs))
+        assert rows(by_scope, "query_id", "chunk_id", "rank") == rows(by_pairs, "query_id", "chunk_id", "rank")
+    groups = scope.by_group(
+        spark.createDataFrame([(1, "x"), (2, None)], "query_id long, group string"),
+        spark.createDataFrame([("d1", "x"), ("d2", "y"), ("d3", None)], "doc_id string, group string"),
+    )
+    assert rows(groups.allowed(found), "query_id", "doc_id") == [(1, "d1")]
+
+
+def test_a_shared_retrieval_runs_once(spark, rows):
+    from docquarry.plans import hybrid
+
+    words = ["alpha", "beta", "gamma", "delta"]
+    chunks = spark.createDataFrame(
+        [("k", f"d{n}", f"c{n}", n, " ".join(words[: n % 4 + 1]), "p " + words[n % 4]) for n in range(12)],
+        "kb_id string, doc_id string, chunk_id string, ordinal long, text string, passage string",
+    )
+    vectors = chunks.select("kb_id", "doc_id", "chunk_id", "ordinal", F.array(F.col("ordinal") / 3, F.lit(1.0)).alias("embedding"))
+    asked = spark.createDataFrame([("k", 1, "alpha beta", [0.0, 1.0]), ("k", 2, "delta", [3.0, 1.0])], "kb_id string, query_id long, question string, embedding array<double>")
+    params = RetrievalParams(top_n=5, rerank_candidates=4, rerank_top_k=3)
+    once, planned = (hybrid.retrieve(asked, chunks, vectors, params, share=s) for s in (True, False))
+    for part in ("fused", "final"):
+        assert rows(getattr(once, part), "query_id", "chunk_id") == rows(getattr(planned, part), "query_id", "chunk_id")
+    assert once.totals == {
+        "survivors": planned.fused.count(),
+        "candidates": planned.fused.filter("fusion_rank <= 4").count(),
+        "final_sources": planned.final.count(),
+    }
+    counts = fusion.stage_counts(once.questions, once.fused, once.final, 4)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "MapInArrow" not in plan
+
+
 def test_clamps():
     p = RetrievalParams(top_n=0, rerank_candidates=2, rerank_top_k=-1, fusion_threshold=3.0).clamped()
     assert (p.top_n, p.rerank_candidates, p.rerank_top_k, p.fusion_threshold) == (1, 2, 1, 1.0)

@@ -134,7 +134,7 @@ def raw_source_rows(spark, sf):
       (SELECT count(*) FROM final f WHERE f.query_id = w.query_id) AS num_final_sources FROM weighted w""",
 )
 def request_records(spark, sf):
-    h = run_hybrid(spark, sf)
+    h = run_hybrid(spark, sf, share=True)
     chunks = _source_chunks(spark, sf)
     number = lambda v: F.lit(v).cast("double")
     requests = h.questions.select(

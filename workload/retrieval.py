@@ -244,10 +244,10 @@ def bm25_top_chunks(spark, sf):
 )
 def bm25_top_chunks_in_scope(spark, sf):
     lex = index.build_lexical_index(spread(derive(spark, sf, CHUNKS)))
+    asked = derive(spark, sf, "SELECT item_id AS query_id, concat('src', CAST(item_id % 20 AS STRING)) AS `group` FROM {benchmark}")
+    documents = derive(spark, sf, "SELECT CAST(doc_id AS STRING) AS doc_id, source AS `group` FROM {documents}")
     return _top(
-        lexical.top_chunks(
-            derive(spark, sf, QUESTIONS), lex, 60, scope=derive(spark, sf, SOURCE_SCOPE)
-        )
+        lexical.top_chunks(derive(spark, sf, QUESTIONS), lex, 60, scope=scope.by_group(asked, documents))
     )
 
 
@@ -344,7 +344,10 @@ def dense_scores_in_scope(spark, sf):
     vectors = derive(spark, sf, VECTORS)
     questions = derive(spark, sf, VECTOR_QUESTIONS)
     found = dense.nearest(questions, vectors, 30)
-    kept = dense.scoped(found, vectors, derive(spark, sf, LABEL_SCOPE), questions, 30)
+    labels = scope.by_group(
+        questions.withColumnRenamed("label", "group"), vectors.withColumnRenamed("label", "group")
+    )
+    kept = dense.scoped(found, vectors, labels, questions, 30)
     return dense.with_dense_score(kept).select(
         "query_id",
         "chunk_id",
@@ -374,12 +377,13 @@ def question_routes(spark, sf):
     )
 
 
-def run_hybrid(spark, sf):
+def run_hybrid(spark, sf, share=False):
     return hybrid.retrieve(
         derive(spark, sf, HYBRID_QUESTIONS),
         with_passage(spread(derive(spark, sf, CHUNKS))),
         derive(spark, sf, VECTORS),
         PARAMS,
+        share=share,
     )
 
 
@@ -443,7 +447,7 @@ def rerank_margin(spark, sf):
       (SELECT count(*) FROM final f WHERE f.query_id = w.query_id) AS num_final_sources FROM weighted w""",
 )
 def retrieval_stage_counts(spark, sf):
-    h = run_hybrid(spark, sf)
+    h = run_hybrid(spark, sf, share=True)
     return fusion.stage_counts(h.questions, h.fused, h.final, h.params.rerank_candidates)
 
 
@@ -457,21 +461,39 @@ FROM {benchmark} b JOIN (
 _KB_DOCS = "SELECT lang AS kb_id, CAST(doc_id AS STRING) AS doc_id, source AS file_name, doc_id AS doc_order FROM {documents}"
 
 
-@R.add(
-    "active_documents",
-    f"""WITH req AS ({plain(_REQUESTS.replace("@NAMES", "list(DISTINCT source)"))}), docs AS ({plain(_KB_DOCS)}),
+_ACTIVE_SQL = f"""WITH req AS ({plain(_REQUESTS.replace("@NAMES", "list(DISTINCT source)"))}), docs AS ({plain(_KB_DOCS)}),
     named AS (SELECT kb_id, file_name, arg_max(doc_id, doc_order) AS doc_id FROM docs GROUP BY ALL)
     SELECT DISTINCT r.query_id, r.kb_id, d.doc_id FROM req r JOIN docs d ON r.kb_id = d.kb_id
     WHERE r.scope_mode <> 'selected'
     UNION SELECT DISTINCT r.query_id, r.kb_id, n.doc_id FROM req r JOIN named n ON r.kb_id = n.kb_id
-    AND list_contains(r.selected, n.file_name) WHERE r.scope_mode = 'selected'""",
-)
+    AND list_contains(r.selected, n.file_name) WHERE r.scope_mode = 'selected'"""
+
+
+@R.add("active_documents", _ACTIVE_SQL)
 def active_documents(spark, sf):
     # The selection lists distinct source names, whose number is the size of the name domain.
     requests = derive(spark, sf, _REQUESTS.replace("@NAMES", "collect_set(source)"))
     return scope.active_documents(requests, derive(spark, sf, _KB_DOCS), "doc_order")
 
 
+_REQUEST_QUESTIONS = f"""SELECT r.kb_id, r.query_id, b.text AS question
+FROM ({_REQUESTS}) r JOIN {{benchmark}} b ON b.item_id = r.query_id"""
+
+
+@R.add(
+    "bm25_top_chunks_of_requests",
+    f"""WITH {bm25_ctes(CHUNKS_BY_LANG, _REQUEST_QUESTIONS.replace("@NAMES", "list(DISTINCT source)"), 25, _ACTIVE_SQL)}
+    SELECT {_TOP} FROM lexical""",
+)
+def bm25_top_chunks_of_requests(spark, sf):
+    """The request's scope: all, the named documents, or - in an unknown mode - all."""
+    requests = derive(spark, sf, _REQUESTS.replace("@NAMES", "collect_set(source)"))
+    questions = derive(spark, sf, _REQUEST_QUESTIONS.replace("@NAMES", "collect_set(source)"))
+    allowed = scope.of_requests(requests, derive(spark, sf, _KB_DOCS), "doc_order")
+    lex = index.build_lexical_index(spread(derive(spark, sf, CHUNKS_BY_LANG)))
+    return _top(lexical.top_chunks(questions, lex, 25, scope=allowed))
+
+
 @R.add(
     "retrieval_parameters",
     """SELECT event_id, greatest(1, k - 3) AS top_n, greatest(1, k % 12 - 2) AS top_k,
