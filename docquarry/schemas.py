@@ -43,7 +43,7 @@ def papers() -> T.StructType:
     return _struct(f"id string, qas {QAS_DDL}, full_text struct<section_name:array<string>>")
 
 
-SAVED_PAPERS_DDL = f"array<struct<id:string,qas:{QAS_DDL}>>"
+SAVED_PAPER_DDL = f"struct<id:string,qas:{QAS_DDL}>"
 
 
 def answer_attempts() -> T.StructType:

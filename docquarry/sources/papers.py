@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry import schemas
+from docquarry.sources.json_arrays import read_elements
 
 
 def read_papers(spark: SparkSession, path: str) -> DataFrame:
@@ -16,12 +17,11 @@ def read_papers(spark: SparkSession, path: str) -> DataFrame:
 def read_saved_papers(spark: SparkSession, path: str) -> DataFrame:
     """Saved papers from one or many JSON array files.
 
-    ``file`` and ``paper_ordinal`` (position in the file) give their order.  A
-    file is one value for its task, so large sets are kept as many files.
+    ``file`` and ``paper_ordinal`` (position in the file) give their order.  Papers are read one at a
+    time, so a file may be large.  A file without a list, an empty list and a paper that does not fit the
+    schema fail the job.
     """
-    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    papers = F.from_json("value", schemas.SAVED_PAPERS_DDL, {"mode": "FAILFAST"})
-    return whole.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.posexplode(papers).alias("paper_ordinal", "__p"),
+    paper = F.from_json("value", schemas.SAVED_PAPER_DDL, {"mode": "FAILFAST"})
+    return read_elements(spark, path).select(
+        "file", F.col("ordinal").alias("paper_ordinal"), paper.alias("__p")
     ).select("file", "paper_ordinal", "__p.*")

@@ -1,12 +1,13 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from docquarry import schemas
 from docquarry.params import AdmissionLimits, ChunkParams
-from docquarry.sources import appended, files, jsonl, papers
+from docquarry.sources import appended, files, json_arrays, jsonl, papers
 from docquarry.sources.versions import Layout, VersionedTables
 from docquarry.streaming import logs, sessions, uploads
 
@@ -24,7 +25,10 @@ def test_lenient_and_strict_lines(spark, mixed, rows, tmp_path):
     lines = jsonl.read_lenient(spark, mixed, LINE).cache()
     assert rows(jsonl.well_formed(lines)) == [(1, "x"), (3, "z")]
     assert jsonl.malformed_count(lines).first()[0] == 2
-    assert jsonl.malformed_lines(spark, mixed, LINE).count() == 2
+    numbered = jsonl.malformed_lines(spark, mixed, LINE)
+    assert rows(numbered, "line_number", "line") == [(4, '{"a": true, "b": "y"}'), (5, '{"a": 2')]
+    with pytest.raises(ValueError, match="line 4 of .*log.jsonl"):
+        jsonl.check_lines(spark, mixed, LINE)
     with pytest.raises(Exception):
         jsonl.read_strict(spark, mixed, LINE).collect()
     array = tmp_path / "array.jsonl"
@@ -244,3 +248,68 @@ def test_a_batch_reads_the_buckets_of_its_own_files(spark, tmp_path):
         read.append(len(state.read("known", touched).inputFiles()))
         assert state.read("known").count() == 4 * (n + 1)
     assert max(read) <= 4 and uploads.indexed_uploads(spark, out).count() == 24
+
+
+def test_line_numbers_across_splits_and_files(spark, tmp_path, rows):
+    for name, bad in (("a", {3, 500, 2999}), ("b", {1, 2000})):
+        lines = ["x" if n in bad else "" if n % 7 == 0 else json.dumps({"a": n}) for n in range(1, 3001)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        found = rows(jsonl.malformed_lines(spark, str(tmp_path), LINE).selectExpr("right(file, 1)", "line_number"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == sorted([("a", 3), ("a", 500), ("a", 2999), ("b", 1), ("b", 2000)], key=repr)
+
+
+ARRAY = [1, -2.5e3, "a,]\"é\\", None, True, [], {}, {"k": ["]", {"x": "}"}]}, "long " * 50, [[1], [2, [3]]], 12]
+
+
+@pytest.mark.parametrize("piece", [1, 2, 5, 64, 1 << 20])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_elements_of_arrays(tmp_path, piece, indent):
+    path = tmp_path / "a.json"
+    path.write_text(" \n" + json.dumps(ARRAY, indent=indent, ensure_ascii=False) + "\n ", encoding="utf-8-sig")
+    with pa.OSFile(str(path)) as handle:
+        found = list(json_arrays.elements(handle, "a", piece))
+    assert [json.loads(e) for e in found] == ARRAY
+
+
+@pytest.mark.parametrize(
+    "text,message",
+    [("[]", "empty list"), ("{}", "not hold a list"), ("", "not hold a list"), (" [ ] ", "empty list"), ("[1, 2", "no comma"), ("[1 2]", "no comma"),
+     ("[1,]", "Element 1"), ("[{\"a\":}, 3" + " 3" * 50 + "]", "Element 0"), ("[1] 2", "goes on"), ("[tru", "Element 0"), ("[\"x", "Element 0")],
+)
+@pytest.mark.parametrize("piece", [1, 1 << 20])
+def test_files_that_are_no_arrays(tmp_path, text, message, piece):
+    path = tmp_path / "a.json"
+    path.write_text(text)
+    with pytest.raises(json_arrays.JsonArrayError, match=message), pa.OSFile(str(path)) as handle:
+        list(json_arrays.elements(handle, "a", piece))
+
+
+def test_a_large_array_is_read_in_bounded_memory(tmp_path):
+    """100 MB of elements; what is held at a time stays a few MB."""
+    import tracemalloc
+
+    path = tmp_path / "large.json"
+    element = json.dumps({"id": "x" * 50_000})
+    with path.open("w") as out:
+        out.write("[")
+        for n in range(2000):
+            out.write(element + ("," if n < 1999 else "]"))
+    tracemalloc.start()
+    with pa.OSFile(str(path)) as handle:
+        count = sum(1 for _ in json_arrays.elements(handle, "large"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 2000 and peak < 12 << 20
+
+
+def test_saved_papers_without_papers_fail(spark, tmp_path):
+    for text, message in (("[]", "empty list"), ("{}", "not hold a list"), ('[{"id": 1, "qas": []}]', "")):
+        path = tmp_path / f"{len(text)}.json"
+        path.write_text(text)
+        with pytest.raises(Exception, match=message):
+            papers.read_saved_papers(spark, str(path)).collect()
