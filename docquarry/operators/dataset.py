@@ -35,7 +35,10 @@ def sample_papers(papers: DataFrame, count: int, seed: int) -> DataFrame:
 
 
 def flatten_questions(papers: DataFrame) -> DataFrame:
-    """One row per question with its index; ``papers``: id, paper_ordinal, qas."""
+    """One row per question with its index; ``papers``: id, paper_ordinal, qas.
+
+    Arrays that fall short are filled up with NULL; ``integrity.papers`` finds such papers.
+    """
     zipped = F.arrays_zip(*[F.col(f"qas.{f}").alias(f) for f in QUESTION_FIELDS])
     flat = papers.select(
         F.col("id").alias("paper_id"),

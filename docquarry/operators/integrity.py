@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from docquarry.functions import digest, text
 from docquarry.functions.counts import is_finite
 from docquarry.operators import answer_f1, semantic
+from docquarry.operators.dataset import QUESTION_FIELDS
+from docquarry.operators.ingest import CHUNK_METADATA
 
 ANSWER_STATUSES = ("success", "error")
 SCORE_STATUSES = ("success", "generation_error", "judge_error")
@@ -115,6 +117,65 @@ def gold_bundles(cases: DataFrame, bundle: str = "gold_answers") -> DataFrame:
     return shape.unionByName(rows)
 
 
+def papers(rows: DataFrame) -> DataFrame:
+    """Saved papers and their parallel question arrays (G3), with the bundles' own rules.
+
+    ``rows``: paper_ordinal, id, qas.  A paper is named by its id, or by its ordinal where that is blank;
+    a question by paper and index, or by its case key where that is repeated.
+    """
+    named = rows.withColumn("__blank", text.is_blank(F.col("id"))).withColumn(
+        "__name", F.when(F.col("__blank"), F.col("paper_ordinal").cast("string")).otherwise(F.col("id"))
+    )
+    count = F.size("qas.question")
+    lacking = {f"missing_{f}": F.col("qas").isNotNull() & F.col(f"qas.{f}").isNull() for f in QUESTION_FIELDS}
+    uneven = {
+        f"misaligned_{f}": F.col(f"qas.{f}").isNotNull() & (F.size(f"qas.{f}") != count)
+        for f in QUESTION_FIELDS
+        if f != "question"
+    }
+    whole = broken_rules(
+        named,
+        F.col("__name"),
+        {"invalid_paper_id": F.col("__blank"), "missing_qas": F.col("qas").isNull(), **lacking, **uneven},
+    )
+    # Up to the number of questions, which the other arrays may fall short of.
+    asked = named.select(
+        "__name", "__blank", "qas", F.posexplode("qas.question").alias("__i", "question")
+    ).select(
+        "__name",
+        "__blank",
+        "__i",
+        "question",
+        F.get("qas.question_id", F.col("__i")).alias("question_id"),
+        F.get("qas.answers", F.col("__i")).alias("gold_answers"),
+        # Rules of a question presume that its array reaches it.
+        (F.size("qas.question_id") > F.col("__i")).alias("__named"),
+        (F.size("qas.answers") > F.col("__i")).alias("__answered"),
+    )
+    questions = broken_rules(
+        asked,
+        F.concat_ws("/", "__name", F.col("__i").cast("string")),
+        {
+            "invalid_question": text.is_blank(F.col("question")),
+            "invalid_question_id": F.col("__named") & text.is_blank(F.col("question_id")),
+        },
+    )
+    cases = asked.filter(~F.col("__blank") & ~text.is_blank(F.col("question_id"))).withColumnRenamed("__name", "paper_id")
+    return (
+        whole.unionByName(questions)
+        .unionByName(repeated_keys(named.filter(~F.col("__blank")), ["id"], "repeated_paper_id"))
+        .unionByName(repeated_keys(cases, ["paper_id", "question_id"], "repeated_case"))
+        .unionByName(gold_bundles(cases.filter("__answered")))
+    )
+
+
+def require(found: DataFrame, what: str, shown: int = 20) -> None:
+    """Raises ValueError that lists the first broken rules, if there are any."""
+    first = found.orderBy("rule", "key").limit(shown).collect()
+    if first:
+        raise ValueError(f"{what}: " + "; ".join(f"{r['rule']} {r['key']}" for r in first))
+
+
 def transport(rows: DataFrame, key: Column) -> DataFrame:
     """Ranges and sums of transport telemetry (V3); flat counter columns and status."""
     c = F.col
@@ -286,10 +347,12 @@ def semantic_artifacts(
     tolerance: float = 1e-12,
     *,
     subset: bool = False,
+    transport_reliability: tuple[DataFrame, DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Semantic score rows and the recorded run metrics recomputed (V7).
 
     ``recorded``: (name, value) of the run metrics, with ``band:<name>`` counts.
+    ``transport_reliability``: the arguments of :func:`reliability`, for runs that record it.
     """
     keys = ["paper_id", "question_id"]
     joined = judged.drop("generation_status").join(selected.select(*keys, "generation_status"), keys)
@@ -318,12 +381,27 @@ def semantic_artifacts(
             F.concat(F.lit("band:"), c("band")).alias("name"), c("n").cast("double").alias("value")
         )
     )
-    return (
+    found = (
         rows.unionByName(missing_keys(selected, judged, keys, "missing_score"))
         .unionByName(missing_keys(judged, selected, keys, "unexpected_score"))
         .unionByName(repeated_keys(judged, keys, "repeated_score"))
         .unionByName(metric_differences(recorded, again, tolerance))
     )
+    return found if transport_reliability is None else found.unionByName(reliability(*transport_reliability))
+
+
+def reliability(recorded: DataFrame, deciding: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Recorded transport reliability, (name, value), against the attempts (V7).
+
+    ``deciding``: the attempt that each case is decided by; ``attempts``: all of them.  Counts have to be
+    equal, seconds within a millionth.
+    """
+    again = as_metrics(semantic.reliability(deciding, attempts))
+    seconds = F.col("name").isin(*[f"total_{c}" for c in semantic.SECONDS_FIELDS])
+    rule = "reliability_differs"
+    return metric_differences(recorded.filter(seconds), again.filter(seconds), 1e-6, rule).unionByName(
+        metric_differences(recorded.filter(~seconds), again.filter(~seconds), 0.0, rule)
+    )
 
 
 def generation_manifest(
@@ -439,6 +517,38 @@ def portable_documents(documents: DataFrame, fields: Sequence[str]) -> DataFrame
     return broken_rules(documents, F.col("chunk_id"), rules)
 
 
+def portable_metadata(documents: DataFrame, metadata: str = "metadata", key: str = "chunk_id") -> DataFrame:
+    """Stored metadata, JSON text: an object of listed fields with scalar values and no absolute path (V11).
+
+    ``filename`` is a bare name.  Other rules are not looked at for what is no object.
+    """
+    value = F.try_parse_json(F.col(metadata))
+    kind = F.schema_of_variant(value)
+    is_object = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+    read = documents.select(
+        F.col(key).alias("__key"),
+        is_object.alias("__object"),
+        F.when(is_object, F.json_object_keys(metadata)).alias("__fields"),
+        F.when(is_object, value).alias("__value"),
+    )
+
+    def field(name: str, kind: str) -> Column:
+        return F.try_variant_get("__value", f"$.{name}", kind)
+
+    rules = {
+        "not_an_object": ~F.col("__object"),
+        "foreign_field": F.size(F.array_except("__fields", F.array(*[F.lit(f) for f in CHUNK_METADATA]))) > 0,
+        "filename_with_folder": F.rlike(field("filename", "string"), F.lit(r"[/\\]")),
+    }
+    for name in CHUNK_METADATA:
+        rules[f"non_scalar_{name}"] = F.rlike(
+            F.schema_of_variant(field(name, "variant")), F.lit("^(OBJECT|ARRAY)<")
+        )
+        if name != "filename":
+            rules[f"absolute_{name}"] = is_absolute_path(field(name, "string"))
+    return broken_rules(read, F.col("__key"), rules)
+
+
 def base_completeness(
     bases: DataFrame, documents: DataFrame, chunks: DataFrame, vectors: DataFrame, postings: DataFrame
 ) -> DataFrame:
@@ -462,3 +572,34 @@ def accounting(recorded: DataFrame, recomputed: DataFrame) -> DataFrame:
     return metric_differences(
         recorded.select(name, value), recomputed.select(name, value), 0.0, "accounting_differs"
     )
+
+
+# Where a field of the run summary comes from: the stage and its metric.
+SUMMARY_SOURCES = {
+    "selected": ("answer_f1", "evaluated_cases"),
+    "succeeded": ("answer_f1", "successful_predictions"),
+    "answer_f1": ("answer_f1", "answer_f1"),
+    "semantic_selected": ("semantic", "selected_case_count"),
+    "semantic_coverage": ("semantic", "evaluation_coverage"),
+    "judge_errors": ("semantic", "judge_error_count"),
+}
+
+
+def summary_metrics(
+    summary: DataFrame,
+    stages: Mapping[str, DataFrame],
+    sources: Mapping[str, tuple[str, str]] = SUMMARY_SOURCES,
+    tolerance: float = 1e-6,
+) -> DataFrame:
+    """Fields of the one-row run summary against the metrics of its stages (V12).
+
+    ``stages``: one-row metrics by stage; fields of stages that are not given are not checked.
+    """
+    fields = {f: source for f, source in sources.items() if source[0] in stages}
+    again = None
+    for stage, metrics in stages.items():
+        own = {f: m for f, (of, m) in fields.items() if of == stage}
+        if own:
+            rows = as_metrics(metrics.select(*[F.col(m).alias(f) for f, m in own.items()]))
+            again = rows if again is None else again.unionByName(rows)
+    return metric_differences(as_metrics(summary.select(*fields)), again, tolerance, "summary_differs")

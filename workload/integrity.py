@@ -72,6 +72,54 @@ def gold_bundle_rules(spark, sf):
     )
 
 
+# --- G3: a paper of every kind of damage --------------------------------------------------
+
+_DAMAGED_SQL = f"""{ev._PAPER_SQL}, {ev._CASE_SQL}, hurt AS (SELECT paper_ordinal % 12 AS d, id, paper_ordinal, questions FROM paper)"""
+
+
+@R.add(
+    "qa_paper_rules",
+    f"""WITH {_DAMAGED_SQL}
+    SELECT 'invalid_paper_id' AS rule, id AS key FROM hurt WHERE d = 1
+    UNION ALL SELECT 'missing_qas', id FROM hurt WHERE d = 2
+    UNION ALL SELECT 'missing_question_writer', id FROM hurt WHERE d = 3
+    UNION ALL SELECT 'misaligned_search_query', id FROM hurt WHERE d = 4
+    UNION ALL SELECT 'invalid_question', concat(id, '/0') FROM hurt WHERE d = 5 AND questions > 0
+    UNION ALL SELECT 'invalid_question_id', concat(id, '/0') FROM hurt WHERE d = 6 AND questions > 0
+    UNION ALL SELECT 'repeated_case', concat(paper_id, '/', question_id) FROM qcase JOIN hurt ON id = paper_id
+      WHERE (d = 7 AND question_index = 0 AND questions > 1) OR d = 8
+    UNION ALL SELECT 'repeated_paper_id', id FROM hurt WHERE d = 8
+    UNION ALL SELECT 'misaligned_annotations', concat(paper_id, '/', question_id) FROM qcase JOIN hurt ON id = paper_id WHERE d = 9
+    UNION ALL SELECT 'blank_worker_id', concat(paper_id, '/', question_id, '/0') FROM qcase JOIN hurt ON id = paper_id WHERE d = 9""",
+)
+def qa_paper_rules(spark, sf):
+    d, qas = F.col("paper_ordinal") % 12, F.col("qas")
+    first = F.lit(0)
+
+    def altered(column, new):
+        return F.transform(column, lambda x, i: F.when(i == 0, new).otherwise(x))
+
+    def when(kind, changed, field):
+        return F.when(d == kind, changed).otherwise(qas[field])
+
+    ids = F.transform(qas["question_id"], lambda x, i: F.when(i == 1, F.get(qas["question_id"], first)).otherwise(x))
+    bundles = F.transform(qas["answers"], lambda b: b.withField("worker_id", F.array().cast("array<string>")))
+    hurt = (
+        qas.withField("question_writer", F.when(d != 3, qas["question_writer"]))
+        .withField("search_query", when(4, F.concat(qas["search_query"], F.array(F.lit("more"))), "search_query"))
+        .withField("question", when(5, altered(qas["question"], F.lit(" ")), "question"))
+        .withField(
+            "question_id",
+            F.when(d == 6, altered(qas["question_id"], F.lit(None).cast("string"))).otherwise(when(7, ids, "question_id")),
+        )
+        .withField("answers", when(9, bundles, "answers"))
+    )
+    papers = ev._papers(spark, sf).select(
+        "paper_ordinal", F.when(d == 1, " ").otherwise(F.col("id")).alias("id"), F.when(d != 2, hurt).alias("qas")
+    )
+    return integrity.papers(papers.unionByName(papers.filter(d == 8)))
+
+
 # --- V3 ----------------------------------------------------------------------------------
 
 _TRANSPORT = """
@@ -264,6 +312,22 @@ def semantic_artifact_rules(spark, sf):
     return integrity.semantic_artifacts(selected, kept, recorded, ev.THRESHOLD)
 
 
+@R.add(
+    "judge_reliability_rules",
+    """SELECT 'reliability_differs' AS rule, 'total_provider_attempts' AS key
+    UNION ALL SELECT 'reliability_differs', 'total_pacing_sleep_seconds'
+    UNION ALL SELECT 'reliability_differs', 'historical_judge_error_attempt_count'""",
+)
+def judge_reliability_rules(spark, sf):
+    rows, chosen = ev._history(spark, sf)
+    truth = integrity.as_metrics(semantic.reliability(chosen, rows))
+    wrong = ("total_provider_attempts", "total_pacing_sleep_seconds", "historical_judge_error_attempt_count")
+    # A difference of less than a millionth of a second is none.
+    off = F.when(F.col("name").isin(*wrong), 1.0).when(F.col("name") == "total_retry_backoff_sleep_seconds", 4e-7)
+    recorded = truth.withColumn("value", F.col("value") + F.coalesce(off, F.lit(0.0)))
+    return integrity.reliability(recorded, chosen, rows)
+
+
 # --- V8 ------------------------------------------------------------------------------------------------
 
 
@@ -413,6 +477,33 @@ def portable_document_rules(spark, sf):
     return integrity.portable_documents(stored, ["source_name", "section_header"])
 
 
+_METADATA = """
+SELECT CAST(doc_id AS STRING) AS chunk_id, CASE doc_id % 10 WHEN 5 THEN '[1]' WHEN 6 THEN '{{' WHEN 7 THEN NULL ELSE concat(
+  '{{"page": ', CAST(doc_id AS STRING), ', "fusion_score": 0.5, "section_header": null, "source_name": "', CASE doc_id % 10 WHEN 3 THEN '/srv/' ELSE '' END, source,
+  '", "filename": "', CASE doc_id % 10 WHEN 4 THEN 'up/' ELSE '' END, source, '.pdf"',
+  CASE doc_id % 10 WHEN 1 THEN ', "owner": "x"' WHEN 2 THEN ', "languages": ["de"]' WHEN 8 THEN ', "fingerprint": {{"a": 1}}' WHEN 9 THEN ', "raw_content": "[1] {{x}}"' ELSE '' END, '}}') END AS metadata
+FROM {documents}"""
+
+
+@R.add(
+    "portable_metadata_rules",
+    rules_sql(
+        "documents",
+        "CAST(doc_id AS STRING)",
+        {
+            "foreign_field": "doc_id % 10 = 1",
+            "non_scalar_languages": "doc_id % 10 = 2",
+            "absolute_source_name": "doc_id % 10 = 3",
+            "filename_with_folder": "doc_id % 10 = 4",
+            "not_an_object": "doc_id % 10 IN (5, 6, 7)",
+            "non_scalar_fingerprint": "doc_id % 10 = 8",
+        },
+    ),
+)
+def portable_metadata_rules(spark, sf):
+    return integrity.portable_metadata(derive(spark, sf, _METADATA))
+
+
 # --- V12 ----------------------------------------------------------------------------------------------------------
 
 
@@ -444,3 +535,15 @@ def checker_accounting_rules(spark, sf):
     wrong = name.isin("relevance|valid", "groundedness|unknown:malformed_output")
     recorded = again.withColumn("n", F.when(wrong, F.col("n") + 1).otherwise(F.col("n")))
     return integrity.accounting(recorded, again)
+
+
+@R.add(
+    "run_summary_rules",
+    """SELECT 'summary_differs' AS rule, 'selected' AS key UNION ALL SELECT 'summary_differs', 'answer_f1'
+    UNION ALL SELECT 'summary_differs', 'semantic_coverage'""",
+)
+def run_summary_rules(spark, sf):
+    summary = ev.run_summary(spark, sf)
+    wrong = {"selected": F.col("selected") + 1, "answer_f1": F.col("answer_f1") + 0.5, "semantic_coverage": F.lit(None).cast("double")}
+    stages = {"answer_f1": ev.f1_metrics(spark, sf), "semantic": ev.semantic_metrics_row(spark, sf)}
+    return integrity.summary_metrics(summary.withColumns(wrong), stages)
