@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -115,13 +116,14 @@ def hashed_terms(dimensions: int = 64) -> Embedder:
     """Deterministic default embedder: hashed term counts, L2-normalised."""
 
     def embed(texts: pd.Series) -> np.ndarray:
-        import xxhash
-
-        out = np.zeros((len(texts), dimensions))
+        out, numbers = np.zeros((len(texts), dimensions)), {}
         for row, body in enumerate(texts):
             for token in body.split():
-                out[row, xxhash.xxh64_intdigest(token) % dimensions] += 1.0
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
+                at = numbers.get(token)
+                if at is None:
+                    at = numbers[token] = int(md5(token.encode()).hexdigest()[:7], 16) % dimensions
+                out[row, at] += 1.0
+        norms = np.sqrt((out**2).sum(axis=1, keepdims=True))
         return out / np.where(norms == 0, 1.0, norms)
 
     return embed
@@ -134,12 +136,20 @@ def embed_texts(
     body: str = "text",
     name: str = "embedding",
 ) -> DataFrame:
-    """Vector column from a caller-supplied model, built once per Python worker batch stream."""
+    """Vector column from a caller-supplied model, built once per Python worker batch stream.
+
+    A NULL text has a NULL vector and is not shown to the model.
+    """
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embed = make_embedder()
         for batch in batches:
-            yield pd.Series(list(np.asarray(embed(batch), dtype=np.float32)))
+            found = pd.Series([None] * len(batch), dtype=object)
+            known = batch.notna().to_numpy()
+            if known.any():
+                made = np.asarray(embed(batch[known].reset_index(drop=True)), dtype=np.float32)
+                found[np.flatnonzero(known)] = pd.Series(list(made), index=np.flatnonzero(known), dtype=object)
+            yield found
 
     return rows.withColumn(name, vectors(F.col(body)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text
-from docquarry.functions.shipping import ship_per_question
+from docquarry.functions.shipping import ship_per_question, ship_texts
 
 SCORE_DIGITS = 10
 PairScorer = Callable[[pd.Series, pd.Series], pd.Series]
@@ -47,12 +47,13 @@ def rerank(
 
     Texts stay out of the ranking plan until here: ``questions`` (query_id,
     question) and ``passages`` (chunk_id, passage) join the capped candidates.
-    ``per_question`` is the cap the candidates were cut to.
+    ``per_question`` is the cap the candidates were cut to.  Candidates are sent to the passages without
+    a text; each question's text is sent once, if all of them are small.
     """
-    asked = candidates.join(questions.select("query_id", "question"), "query_id")
     if per_question is not None:
-        asked = ship_per_question(asked, questions, per_question)
-    pairs = passages.select("chunk_id", "passage").join(asked, "chunk_id")
+        candidates = ship_per_question(candidates, questions, per_question)
+    pairs = passages.select("chunk_id", "passage").join(candidates, "chunk_id")
+    pairs = pairs.join(ship_texts(questions.select("query_id", "question"), "question"), "query_id")
     scored = pairs.withColumn("rerank_score", scorer(F.col("question"), F.col("passage"))).drop(
         "question", "passage"
     )

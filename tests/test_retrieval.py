@@ -307,6 +307,14 @@ def test_embedder_is_normalised(spark):
     assert got[0] == got[1] and sum(x * x for x in got[0]) == pytest.approx(1.0)
 
 
+def test_a_text_without_words_and_no_text(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "id long, text string").coalesce(1)
+    got = {r["id"]: r["embedding"] for r in index.embed_texts(df).collect()}
+    assert got[1] is None and got[2] == [0.0] * 64 and sum(x * x for x in got[3]) == pytest.approx(1.0)
+    only_null = index.embed_texts(df.filter("id = 1")).first()
+    assert only_null["embedding"] is None
+
+
 def test_a_failing_row_does_not_fail_its_batch(spark):
     import pandas as pd
 

@@ -169,10 +169,10 @@ SELECT d.doc_id, n AS doc_count,
     WHEN 12 THEN concat('{{"scores":[', substring('1.0,1,1,1,1,1,1,1,1', 1, 2 * n + 1), '],"label":"low","explanation":"e"}}')
     WHEN 13 THEN concat('{{"scores":[', substring('2,1,1,1,1,1,1,1,1', 1, 2 * n - 1), '],"label":7,"explanation":"e"}}')
     ELSE concat(' {{"scores":[', substring('2,0,1,2,1,0,2,1,1', 1, 2 * n - 1), '],"label":"',
-      CASE quality + toxic WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END, '","explanation":" fits ", "extra":null}} ') END AS content,
+      CASE coalesce(quality, 0) + coalesce(toxic, 0) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END, '","explanation":" fits ", "extra":null}} ') END AS content,
   d.n_chars / 1000.0 AS latency
 FROM (SELECT doc_id, n_chars, CAST(doc_id % 8 AS INT) AS n, doc_id % 23 AS k FROM {documents}) d
-JOIN {labels} l ON l.doc_id = d.doc_id"""
+LEFT JOIN {labels} l ON l.doc_id = d.doc_id"""
 
 
 def _wording(w: checks.CheckerWording, kind: str) -> str:
@@ -227,10 +227,10 @@ SELECT d.doc_id, CASE WHEN k = 14 THEN ' ' ELSE text END AS context,
   CASE k WHEN 4 THEN '' WHEN 5 THEN '{{"label"' WHEN 6 THEN '"text"'
     WHEN 7 THEN '{{"label":"fine","explanation":"e"}}' WHEN 8 THEN '{{"label":"grounded"}}'
     WHEN 9 THEN '{{"label":null,"explanation":"e"}}' WHEN 10 THEN '{{"label":"grounded","explanation":5}}'
-    ELSE concat('{{"explanation":"so ", "label":"', CASE quality + toxic WHEN 0 THEN 'not_grounded'
+    ELSE concat('{{"explanation":"so ", "label":"', CASE coalesce(quality, 0) + coalesce(toxic, 0) WHEN 0 THEN 'not_grounded'
       WHEN 1 THEN 'partially_grounded' ELSE 'grounded' END, '"}}') END AS content,
   d.n_chars / 500.0 AS latency
-FROM (SELECT doc_id, text, n_chars, doc_id % 19 AS k FROM {documents}) d JOIN {labels} l ON l.doc_id = d.doc_id"""
+FROM (SELECT doc_id, text, n_chars, doc_id % 19 AS k FROM {documents}) d LEFT JOIN {labels} l ON l.doc_id = d.doc_id"""
 
 
 @R.add(

@@ -405,9 +405,9 @@ def _words(x):
 
 
 _F1_SQL = f"""{_REF_SQL}, ans AS ({plain(_ANSWERS)}),
-said AS (SELECT paper_id, question_id, t, count(*) AS c FROM (SELECT paper_id, question_id, unnest({_words(
+said AS MATERIALIZED (SELECT paper_id, question_id, t, count(*) AS c FROM (SELECT paper_id, question_id, unnest({_words(
   "CASE WHEN contains(lower(prediction), 'the document does not contain this information.') THEN 'Unanswerable' ELSE prediction END")}) AS t FROM ans WHERE status = 'success') GROUP BY ALL),
-want AS (SELECT paper_id, question_id, annotation_index, t, count(*) AS c FROM (SELECT paper_id, question_id, annotation_index, unnest({_words('answer')}) AS t
+want AS MATERIALIZED (SELECT paper_id, question_id, annotation_index, t, count(*) AS c FROM (SELECT paper_id, question_id, annotation_index, unnest({_words('answer')}) AS t
   FROM ref WHERE answer IS NOT NULL) GROUP BY ALL),
 saidn AS (SELECT paper_id, question_id, sum(c) AS n FROM said GROUP BY ALL),
 wantn AS (SELECT paper_id, question_id, annotation_index, sum(c) AS n FROM want GROUP BY ALL),
