@@ -49,6 +49,20 @@ def attach(docs: DataFrame, result: Column, fields: list[str]) -> DataFrame:
     )
 
 
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, text): every row as one struct, so that no column of it can clash with another name."""
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(f"`{text_col}`").alias("text"),
+    )
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **replaced: Column) -> DataFrame:
+    """The columns of ``docs`` again; ``replaced`` ones by name."""
+    return rows.select(*[replaced.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def rank_sample(rows: DataFrame, key: Column, bound: int, count: int) -> DataFrame:
     """About ``bound`` of ``count`` rows, chosen by a hash of ``key`` alone."""
     share = min(1.0, bound / max(count, 1))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import attach
+from docquarry.llm.common import attach, packed, unpacked
 
 WINDOW = 10
 GRAM = 5
@@ -326,7 +326,6 @@ def hit_words(spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents without a hit, all their columns."""
-    mark = "__contamination"
-    own = docs.withColumn(mark, F.col(f"`{text_col}`"))
-    found = find_contamination(own.select(mark, F.struct(*docs.columns).alias("__row")), benchmark, mark, **options)
-    return found.filter(F.size("spans") == 0).select("__row.*")
+    own = packed(docs, text_col, text_col).select("row", "text")
+    found = find_contamination(own, benchmark, "text", **options)
+    return unpacked(found.filter(F.size("spans") == 0), docs)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import narrow, settle
+from docquarry.llm.common import narrow, packed, settle, unpacked
 
 BITS_PER_ROW = 16
 MAX_SENT_WORDS = 1 << 20
@@ -122,18 +122,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows that the filter clears are not moved; only the others meet their class.
     """
-    digests = settle(narrow(docs, id_col, _digest(F.col(text_col)).alias("digest")), "digests")
+    rows = packed(docs, id_col, text_col).withColumn("digest", _digest(F.col("text")))
+    digests = settle(rows.select("doc_id", "digest"), "digests")
     repeats = RepeatFilter(digests)
-    classes = _classes(repeats.mark(digests, "digest", "candidate").filter("candidate")).select(
-        F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep")
-    )
-    own = docs.withColumn("__digest", _digest(F.col(text_col)))
-    marked = repeats.mark(own, "__digest", "__candidate")
+    classes = _classes(repeats.mark(digests, "digest", "candidate").filter("candidate"))
+    marked = repeats.mark(rows, "digest", "candidate")
     chosen = (
-        marked.filter("__candidate")
-        .join(classes, "__digest")
-        .filter(F.col(id_col).eqNullSafe(F.col("__keep")))
-        .dropDuplicates(["__digest"])
+        marked.filter("candidate")
+        .join(classes, "digest")
+        .filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        .dropDuplicates(["digest"])
     )
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return marked.filter(~F.col("__candidate")).select(*columns).unionByName(chosen.select(*columns))
+    return unpacked(marked.filter(~F.col("candidate")).select("row").unionByName(chosen.select("row")), docs)

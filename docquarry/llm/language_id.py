@@ -42,6 +42,16 @@ FIELDS = ["lang_pred", "score"]
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> Counter:
+    """Runs of letters with their number.  The pattern also takes numerals such as a half, which are none."""
+    counts = Counter(_WORD.findall(text.lower()))
+    for word in [w for w in counts if not w.isalpha()]:
+        times = counts.pop(word)
+        for part in "".join(c if c.isalpha() else " " for c in word).split():
+            counts[part] += times
+    return counts
+
+
 def _grams(word: str, size: int) -> list[str]:
     framed = word if size == 1 else f"<{word}>"
     return [framed[i : i + size] for i in range(len(framed) - size + 1)]
@@ -77,7 +87,7 @@ class Model:
         return np.full(len(self.languages), -np.log(len(self.languages)))
 
     def predict(self, text: str | None, remembered: dict) -> tuple[str, float]:
-        counts = Counter(_WORD.findall(text.lower())) if text else {}
+        counts = words_of(text) if text else {}
         if not counts or not self.languages:
             return UNDETERMINED, 0.0
         votes = []
