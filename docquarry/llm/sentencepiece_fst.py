@@ -37,6 +37,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,7 +157,7 @@ class Transducer:
         self.stretch = re.compile(
             ".+" if inner else f"\n|[^{MARK}\n]+|{MARK}+[^{MARK}\n]*", re.DOTALL
         )
-        self.paths: dict[str, tuple[int, ...]] = {}
+        self.paths = _Paths(self)
 
     def _add(self, piece: dict) -> None:
         text, kind = piece[TEXT_FIELD].decode("utf-8"), piece.get(TYPE_FIELD, NORMAL)
@@ -224,27 +225,41 @@ class Transducer:
             ids.extend((found,) if found >= 0 else reversed(self.fallback(text[at:end])))
         return tuple(reversed(ids))
 
+    def coded(self, text: str) -> tuple[bytes, bytes]:
+        """The ids of a text as 32-bit numbers, and what they write."""
+        # Ids and written bytes of a text are those of its stretches, one after the other.
+        found = list(map(self.paths.__getitem__, self.stretch.findall(self.normalised(text))))
+        return b"".join([ids for ids, _ in found]), b"".join([written for _, written in found])
+
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        paths = self.paths
-        for stretch in self.stretch.findall(self.normalised(text)):
-            path = paths.get(stretch)
-            if path is None:
-                path = self.shortest_path(stretch)
-                if len(stretch) <= 64:
-                    if len(paths) >= REMEMBERED_STRETCHES:
-                        paths.clear()
-                    paths[stretch] = path
-            ids += path
-        return ids
+        return np.frombuffer(self.coded(text)[0], np.int32).tolist()
+
+    def text_of(self, written: bytes) -> str:
+        """The text of written bytes; bytes that are not UTF-8 become the replacement character."""
+        if self.prefix and written[:1] == b" ":
+            written = written[1:]
+        return written.decode("utf-8", errors="replace")
 
     def decode(self, ids: list[int]) -> str:
-        """Text of ids; bytes that are not UTF-8 become the replacement character."""
         pieces = self.pieces
-        data = b"".join([pieces[i] for i in ids])
-        if self.prefix and data[:1] == b" ":
-            data = data[1:]
-        return data.decode("utf-8", errors="replace")
+        return self.text_of(b"".join([pieces[i] for i in ids]))
+
+
+class _Paths(dict):
+    """(ids, written bytes) of stretches; short ones are remembered, up to a bound."""
+
+    def __init__(self, machine: Transducer):
+        super().__init__()
+        self.machine = machine
+
+    def __missing__(self, stretch: str) -> tuple[bytes, bytes]:
+        ids = self.machine.shortest_path(stretch)
+        found = np.array(ids, np.int32).tobytes(), b"".join([self.machine.pieces[i] for i in ids])
+        if len(stretch) <= 64:
+            if len(self) >= REMEMBERED_STRETCHES:
+                self.clear()
+            self[stretch] = found
+        return found
 
 
 _COMPILED: dict[int, Transducer] = {}
@@ -277,15 +292,11 @@ def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text") -> D
     def code(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = compiled(sent.value)
         for column in columns:
-            ids, decoded, same = [], [], []
-            for value in column:
-                text = value.as_py()
-                found = None if text is None else machine.encode(text)
-                back = None if text is None else machine.decode(found)
-                ids.append(None if found is None else pa.array(found, pa.int32()))
-                decoded.append(back)
-                same.append(None if text is None else back == text)
-            lists = _list_array(ids)
+            texts = column.to_pylist()
+            coded = [None if text is None else machine.coded(text) for text in texts]
+            decoded = [None if c is None else machine.text_of(c[1]) for c in coded]
+            same = [None if text is None else back == text for text, back in zip(texts, decoded)]
+            lists = _list_array([None if c is None else c[0] for c in coded])
             yield pa.StructArray.from_arrays(
                 [lists, pa.array(decoded, pa.string()), pa.array(same, pa.bool_())],
                 names=[name for name, _ in kind],
@@ -300,11 +311,9 @@ def _typed(code):
     return code
 
 
-def _list_array(rows: list) -> pa.Array:
-    offsets, total = [], 0
-    for row in rows:
-        offsets.append(None if row is None else total)
-        total += 0 if row is None else len(row)
-    offsets.append(total)
-    values = pa.concat_arrays([r for r in rows if r is not None] or [pa.array([], pa.int32())])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+def _list_array(rows: list[bytes | None]) -> pa.Array:
+    """Lists of packed 32-bit numbers as one array."""
+    ends = np.cumsum([0] + [len(row or b"") // 4 for row in rows])
+    missing = np.array([row is None for row in rows] + [False])
+    values = pa.array(np.frombuffer(b"".join([row for row in rows if row]), np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=missing), values)
