@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import multiset, text
 from docquarry.operators.index import LexicalIndex, weighted_vocabulary
 from docquarry.params import Bm25Params
-from docquarry.session import ensure_checkpoint_dir
+from docquarry.session import ensure_checkpoint_dir, written
 from docquarry.sources.versions import Layout, Snapshot, VersionedTables
 
 # Chunk ordinals of one block; a term's entries of one range are one row.
@@ -82,27 +82,27 @@ def update(
     Chunks of a document that is indexed already take the place of its old ones.  The first call makes the
     index; ``buckets`` and ``width`` have to stay the same.
     """
-    ensure_checkpoint_dir(spark)
     tables = _tables(spark, path, buckets)
     before = tables.snapshot()
     empty = "kb_id string, doc_id string, chunk_id string, ordinal long, text string"
-    fresh = _counted(chunks if chunks is not None else spark.createDataFrame([], empty)).checkpoint()
+    # Written as columns; a checkpoint of rows takes several times the space of the texts.
+    fresh = written(_counted(chunks if chunks is not None else spark.createDataFrame([], empty)), "counted")
     changed = fresh.select("kb_id", "doc_id")
     if removed is not None:
         changed = changed.unionByName(removed.select("kb_id", "doc_id"))
-    changed = changed.distinct().checkpoint()
+    changed = written(changed.distinct(), "changed")
     documents = tables.layouts["documents"].touched(changed)
     terms = F.transform("counts", lambda c: c["term"]).alias("terms")
     added = fresh.select(*_FACTS, "dl", terms)
     held, gone = before.read("documents", documents), added.limit(0)
     if held is not None:
-        gone = held.join(changed, ["kb_id", "doc_id"], "left_semi").checkpoint()
+        gone = written(held.join(changed, ["kb_id", "doc_id"], "left_semi"), "gone")
         held = held.join(changed, ["kb_id", "doc_id"], "left_anti")
-    opened = (
+    opened = written(
         gone.unionByName(added)
         .select("kb_id", F.explode("terms").alias("term"), _range(F.col("ordinal"), width))
-        .distinct()
-        .checkpoint()
+        .distinct(),
+        "opened",
     )
     postings = tables.layouts["postings"].touched(opened)
     entries = fresh.select(*_FACTS, "dl", F.inline("counts")).select(
