@@ -235,59 +235,66 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _licence_sql() -> str:
     """The licence scan in SQL, over the same template list."""
     rows = ", ".join(
-        "({}, '{}', '{}')".format(n, name, wording.replace("'", "''"))
-        for n, (name, wording) in enumerate(licenses.TEMPLATES)
+        "({}, '{}', '{}', '{}', {})".format(
+            n, t.name, t.kind, t.wording.replace("'", "''"), licenses.least_of(t.kind)
+        )
+        for n, t in enumerate(licenses.TEMPLATES)
     )
     return rf"""
     WITH files AS (
         SELECT doc_id,
                concat_ws('/', coalesce(source, 'none'), doc_id // 10000, doc_id // 100, doc_id) AS path,
                concat_ws('/', coalesce(source, 'none'), doc_id // 10000, doc_id // 100) AS dir,
-               text,
-               coalesce(len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')), 0) AS words
+               list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '') AS terms
         FROM documents
-    ), templates(n, name, wording) AS (VALUES {rows}),
-    template_terms AS (
-        SELECT n, term, count(*) AS tf FROM (
-            SELECT n, unnest(regexp_extract_all(lower(wording), '[a-z0-9]+')) AS term FROM templates
-        ) GROUP BY ALL
-    ), vocabulary AS (SELECT DISTINCT term FROM template_terms),
-    found_terms AS (
-        SELECT DISTINCT doc_id, term FROM (
-            SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM documents
-        ) SEMI JOIN vocabulary USING (term)
-    ), weights AS (
-        SELECT term, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + count(doc_id))) + 1 AS idf
-        FROM vocabulary LEFT JOIN found_terms USING (term) GROUP BY term
-    ), raw AS (SELECT n, term, tf * idf AS w FROM template_terms JOIN weights USING (term)),
-    vectors AS (SELECT n, term, w / sqrt(sum(w * w) OVER (PARTITION BY n)) AS w FROM raw),
-    lines AS (
-        SELECT doc_id, i AS line_no, string_split(text, chr(10))[i + 1] AS line
-        FROM documents, range(len(string_split(text, chr(10)))) AS t(i)
-    ), line_terms AS (
-        SELECT doc_id, line_no, term, count(*) AS tf FROM (
-            SELECT doc_id, line_no, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM lines
-        ) GROUP BY ALL
-    ), weighed AS (
-        SELECT doc_id, line_no, term, tf,
-               tf * coalesce(idf, ln(1 + (SELECT count(*) FROM documents)) + 1) AS w
-        FROM line_terms LEFT JOIN weights USING (term)
-    ), norms AS (
-        SELECT doc_id, line_no, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM weighed GROUP BY ALL
+    ), templates(n, name, kind, wording, least) AS (VALUES {rows}),
+    template_lists AS (SELECT *, regexp_extract_all(lower(wording), '[a-z0-9]+') AS terms FROM templates),
+    template_words AS (
+        SELECT n, o - 1 AS o, terms[o] AS term FROM template_lists, range(1, len(terms) + 1) AS t(o)
+    ), words AS MATERIALIZED (
+        SELECT doc_id, i - 1 AS i, terms[i] AS term FROM files, range(1, len(terms) + 1) AS t(i)
+    ), weights AS MATERIALIZED (
+        SELECT term, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + count(DISTINCT doc_id))) + 1 AS idf
+        FROM (SELECT term, doc_id FROM words UNION ALL SELECT term, NULL FROM template_words) GROUP BY term
+    ), raw AS (
+        SELECT n, term, count(*) * any_value(idf) AS w FROM template_words JOIN weights USING (term) GROUP BY n, term
+    ), vectors AS MATERIALIZED (SELECT n, term, w / sqrt(sum(w * w) OVER (PARTITION BY n)) AS w FROM raw),
+    anchors AS (
+        SELECT n, term FROM templates JOIN vectors USING (n)
+        QUALIFY sqrt(greatest(1 - coalesce(sum(w * w) OVER (
+            PARTITION BY n ORDER BY w DESC, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0))
+            >= least - {licenses.SLACK}
+    ), units AS (
+        SELECT DISTINCT doc_id, n, greatest(i - o, 0) AS low, greatest(i - o, 0) + len(terms) - 1 AS high
+        FROM anchors JOIN template_words USING (n, term) JOIN template_lists USING (n)
+        JOIN words USING (term) WHERE kind <> 'whole'
+        UNION ALL
+        SELECT DISTINCT doc_id, n, 0, len(f.terms) - 1
+        FROM anchors JOIN templates USING (n) JOIN words USING (term) JOIN files f USING (doc_id)
+        WHERE kind = 'whole'
+    ), counted AS (
+        SELECT doc_id, n, low, term, count(*) AS tf
+        FROM units JOIN words USING (doc_id) WHERE i BETWEEN low AND high GROUP BY ALL
     ), cosines AS (
-        SELECT doc_id, line_no, n, round(sum(a.w * v.w) / any_value(norm), 9) AS cosine, any_value(words) AS words
-        FROM weighed a JOIN vectors v USING (term) JOIN norms USING (doc_id, line_no)
-        GROUP BY doc_id, line_no, n
-    ), licence_lines AS (
-        SELECT * FROM cosines WHERE cosine >= {licenses.MIN_COSINE}
-        QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY cosine DESC, n) = 1
-    ), own AS (
-        SELECT doc_id, first(n ORDER BY cosine DESC, n) AS n, max(cosine) AS cosine, sum(words) AS licence_words
-        FROM licence_lines GROUP BY doc_id
+        SELECT c.doc_id, c.n, c.low, sum(tf) AS size,
+               round(sum(tf * idf * coalesce(v.w, 0)) / sqrt(sum(tf * idf * tf * idf)), 9) AS cosine
+        FROM counted c JOIN weights USING (term) LEFT JOIN vectors v ON v.n = c.n AND v.term = c.term
+        GROUP BY c.doc_id, c.n, c.low
+    ), matches AS (
+        SELECT c.*, name, kind, len(l.terms) AS length,
+               kind = 'whole' OR (kind = 'title' AND low < {licenses.HEAD_TERMS}
+                                  AND cosine >= {licenses.MIN_TITLE}) AS is_text
+        FROM cosines c JOIN template_lists l USING (n) WHERE cosine >= least
+    ), best AS (
+        SELECT doc_id, name AS own, cosine, is_text FROM matches
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY is_text DESC, cosine DESC, length DESC, n) = 1
+    ), covered AS (
+        SELECT doc_id, count(DISTINCT low + k) AS licence_words
+        FROM matches, range(size::BIGINT) AS t(k) WHERE kind <> 'whole' GROUP BY doc_id
     ), scanned AS (
-        SELECT f.doc_id, path, dir, name AS own, cosine,
-               coalesce(licence_words >= words * 0.1, false) AS licence_file
-        FROM files f LEFT JOIN own USING (doc_id) LEFT JOIN templates USING (n)
+        SELECT f.doc_id, path, dir, own, cosine,
+               coalesce(is_text OR coalesce(licence_words, 0) >= len(terms) * 0.1, false) AS licence_file
+        FROM files f LEFT JOIN best USING (doc_id) LEFT JOIN covered USING (doc_id)
     ), licensed AS (
         SELECT dir, first(own ORDER BY cosine DESC, path) AS licence FROM scanned WHERE licence_file GROUP BY dir
     ), near AS (

@@ -252,19 +252,61 @@ def test_licences(spark):
 
 
 @pytest.mark.parametrize("copies", [1, 20])
-def test_licence_lines_stay_when_the_corpus_is_copied(spark, copies):
-    rows = [(i, "Released under the MIT License data") for i in range(4 * copies)]
+def test_licence_windows_stay_when_the_corpus_is_copied(spark, copies):
+    rows = [(i, "Released under the MIT data License") for i in range(4 * copies)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = licenses.licence_lines(docs, "doc_id", "text").collect()
-    assert len(found) == 4 * copies and {round(r.cosine, 3) for r in found} == {0.913}
+    found = licenses.licence_matches(docs, "doc_id", "text").collect()
+    # The window ends before the sixth word; "license" lays another one of "MIT data License".
+    assert {round(r.cosine, 3) for r in found if r.at == 0} == {0.8}
+    assert len([r for r in found if r.at == 0 and r.n == 2]) == 4 * copies
 
 
-def test_lines_without_anchors_stay_below_the_threshold():
+def test_texts_without_anchors_stay_below_the_least_cosine():
     weights = {t: 1.0 + len(t) for terms in licenses._template_terms() for t in terms}
     vectors = licenses.template_vectors(weights)
-    found = licenses.anchors(vectors)
-    for vector in vectors:
-        assert sum(w * w for t, w in vector.items() if t not in found) < licenses.MIN_COSINE**2
+    for template, vector, found in zip(licenses.TEMPLATES, vectors, licenses.anchors(vectors)):
+        rest = sum(w * w for t, w in vector.items() if t not in found)
+        assert rest < licenses.least_of(template.kind) ** 2
+
+
+def wording(name, kind, n=0):
+    return [t.wording for t in licenses.TEMPLATES if (t.name, t.kind) == (name, kind)][n]
+
+
+def test_whole_licences_and_wrapped_headers(spark):
+    random.seed(4)
+    code = [f"name{i}" for i in range(400)]
+
+    def prose(n):
+        return " ".join(random.choice(code) for _ in range(n))
+
+    def wrapped(text, width=9, mark="# "):
+        own = text.split()
+        return "\n".join(mark + " ".join(own[i : i + width]) for i in range(0, len(own), width))
+
+    agpl = wording("AGPL-3.0", "title") + " Everyone may copy.\n" + prose(900) + "\n" + wording("GPL-3.0", "header", 2)
+    files = {
+        "mit/LICENSE": ("MIT License\n\nCopyright (c) 2020 Some One\n\n" + wrapped(wording("MIT", "whole"), 11, ""), "MIT", True),
+        "mit/src/a": (prose(40), "MIT", False),
+        "two/LICENSE": ("Copyright 2001 A B, all rights reserved.\n" + wording("BSD-2-Clause", "whole"), "BSD-2-Clause", True),
+        "three/LICENSE": ("Copyright 2001 A B\n" + wording("BSD-3-Clause", "whole"), "BSD-3-Clause", True),
+        "isc/LICENSE": ("ISC License\n" + wording("ISC", "whole"), "ISC", True),
+        "free/UNLICENSE": (wording("Unlicense", "whole"), "Unlicense", True),
+        "apache/LICENSE": (wrapped(wording("Apache-2.0", "title"), 4, "   ") + "\n" + prose(2000), "Apache-2.0", True),
+        "apache/x/y": (None, "Apache-2.0", False),
+        "agpl/COPYING": (agpl, "AGPL-3.0", True),
+        "agpl/deep/er/b": (prose(30), "AGPL-3.0", False),
+        "gpl/COPYING": (wording("GPL-3.0", "title") + "\n" + prose(900) + " " + wording("AGPL-3.0", "header"), "GPL-3.0", True),
+        "own/wrapped": (wrapped(wording("MIT", "header", 1)) + "\n" + prose(600), "MIT", False),
+        "own/behind": (prose(30) + " Released under the MIT License " + prose(30), "MIT", False),
+        "own/two": (wrapped(wording("GPL-2.0", "header")) + "\n" + prose(600), "GPL-2.0", False),
+        "own/late": (prose(900) + "\n" + wording("AGPL-3.0", "title"), "AGPL-3.0", False),
+        "own/none": (prose(50) + " license of the software", None, False),
+    }
+    rows = [(i, p, text) for i, (p, (text, _, _)) in enumerate(files.items())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, p string, text string")
+    got = {r.path: (r.licence, r.licence_file) for r in licenses.scan_licences(docs, F.col("p")).collect()}
+    assert got == {p: (name, is_file) for p, (_, name, is_file) in files.items()}
 
 
 def test_toxicity(spark):
