@@ -1,11 +1,12 @@
 """Secrets in text: fixed shapes, and strings that look drawn at random.
 
 Three shapes are found by pattern: assignments of a long value to a telling name,
-access key ids and long hexadecimal runs.  Beyond them, every run of 16 or more
-key characters is scored by two first-order character Markov models, one
-of random strings and one of ordinary identifiers; a run whose log-likelihood ratio
-reaches ``MIN_RATIO`` is a span of kind ``markov``.  Runs that touch a span of the fixed
-shapes are not scored, so those spans stay as they are.
+access key ids and long hexadecimal runs.  Beyond them, runs of 16 or more key characters are
+scored outside those spans by two first-order character Markov models, one of random strings and
+one of ordinary identifiers.  A stretch of at least ``MIN_STRETCH`` characters whose summed
+log-likelihood ratio reaches ``MIN_RATIO`` is a span of kind ``markov``, in whole pieces between
+separators, so that a key inside a path or behind a fixed shape is found without what is around
+it.  The spans of the fixed shapes stay as they are.
 
 The models are counted by Spark from labelled samples (value, is_random).
 :func:`labelled_samples` takes them from documents: values inside the fixed shapes are
@@ -20,7 +21,7 @@ repeated results.  Input columns named like a result are replaced by it.
 
 from __future__ import annotations
 
-import math
+import bisect
 import re
 
 import numpy as np
@@ -34,6 +35,7 @@ MAX_SAMPLE_DOCS = 20_000
 MIN_RUN = 16
 MIN_ORDINARY = 4
 MIN_RATIO = 12.0
+MIN_STRETCH = 12
 ROW_PRIOR = 5.0
 
 # The kinds in the order of equal starts, their patterns and least lengths.
@@ -49,6 +51,7 @@ HEX = re.compile(r"[0-9a-f]+")
 MIN_HEX = 16
 
 _KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+_PIECE = re.compile(r"[A-Za-z0-9]+")
 _LONG_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_RUN)
 _ANY_RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 _INDEX = {c: i for i, c in enumerate(_KEY_CHARS)}
@@ -96,9 +99,54 @@ class MarkovPair:
         ratio = _log_rows(random) - _log_rows(ordinary)
         self.table = {a: dict(zip(_KEY_CHARS, ratio[i].tolist())) for a, i in _INDEX.items()}
 
-    def ratio(self, run: str) -> float:
-        table = self.table
-        return math.fsum(table[a][b] for a, b in zip(run, run[1:]))
+    def stretches(self, run: str) -> list[tuple[int, int]]:
+        """Stretches (start, end) whose ratio reaches ``MIN_RATIO``, in one pass.
+
+        A stretch begins where the sum so far is not positive, ends where the sum is greatest, and
+        is closed when the sum is back at zero or has fallen by more than ``MIN_RATIO``.
+        """
+        found, table = [], self.table
+        start, peak, total, best = 0, 0, 0.0, 0.0
+        for i in range(1, len(run)):
+            total += table[run[i - 1]][run[i]]
+            if total > best:
+                best, peak = total, i + 1
+            elif total <= 0.0 or best - total > MIN_RATIO:
+                if best >= MIN_RATIO:
+                    found.append((start, peak))
+                start, total, best = i, 0.0, 0.0
+        if best >= MIN_RATIO:
+            found.append((start, peak))
+        return found
+
+    def keys(self, run: str) -> list[tuple[int, int]]:
+        """The long stretches in whole pieces between separators: those at least half inside one."""
+        pieces = [m.span() for m in _PIECE.finditer(run)]
+        ends = [end for _, end in pieces]
+        found: list[tuple[int, int]] = []
+        for low, high in self.stretches(run):
+            if high - low < MIN_STRETCH:
+                continue
+            first, last = bisect.bisect_right(ends, low), bisect.bisect_left(ends, high)
+            last = min(last, len(pieces) - 1)
+            while first <= last and not _half_inside(pieces[first], low, high):
+                first += 1
+            while first <= last and not _half_inside(pieces[last], low, high):
+                last -= 1
+            if first > last:
+                continue
+            low, high = pieces[first][0], pieces[last][1]
+            # The padding of an encoded key belongs to it.
+            while high < len(run) and run[high] == "=":
+                high += 1
+            if found and low < found[-1][1]:
+                low = found.pop()[0]
+            found.append((low, high))
+        return [span for span in found if span[1] - span[0] >= MIN_STRETCH]
+
+
+def _half_inside(piece: tuple[int, int], low: int, high: int) -> bool:
+    return 2 * (min(high, piece[1]) - max(low, piece[0])) >= piece[1] - piece[0]
 
 
 def _log_rows(counts: np.ndarray) -> np.ndarray:
@@ -116,15 +164,36 @@ def all_spans(text: str | None, model: MarkovPair | None) -> list[tuple[int, int
     spans = [(start, kind, end) for start, kind, end, _ in shape_spans(text, runs)]
     if model is not None and model.ready:
         fixed = list(spans)
+        at = 0
         for low, high in runs:
-            if any(start < high and low < end for start, _, end in fixed):
-                continue
-            if model.ratio(text[low:high]) >= MIN_RATIO:
-                spans.append((low, 3, high))
+            # Fixed spans and runs are in order; a span may reach over several runs.
+            while at < len(fixed) and fixed[at][2] <= low:
+                at += 1
+            for start, end in _outside(low, high, fixed[at:_first_from(fixed, at, high)]):
+                if end - start >= MIN_STRETCH:
+                    spans += [(start + a, 3, start + b) for a, b in model.keys(text[start:end])]
         spans.sort()
     return spans
 
 
+def _first_from(fixed: list[tuple[int, int, int]], at: int, high: int) -> int:
+    while at < len(fixed) and fixed[at][0] < high:
+        at += 1
+    return at
+
+
+def _outside(low: int, high: int, fixed: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a run that no fixed span covers."""
+    parts = []
+    for start, _, end in fixed:
+        if start > low:
+            parts.append((low, start))
+        low = max(low, end)
+    if low < high:
+        parts.append((low, high))
+    return parts
+
+
 def labelled_samples(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_SAMPLE_DOCS
 ) -> DataFrame:

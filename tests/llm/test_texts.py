@@ -129,6 +129,69 @@ def test_markov_spans_are_added(spark):
     assert all([(s.start, secret_scan.KINDS.index(s.kind), s.end) for s in got[i]] == brute_base(t) for i, t in rows[:60])
 
 
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+PLAIN = ["config", "repository", "document", "index", "handler", "connection", "user", "service", "version", "build"]
+
+
+def random_key(n):
+    return "".join(random.choice(ALPHABET) for _ in range(n))
+
+
+def ordinary_run():
+    parts = [random.choice(PLAIN) for _ in range(random.randint(3, 8))]
+    return random.choice("/._-").join(parts) + random.choice(["", "/2024", ".py", "_v2"])
+
+
+@pytest.fixture(scope="module")
+def secret_model(spark):
+    random.seed(12)
+    rows = [
+        (i, f"token={random_key(32)} " + " ".join(random.choice(PLAIN) + random.choice(["", "_id", ".py"]) for _ in range(40)))
+        for i in range(150)
+    ]
+    return secret_scan.train(secret_scan.labelled_samples(docs_of(spark, rows)))
+
+
+def test_stretches_are_found_where_any_substring_reaches_the_ratio(secret_model):
+    random.seed(3)
+    seen = set()
+    for _ in range(300):
+        run = "".join(random.choice([random_key(random.randint(1, 14)), random.choice(PLAIN), "/"]) for _ in range(5))
+        steps = [secret_model.table[a][b] for a, b in zip(run, run[1:])]
+        sums = {(i, j + 1): sum(steps[i:j]) for i in range(len(run)) for j in range(i + 1, len(run))}
+        most = max(sums.values(), default=0.0)
+        found = secret_model.stretches(run)
+        seen.add(bool(found))
+        assert bool(found) == (most >= secret_scan.MIN_RATIO)
+        assert all(sums[span] >= secret_scan.MIN_RATIO - 1e-9 for span in found)
+        assert all(a[1] <= b[0] + 1 for a, b in zip(found, found[1:]))
+        keys = secret_model.keys(run)
+        assert all(a[1] <= b[0] for a, b in zip(keys, keys[1:])) and all(0 <= a < b <= len(run) for a, b in keys)
+    assert seen == {True, False}
+
+
+def test_keys_in_paths_and_behind_fixed_shapes(spark, secret_model):
+    """Labelled runs: keys alone, in paths and behind hexadecimal runs, and ordinary ones."""
+    random.seed(5)
+    rows, truth = [], {}
+    for i in range(400):
+        if i % 2:
+            rows.append((i, "see " + ordinary_run() + " there"))
+            continue
+        key = random_key(32)
+        lead = ["", "https://host.example.com/service/build/", "deadbeefdeadbeef/"][i // 2 % 3]
+        rows.append((i, f"at {lead}{key} end"))
+        truth[i] = (3 + len(lead), 3 + len(lead) + len(key))
+    got = {r.doc_id: r["spans"] for r in secret_scan.find_secrets(docs_of(spark, rows), secret_model).collect()}
+    exact = sum(truth[i] in [(s.start, s.end) for s in got[i] if s.kind == "markov"] for i in truth)
+    alarms = sum(any(s.kind == "markov" for s in got[i]) for i, _ in rows if i % 2)
+    assert exact >= 0.95 * len(truth) and alarms <= 2
+    for i, text in rows:
+        assert [(s.start, secret_scan.KINDS.index(s.kind), s.end) for s in got[i] if s.kind != "markov"] == brute_base(text)
+        own = [(s.start, s.end) for s in got[i]]
+        assert own == sorted(own) and all(a[1] <= b[0] for a, b in zip(own, own[1:]))
+
+
 def test_markov_without_samples(spark):
     model = secret_scan.train(secret_scan.labelled_samples(docs_of(spark, [])))
     assert not model.ready
