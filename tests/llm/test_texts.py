@@ -1,7 +1,9 @@
+import math
 import random
 import re
 
 import pytest
+import regex
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
@@ -216,6 +218,70 @@ def test_languages(spark):
     assert language_id.identify(docs_of(spark, []), model).collect() == []
 
 
+def brute_languages(rows, texts):
+    """Word-first back-off in plain Python, word by word."""
+    languages = sorted({lang for _, _, lang in rows if lang is not None})
+    known = {"word": {}, "gram": {}}
+    for _, text, lang in rows:
+        for word in regex.findall(r"\p{L}+", (text or "").lower()) if lang is not None else []:
+            entries = [("word", word)] + [
+                ("gram", part[i : i + n])
+                for n in range(1, 6)
+                for part in [word if n == 1 else f"<{word}>"]
+                for i in range(len(part) - n + 1)
+            ]
+            for kind, entry in entries:
+                by = known[kind].setdefault(entry, dict.fromkeys(languages, 0))
+                by[lang] += 1
+    votes = {}
+    for kind, table in known.items():
+        kept = {e: by for e, by in table.items() if sum(by.values()) >= 3}
+        totals = {x: max(1, sum(by[x] for by in kept.values())) for x in languages}
+        for entry, by in kept.items():
+            chances = [(by[x] + 0.5) / totals[x] for x in languages]
+            votes[kind, entry] = [math.log(c / sum(chances)) for c in chances]
+
+    def vote(word):
+        if ("word", word) in votes:
+            return votes["word", word]
+        for n in range(5, 0, -1):
+            part = word if n == 1 else f"<{word}>"
+            found = [votes["gram", part[i : i + n]] for i in range(len(part) - n + 1) if ("gram", part[i : i + n]) in votes]
+            if found:
+                return [sum(x) / len(found) for x in zip(*found)]
+        return [-math.log(len(languages))] * len(languages)
+
+    answers = []
+    for text in texts:
+        said = [vote(w) for w in regex.findall(r"\p{L}+", (text or "").lower())]
+        if not said:
+            answers.append(("und", 0.0))
+            continue
+        sums = [round(sum(x), 9) for x in zip(*said)]
+        best = sums.index(max(sums))
+        answers.append((languages[best], sum(math.exp(v[best]) for v in said) / len(said)))
+    return answers
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_languages_equal_brute_force(spark, seed):
+    random.seed(seed)
+    stems = {"aa": ["ka", "lo", "mi", "né"], "bb": ["ka", "st", "rr", "ou"], "cc": ["mi", "zo", "ß", "ou"]}
+
+    def text(lang, n):
+        own = ["".join(random.choice(stems[lang]) for _ in range(random.randint(1, 4))) for _ in range(n)]
+        return random.choice([" ", ", ", " ½ ", "-", "7"]).join(own).title()
+
+    rows = [(i, text(lang, random.randint(0, 12)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 15)]
+    rows += [(500, None, "aa"), (501, text("bb", 5), None), (502, "", "cc")]
+    ask = [text(random.choice("abc") * 2, random.randint(0, 9)) for _ in range(60)] + [None, "", "½ ² Ⅷ", "q", "漢字 ka"]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    found = language_id.identify(docs_of(spark, list(enumerate(ask))), model).collect()
+    got = {r.doc_id: (r.lang_pred, r.score) for r in found}
+    for i, (lang, score) in enumerate(brute_languages(rows, ask)):
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-9)
+
+
 def test_backing_off_uses_the_longest_known_grams():
     model = language_id.Model(["x", "y"], {"known": {"x": 9}}, {"<ab": {"y": 5}, "a": {"x": 50}})
     assert model.vote("known").argmax() == 0
