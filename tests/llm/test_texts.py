@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 import regex
 import public_tokenizers
@@ -73,7 +74,6 @@ def test_contamination_of_and_by_nothing(spark):
 
 
 def test_every_long_shared_span_keeps_a_fingerprint():
-    import numpy as np
 
     rng = np.random.default_rng(2)
     for _ in range(200):
@@ -465,6 +465,69 @@ def test_toxicity(spark):
     assert all(r.p_toxic > 0.9 for r in toxicity.score(docs, one_class).collect())
 
 
+def brute_chain(texts, labels, folds, asked):
+    """The chain in one place: features by hand, ridge logistic fits by reweighted least squares."""
+
+    def said(text):
+        words = regex.findall(r"\p{L}+", (text or "").lower())
+        return {*words, *(w[:n] + "*" for n in (4, 5) for w in words if len(w) > n)}
+
+    ids = sorted(labels)
+    own = {i: said(texts[i]) for i in ids}
+    times = {f: sum(f in own[i] for i in ids) for i in ids for f in own[i]}
+    kept = sorted(f for f, n in times.items() if 5 <= n < len(ids))
+
+    def row(text, before):
+        return [float(f in said(text)) for f in kept] + list(before) + [1.0]
+
+    def fit(x, y):
+        x, y = np.array(x), np.array(y, float)
+        ridge = np.sqrt([1.0] * (x.shape[1] - 1) + [1e-6])
+        w = np.zeros(x.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x @ w))
+            root = np.sqrt(p * (1 - p))
+            target = np.concatenate([root * (x @ w) + (y - p) / root, np.zeros(len(w))])
+            w = np.linalg.lstsq(np.vstack([root[:, None] * x, np.diag(ridge)]), target, rcond=None)[0]
+        return w
+
+    def chance(w, x):
+        return 1 / (1 + math.exp(-np.dot(w, x)))
+
+    before = {i: [] for i in ids}
+    models = []
+    for position in range(len(labels[ids[0]])):
+        x = {i: row(texts[i], before[i]) for i in ids}
+        y = {i: labels[i][position] for i in ids}
+        models.append(fit([x[i] for i in ids], [y[i] for i in ids]))
+        unseen = {f: fit([x[i] for i in ids if folds[i] != f], [y[i] for i in ids if folds[i] != f]) for f in set(folds.values())}
+        before = {i: before[i] + [chance(unseen[folds[i]], x[i])] for i in ids}
+    answers = []
+    for text in asked:
+        found = []
+        for w in models:
+            found.append(chance(w, row(text, found)))
+        answers.append(found)
+    return answers
+
+
+def test_toxicity_chain_equals_brute_force(spark):
+    random.seed(17)
+    stems = ["vile", "grumble", "meadow", "river", "lantern", "harbour", "été", "stone"]
+    texts = {i: " ".join(random.choice(stems) for _ in range(random.randint(1, 5))) for i in range(90)}
+    labels = {}
+    for i, text in texts.items():
+        rude = int(("grumble" in text) != (random.random() < 0.15))
+        labels[i] = (rude, int(("vile" in text and rude) or random.random() < 0.1))
+    table = spark.createDataFrame([(i, *y) for i, y in labels.items()], "doc_id bigint, rude int, toxic int")
+    folds = {r.doc_id: r.fold for r in table.selectExpr("doc_id", "pmod(xxhash64(doc_id, 1), 3) AS fold").collect()}
+    asked = [*texts.values(), None, "", "unheard words", "Vile GRUMBLE river"]
+    chain = toxicity.train(docs_of(spark, list(texts.items())), table, {"rude": F.col("rude"), "toxic": F.col("toxic")})
+    got = {r.doc_id: (r.p_rude, r.p_toxic) for r in toxicity.score(docs_of(spark, list(enumerate(asked))), chain).collect()}
+    for i, want in enumerate(brute_chain(texts, labels, folds, asked)):
+        assert got[i] == pytest.approx(want, abs=1e-4)
+
+
 def test_out_of_fold_models_have_not_seen_the_row(spark):
     rows = spark.createDataFrame(
         [([float(i % 2)], i % 3, [0] if i % 2 else [], []) for i in range(30)],
