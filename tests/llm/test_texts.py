@@ -74,7 +74,6 @@ def test_contamination_of_and_by_nothing(spark):
 
 
 def test_every_long_shared_span_keeps_a_fingerprint():
-
     rng = np.random.default_rng(2)
     for _ in range(200):
         span = rng.integers(0, 5, 10).astype(np.uint64)
