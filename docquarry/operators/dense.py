@@ -31,9 +31,21 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
+def _first_cells(dist: np.ndarray, count: int) -> np.ndarray:
+    """Columns of the ``count`` smallest values of every row, smallest first, ties by column; NaN is last."""
+    count = min(count, dist.shape[1])
+    worst = np.partition(dist, count - 1, axis=1)[:, count - 1 : count]
+    # Not "at most", so that a row whose values are not numbers keeps its place.
+    row, column = np.nonzero(~(dist > worst))
+    order = np.lexsort((dist[row, column], row))
+    row, column = row[order], column[order]
+    first = np.searchsorted(row, np.arange(len(dist)))
+    return column[first[:, None] + np.arange(count)]
+
+
 def _nearest(queries: np.ndarray, rows: pd.DataFrame, top_n: int) -> list[np.ndarray]:
     """[distance, ordinal, chunk id] matrices of the best rows for every question."""
-    # Rows in ordinal order make a stable sort break ties by ordinal.
+    # Rows in ordinal order break ties by ordinal.
     rows = rows.sort_values("ordinal", kind="stable")
     vectors = _matrix(rows["embedding"])
     norms = (vectors**2).sum(axis=1)
@@ -43,7 +55,8 @@ def _nearest(queries: np.ndarray, rows: pd.DataFrame, top_n: int) -> list[np.nda
         block = queries[at : at + step]
         dist = (block**2).sum(axis=1)[:, None] + norms[None, :] - 2.0 * block @ vectors.T
         dist = np.round(np.maximum(dist, 0.0), DISTANCE_DIGITS)
-        best = np.argsort(dist, axis=1, kind="stable")[:, :top_n]
+        # Only the chosen cells are kept, never a view of the whole block.
+        best = _first_cells(dist, top_n)
         parts.append((np.take_along_axis(dist, best, axis=1), best))
     picked = np.concatenate([b for _, b in parts])
     return [

@@ -360,3 +360,29 @@ def test_lexical_search_in_place_equals_search_by_postings(spark, rows):
     assert rows(lexical.top_chunks(asked, lex, 6), *columns) == rows(lexical.top_chunks(asked, moved, 6), *columns)
     plan = lexical.top_chunks(asked, lex, 6)._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange" in line and "text" in line]
+
+
+def test_a_search_keeps_the_chosen_cells_only(monkeypatch):
+    """Blocks of the distance matrix go before the next one; ties keep the smaller ordinal, NaN is last."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rnd = np.random.default_rng(5)
+    data = np.round(rnd.normal(size=(2_000, 4)), 1)
+    data[7] = np.nan
+    rows = pd.DataFrame({"chunk_id": [str(i) for i in range(2_000)], "ordinal": range(2_000), "embedding": list(data)})
+    monkeypatch.setattr(dense, "_MATRIX_CELLS", 20_000)
+    asked = np.concatenate([data[:40], data[7:8]])
+    tracemalloc.start()
+    distance, ordinal, _ = dense._nearest(np.repeat(asked, 50, axis=0), rows.sample(frac=1.0, random_state=1), 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All blocks together have 4.1 million cells of 8 bytes.
+    assert peak < 8e6
+    for q in range(40):
+        if q != 7:
+            want = sorted((round(float(((data[q] - v) ** 2).sum()), 8), i) for i, v in enumerate(data) if i != 7)[:6]
+            assert [i for _, i in want] == ordinal[50 * q].tolist()
+    assert ordinal[-1].tolist() == [0, 1, 2, 3, 4, 5] and np.isnan(distance[-1]).all()
