@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +11,9 @@ from docquarry.params import ChunkParams
 from docquarry.session import written
 
 _CHUNKS = "array<struct<start:int,stop:int,text:string>>"
+_ARROW_CHUNKS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("text", pa.string())]))
+# Texts of a batch whose windows are Python objects at once.
+SLICE_ROWS = 256
 
 
 def _next_stop(body: str, start: int, size: int) -> int:
@@ -43,18 +44,28 @@ def cut(body: str, size: int, overlap: int) -> list[tuple[int, int, str]]:
     return pieces
 
 
+def windows_of(texts: pa.Array, size: int, overlap: int) -> pa.Array:
+    """The windows of every text; only those of a slice of texts are Python objects at once."""
+
+    def cells(body: str | None) -> list[dict] | None:
+        if body is None:
+            return None
+        return [{"start": a, "stop": b, "text": t} for a, b, t in cut(body, size, overlap)]
+
+    parts = [pa.array([], _ARROW_CHUNKS)]
+    for at in range(0, len(texts), SLICE_ROWS):
+        bodies = texts.slice(at, SLICE_ROWS).to_pylist()
+        parts.append(pa.array([cells(body) for body in bodies], _ARROW_CHUNKS))
+    return pa.concat_arrays(parts)
+
+
 def chunk_column(body: Column, params: ChunkParams) -> Column:
     """Array of windows for each text; documents are independent of each other."""
     size, overlap = params.size, params.overlap
 
-    @F.pandas_udf(_CHUNKS)
-    def windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(
-                lambda body: [
-                    {"start": a, "stop": b, "text": t} for a, b, t in cut(body, size, overlap)
-                ]
-            )
+    @F.arrow_udf(_CHUNKS)
+    def windows(column: pa.Array) -> pa.Array:
+        return windows_of(column, size, overlap)
 
     return windows(body)
 
