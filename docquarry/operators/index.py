@@ -8,6 +8,7 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,14 +111,22 @@ def read_lexical_index(spark, path: str) -> LexicalIndex:
 
 
 Embedder = Callable[[pd.Series], np.ndarray]
+# Texts of a batch that are shown to an embedder at once.
+EMBED_ROWS = 256
+# Places of terms that the default embedder keeps between its calls.
+REMEMBERED_TERMS = 200_000
 
 
 def hashed_terms(dimensions: int = 64) -> Embedder:
     """Deterministic default embedder: hashed term counts, L2-normalised."""
 
+    numbers: dict[str, int] = {}
+
     def embed(texts: pd.Series) -> np.ndarray:
-        out, numbers = np.zeros((len(texts), dimensions)), {}
+        out = np.zeros((len(texts), dimensions))
         for row, body in enumerate(texts):
+            if len(numbers) > REMEMBERED_TERMS:
+                numbers.clear()
             for token in body.split():
                 at = numbers.get(token)
                 if at is None:
@@ -141,15 +150,22 @@ def embed_texts(
     A NULL text has a NULL vector and is not shown to the model.
     """
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    kind = pa.list_(pa.float32())
+
+    @F.arrow_udf("array<float>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embed = make_embedder()
         for batch in batches:
-            found = pd.Series([None] * len(batch), dtype=object)
-            known = batch.notna().to_numpy()
-            if known.any():
-                made = np.asarray(embed(batch[known].reset_index(drop=True)), dtype=np.float32)
-                found[np.flatnonzero(known)] = pd.Series(list(made), index=np.flatnonzero(known), dtype=object)
-            yield found
+            parts = [pa.array([], kind)]
+            for at in range(0, len(batch), EMBED_ROWS):
+                texts = batch.slice(at, EMBED_ROWS).to_pylist()
+                known = [row for row, body in enumerate(texts) if body is not None]
+                found: list = [None] * len(texts)
+                if known:
+                    made = np.asarray(embed(pd.Series([texts[row] for row in known])), dtype=np.float32)
+                    for row, vector in zip(known, made):
+                        found[row] = vector
+                parts.append(pa.array(found, kind))
+            yield pa.concat_arrays(parts)
 
     return rows.withColumn(name, vectors(F.col(body)))

@@ -2,9 +2,11 @@
 
 import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 
-from docquarry.operators import chunking
+from docquarry.operators import chunking, index
 
 
 def peak_of(work):
@@ -22,3 +24,12 @@ def test_windows_are_python_objects_by_slices():
     assert len(found) == 6_000 and found[1].as_py() is None and found[2].as_py() == []
     body = texts[0].as_py()
     assert [(c["start"], c["stop"], c["text"]) for c in found[-3].as_py()] == chunking.cut(body, 100, 20)
+
+
+def test_places_of_terms_are_not_kept_without_bound(monkeypatch):
+    monkeypatch.setattr(index, "REMEMBERED_TERMS", 1_000)
+    texts = pd.Series([" ".join(f"t{row}x{k}" for k in range(200)) for row in range(500)])
+    small = np.concatenate([index.hashed_terms()(texts[row : row + 1]) for row in range(500)])
+    made, peak = peak_of(lambda: index.hashed_terms()(texts))
+    assert np.array_equal(made, small)
+    assert peak < 3e6
