@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from docquarry.operators import chunking, index, inplace
+from docquarry.operators import chunking, index, inplace, integrity
 
 
 def peak_of(work):
@@ -42,3 +42,14 @@ def test_scores_that_cannot_be_among_the_best_do_not_wait():
     add((0, 5.0, 1, 10), (0, 3.0, 2, 11), (0, 3.0, 0, 12), (2, 1.0, 4, 13))
     assert best.least.tolist() == [3.0, -np.inf, -np.inf]
     assert best.kept[3].tolist() == [10, 12, 13]
+
+
+def test_tables_are_cut_to_their_bases_before_they_are_compared(spark):
+    bases = spark.createDataFrame([("a",), ("b",)], "kb_id string")
+    rows = spark.createDataFrame([("a", 1)] * 5, "kb_id string, x int")
+    found = integrity.base_completeness(bases, rows, rows, rows, rows)
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (r, "b") for r in ("no_chunks", "no_documents", "no_postings", "no_vectors")
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [kb_id") == 8
