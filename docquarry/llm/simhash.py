@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import narrow, settle
@@ -65,17 +65,21 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS
-) -> DataFrame:
-    """(doc_id, fp), the fingerprint as a signed 64-bit number."""
+def fingerprint_column(text: Column, words: int = SHINGLE_WORDS) -> Column:
+    """The fingerprint of each text as a signed 64-bit number."""
 
     def look(column: pa.Array) -> pa.Array:
         values = [fingerprint(text.as_py(), words) for text in column]
         return pa.array(np.array(values, dtype=np.uint64).view(np.int64), pa.int64())
 
-    text = F.col(f"`{text_col}`").cast("binary")
-    return narrow(docs, id_col, F.arrow_udf(look, "bigint")(text).alias("fp"))
+    return F.arrow_udf(look, "bigint")(text.cast("binary"))
+
+
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS
+) -> DataFrame:
+    """(doc_id, fp), the fingerprint as a signed 64-bit number."""
+    return narrow(docs, id_col, fingerprint_column(F.col(f"`{text_col}`"), words).alias("fp"))
 
 
 def runs(free: list[int], parts: int) -> list[list[int]]:

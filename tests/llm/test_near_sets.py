@@ -84,3 +84,16 @@ def test_rows_of_one_id_and_rows_without(spark):
         [(1, "a b c"), (1, "d e f"), (None, "a b c"), (None, "d e f")], key=repr
     )
     assert near_sets.deduplicate(docs_of(spark, [])).collect() == []
+
+
+def test_sets_meet_by_linked_fingerprints(spark, monkeypatch):
+    """Fingerprints within the radius are pairs to verify; the pipeline asks for them."""
+    sets = spark.createDataFrame([(5, 0), (7, 3), (9, 0), (2, -1), (11, 12)], "number bigint, fp bigint")
+    assert sorted(tuple(r) for r in near_sets.print_pairs(sets).collect()) == [(7, 5), (9, 5), (11, 5)]
+    asked = []
+    found = near_sets.print_pairs
+    monkeypatch.setattr(near_sets, "print_pairs", lambda sets: asked.append(1) or found(sets))
+    words = " ".join(f"w{k}" for k in range(400))
+    rows = [(1, words), (2, words + " end"), (3, "something else of some words")]
+    left = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs_of(spark, rows), "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3] and asked
