@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import multiset, text
 from docquarry.params import Bm25Params
+from docquarry.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -22,7 +23,8 @@ class LexicalIndex:
     postings(kb_id, doc_id, chunk_id, ordinal, dl, term, tf),
     terms(kb_id, term, df, idf), stats(kb_id, n, avgdl); ``texts``: the chunks with
     their text, where the index was built from them and not read back; ``blocks``: the
-    postings as blocks with heads, where it comes from a maintained store."""
+    postings as blocks with heads, where it comes from a maintained store; ``vocabulary``:
+    (kb_id, term, df) that ``terms`` would weigh by ``params``, where it is not saved."""
 
     chunks: DataFrame
     postings: DataFrame
@@ -30,6 +32,8 @@ class LexicalIndex:
     stats: DataFrame
     texts: DataFrame | None = None
     blocks: DataFrame | None = None
+    vocabulary: DataFrame | None = None
+    params: Bm25Params = Bm25Params()
 
 
 def weighted_vocabulary(vocabulary: DataFrame, stats: DataFrame, params: Bm25Params) -> DataFrame:
@@ -47,6 +51,29 @@ def weighted_vocabulary(vocabulary: DataFrame, stats: DataFrame, params: Bm25Par
     )
 
 
+def asked_weights(index: LexicalIndex, asked: DataFrame) -> DataFrame:
+    """(kb_id, term, idf, avgdl) of the asked terms (kb_id, term), which are few enough for every task.
+
+    The weights of :func:`weighted_vocabulary`, with one pass over the vocabulary: what is kept of it are the
+    asked terms and, for the mean weight, the number of terms of each count.
+    """
+    ensure_checkpoint_dir(asked.sparkSession)
+    wanted = asked.select("kb_id", "term", F.col("term").alias("asked")).distinct()
+    counted = (
+        index.vocabulary.join(F.broadcast(wanted), ["kb_id", "term"], "left")
+        .groupBy("kb_id", "df", "asked")
+        .agg(F.count("*").alias("terms"))
+        .join(index.stats, "kb_id")
+        .withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        .checkpoint()
+    )
+    mean = F.sum(F.col("raw_idf") * F.col("terms")) / F.sum("terms")
+    floor = counted.groupBy("kb_id").agg((mean * index.params.epsilon).alias("__floor"))
+    idf = F.when(F.col("raw_idf") < 0, F.col("__floor")).otherwise(F.col("raw_idf")).alias("idf")
+    found = counted.filter(F.col("asked").isNotNull())
+    return found.join(floor, "kb_id").select("kb_id", F.col("asked").alias("term"), idf, "avgdl")
+
+
 def build_lexical_index(
     chunks: DataFrame, params: Bm25Params = Bm25Params(), *, clustered: bool = False
 ) -> LexicalIndex:
@@ -84,7 +111,15 @@ def build_lexical_index(
         .agg(F.count("*").alias("df"))
     )
     terms = weighted_vocabulary(vocabulary, stats, params)
-    return LexicalIndex(chunks.select(*facts), postings, terms, stats, chunks.select(*facts, "text"))
+    return LexicalIndex(
+        chunks.select(*facts),
+        postings,
+        terms,
+        stats,
+        chunks.select(*facts, "text"),
+        vocabulary=vocabulary,
+        params=params,
+    )
 
 
 def write_lexical_index(index: LexicalIndex, path: str) -> None:

@@ -176,6 +176,8 @@ def read(
         terms=weighted_vocabulary(vocabulary, stats, params),
         stats=stats,
         blocks=blocks,
+        vocabulary=vocabulary,
+        params=params,
     )
 
 

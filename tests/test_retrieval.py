@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -386,3 +387,34 @@ def test_a_search_keeps_the_chosen_cells_only(monkeypatch):
             want = sorted((round(float(((data[q] - v) ** 2).sum()), 8), i) for i, v in enumerate(data) if i != 7)[:6]
             assert [i for _, i in want] == ordinal[50 * q].tolist()
     assert ordinal[-1].tolist() == [0, 1, 2, 3, 4, 5] and np.isnan(distance[-1]).all()
+
+
+def test_a_scoped_search_reads_texts_and_no_postings(spark, rows):
+    words = [f"w{n}" for n in range(30)]
+    kind = "kb_id string, doc_id string, chunk_id string, ordinal long, text string"
+    texts = [("a" if n % 4 else "b", f"d{n}", f"d{n}", n, " ".join(words[(n * k) % 30] for k in range(1, 9)) if n % 7 else None) for n in range(80)]
+    lex = index.build_lexical_index(spark.createDataFrame(texts, kind))
+    asked = [("a" if q % 4 else "b", q, " ".join(words[(q * k + 3) % 30] for k in range(4))) for q in range(12)]
+    questions = spark.createDataFrame(asked, "kb_id string, query_id long, question string")
+    # Questions 0 and 4 have their whole base, 5 an empty scope, 6 is not listed.
+    named = [(q, None if q in (0, 4) else "none" if q == 5 else f"s{q % 3}") for q in range(12) if q != 6]
+    members = [(f"s{s}", f"d{n}") for s in range(3) for n in range(80) if n % 3 == s]
+    narrow = scope.Scope(
+        spark.createDataFrame(named, "query_id long, scope_id string"),
+        spark.createDataFrame(members, "scope_id string, doc_id string"),
+    )
+    columns = ["query_id", "rank", "chunk_id", "score", "bm25"]
+    by_text = lexical.top_chunks(questions, replace(lex, postings=None), 6, scope=narrow)
+    by_postings = lexical.top_chunks(questions, replace(lex, texts=None), 6, scope=narrow)
+    found = rows(by_text, *columns)
+    assert found == rows(by_postings, *columns) and {r[0] for r in found} == set(range(12)) - {5, 6}
+
+
+def test_weights_of_asked_terms_take_one_pass_over_the_vocabulary(spark):
+    kind = "kb_id string, doc_id string, chunk_id string, ordinal long, text string"
+    texts = [(kb, f"d{n}", f"{kb}{n}", n, f"w0 w{n % 5} w{n}") for kb in ("a", "b") for n in range(20)]
+    lex = index.build_lexical_index(spark.createDataFrame(texts, kind))
+    asked = spark.createDataFrame([("a", "w0"), ("a", "w7"), ("b", "w3"), ("b", "other"), ("c", "w0")], "kb_id string, term string")
+    want = {(r["kb_id"], r["term"]): r["idf"] for r in lex.terms.join(asked, ["kb_id", "term"]).collect()}
+    got = {(r["kb_id"], r["term"]): r["idf"] for r in index.asked_weights(replace(lex, terms=None), asked).collect()}
+    assert got.keys() == want.keys() and got == pytest.approx(want)
