@@ -418,3 +418,26 @@ def test_weights_of_asked_terms_take_one_pass_over_the_vocabulary(spark):
     want = {(r["kb_id"], r["term"]): r["idf"] for r in lex.terms.join(asked, ["kb_id", "term"]).collect()}
     got = {(r["kb_id"], r["term"]): r["idf"] for r in index.asked_weights(replace(lex, terms=None), asked).collect()}
     assert got.keys() == want.keys() and got == pytest.approx(want)
+
+
+def test_request_records_ship_their_sources(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from workload import logs
+
+    asked = spark.createDataFrame([(1, "q", "balanced", 0.5)], "query_id long, question string, route string, alpha double")
+    ranked = spark.createDataFrame([], "query_id long, fusion_rank int")
+    found = SimpleNamespace(questions=asked, fused=ranked, final=ranked, params=RetrievalParams(top_n=30, rerank_top_k=10))
+    shipped = []
+
+    def source_rows(*parts, questions=None, per_question=0):
+        shipped.append((questions is asked, per_question))
+        if len(shipped) == 2:
+            raise StopIteration
+
+    monkeypatch.setattr(logs, "run_hybrid", lambda *a, **k: found)
+    monkeypatch.setattr(logs, "_source_chunks", lambda *a: None)
+    monkeypatch.setattr(logs.telemetry, "source_rows", source_rows)
+    with pytest.raises(StopIteration):
+        logs.request_records(spark, "")
+    assert shipped == [(True, 60), (True, 10)]

@@ -164,9 +164,19 @@ def request_records(spark, sf):
         F.lit(7).cast("long").alias("total_tokens"),
     )
     raw = telemetry.source_rows(
-        h.fused.withColumnRenamed("fusion_rank", "rank"), chunks, telemetry.RAW_PREVIEW
+        h.fused.withColumnRenamed("fusion_rank", "rank"),
+        chunks,
+        telemetry.RAW_PREVIEW,
+        questions=h.questions,
+        per_question=2 * h.params.top_n,
+    )
+    final = telemetry.source_rows(
+        h.final,
+        chunks,
+        telemetry.FINAL_PREVIEW,
+        questions=h.questions,
+        per_question=h.params.rerank_top_k,
     )
-    final = telemetry.source_rows(h.final, chunks, telemetry.FINAL_PREVIEW)
     records = telemetry.request_records(requests, raw, final, rerank.margin(h.final))
     at = lambda name, i: F.get(F.col(f"retrieval.{name}"), F.lit(i))["chunk_id"]
     long = lambda c: F.col(f"retrieval.{c}").cast("long").alias(c)
