@@ -35,6 +35,7 @@ from __future__ import annotations
 import math
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +46,11 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import attach
 
 MARK = "▁"
+# Bounds of what a worker process remembers; most stretches of a corpus are rare.
 REMEMBERED_STRETCHES = 300_000
 REMEMBERED_PAIRS = 600_000
+# A position of the text that no path has come to.
+UNREACHED = -2
 RESULT = "ids array<int>, decoded string, round_trip boolean"
 FIELDS = ["ids", "decoded", "round_trip"]
 
@@ -144,15 +148,16 @@ class Transducer:
         self.pairs = None
         if kind == BPE:
             self.pairs = PairAcceptor(self.scores, {i: p for p, i in self.ids.items()})
-        self.arcs: dict = {}
-        self.accept = ""
+        # From a character to the piece that ends there (UNREACHED for none) and the arcs after it.
+        self.arcs: dict[str, list] = {}
         for text, number in self.ids.items():
             # A piece that merging never yields is on no byte-pair path.
             if self.pairs is None or self.pairs.merged(text) == [text]:
                 node = self.arcs
                 for char in text:
-                    node = node.setdefault(char, {})
-                node[self.accept] = number
+                    step = node.setdefault(char, [UNREACHED, {}])
+                    node = step[1]
+                step[0] = number
         inner = any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids)
         self.stretch = re.compile(
             ".+" if inner else f"\n|[^{MARK}\n]+|{MARK}+[^{MARK}\n]*", re.DOTALL
@@ -189,36 +194,67 @@ class Transducer:
 
     def shortest_path(self, text: str) -> tuple[int, ...]:
         """Ids on the path of least weight through ``text`` composed with the machines."""
+        if self.pairs is not None:
+            return self._merging_path(text)
         # Best state of each position: weight, id of the last piece (-1 for none or
         # for a fallback, which anything may follow) and where that piece starts.
         size = len(text)
         weights: list[float | None] = [0.0] + [None] * size
         lasts, starts = [-1] * (size + 1), [0] * (size + 1)
-        pairs, costs, accept = self.pairs, self.costs, self.accept
+        costs = self.costs
         for start in range(size):
             weight = weights[start]
             if weight is None:
                 continue
-            last, node, end = lasts[start], self.arcs, start
+            node, end = self.arcs, start
             while end < size:
-                node = node.get(text[end])
-                if node is None:
+                step = node.get(text[end])
+                if step is None:
                     break
                 end += 1
-                piece = node.get(accept)
-                if piece is None:
-                    continue
-                if pairs is not None:
-                    if weights[end] is None and (last < 0 or pairs.allows(last, piece)):
-                        weights[end], lasts[end], starts[end] = weight, piece, start
-                elif weights[end] is None or weight + costs[piece] < weights[end]:
+                piece, node = step
+                if piece >= 0 and (weights[end] is None or weight + costs[piece] < weights[end]):
                     weights[end], lasts[end], starts[end] = weight + costs[piece], piece, start
             if text[start] not in self.ids:
-                passed = weight if pairs is not None else weight + self.worst
+                passed = weight + self.worst
                 if weights[start + 1] is None or passed < weights[start + 1]:
                     weights[start + 1], lasts[start + 1], starts[start + 1] = passed, -1, start
+        return self._ids(text, lasts, starts)
+
+    def _merging_path(self, text: str) -> tuple[int, ...]:
+        """The path whose neighbours all merge; it is the only one, so the first to reach the end is it."""
+        size = len(text)
+        lasts, starts = [-1] + [UNREACHED] * size, [0] * (size + 1)
+        known, allows = self.pairs.known, self.pairs.allows
+        for start in range(size):
+            last = lasts[start]
+            if last == UNREACHED:
+                continue
+            node, end = self.arcs, start
+            while end < size:
+                step = node.get(text[end])
+                if step is None:
+                    break
+                end += 1
+                piece, node = step
+                if piece >= 0 and lasts[end] == UNREACHED:
+                    if last >= 0:
+                        fits = known.get(last << 32 | piece)
+                        if fits is None:
+                            fits = allows(last, piece)
+                        if not fits:
+                            continue
+                    lasts[end], starts[end] = piece, start
+            if lasts[start + 1] == UNREACHED and text[start] not in self.ids:
+                lasts[start + 1], starts[start + 1] = -1, start
+            if lasts[size] != UNREACHED:
+                break
+        return self._ids(text, lasts, starts)
+
+    def _ids(self, text: str, lasts: list[int], starts: list[int]) -> tuple[int, ...]:
+        """The ids along the path that ends the text."""
         ids: list[int] = []
-        at = size
+        at = len(text)
         while at > 0:
             found = lasts[at]
             at, end = starts[at], at
@@ -246,17 +282,24 @@ class Transducer:
 
 
 class _Paths(dict):
-    """(ids, written bytes) of stretches; short ones are remembered, up to a bound."""
+    """(ids, written bytes) of stretches; short ones are remembered, up to a bound.
+
+    When half of the bound is reached, the other half is forgotten, so stretches that come again stay.
+    """
 
     def __init__(self, machine: Transducer):
         super().__init__()
         self.machine = machine
+        self.earlier: dict[str, tuple[bytes, bytes]] = {}
 
     def __missing__(self, stretch: str) -> tuple[bytes, bytes]:
-        ids = self.machine.shortest_path(stretch)
-        found = np.array(ids, np.int32).tobytes(), b"".join([self.machine.pieces[i] for i in ids])
+        found = self.earlier.get(stretch)
+        if found is None:
+            ids = self.machine.shortest_path(stretch)
+            found = array("i", ids).tobytes(), b"".join([self.machine.pieces[i] for i in ids])
         if len(stretch) <= 64:
-            if len(self) >= REMEMBERED_STRETCHES:
+            if len(self) >= REMEMBERED_STRETCHES // 2:
+                self.earlier = dict(self)
                 self.clear()
             self[stretch] = found
         return found

@@ -538,3 +538,15 @@ def test_out_of_fold_models_have_not_seen_the_row(spark):
     for r in chained:
         score = fits[r.fold][0] * len(r["at"]) + fits[r.fold][-1]
         assert r["chain"] == pytest.approx([toxicity.probability(score)])
+
+
+def test_stretches_that_come_again_stay_remembered(monkeypatch, pieces):
+    monkeypatch.setattr(sentencepiece_fst, "REMEMBERED_STRETCHES", 8)
+    machine = sentencepiece_fst.Transducer(pieces[1])
+    searched = []
+    search = machine.shortest_path
+    machine.shortest_path = lambda text: searched.append(text) or search(text)
+    for n in range(50):
+        assert machine.decode(machine.encode(f"often x{n}")) == f"often x{n}"
+        assert len(machine.paths) + len(machine.paths.earlier) <= 8
+    assert len(searched) == 51
