@@ -92,7 +92,8 @@ class Model:
             return UNDETERMINED, 0.0
         votes = []
         for word in counts:
-            vote = remembered.get(word)
+            row = self.words.get(word)
+            vote = remembered.get(word) if row is None else self.word_votes[row]
             if vote is None:
                 if len(remembered) >= REMEMBERED_WORDS:
                     remembered.clear()

@@ -49,6 +49,8 @@ MARK = "▁"
 # Bounds of what a worker process remembers; most stretches of a corpus are rare.
 REMEMBERED_STRETCHES = 300_000
 REMEMBERED_PAIRS = 600_000
+# Texts that are Python objects at once; a batch of Arrow rows may hold ten thousand whole documents.
+SLICE_ROWS = 256
 # A position of the text that no path has come to.
 UNREACHED = -2
 RESULT = "ids array<int>, decoded string, round_trip boolean"
@@ -323,28 +325,27 @@ def load_model(path: str) -> bytes:
         return file.read()
 
 
-def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids``, ``decoded`` and ``round_trip`` (decoded equals the text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = [
-        ("ids", pa.list_(pa.int32())),
-        ("decoded", pa.string()),
-        ("round_trip", pa.bool_()),
-    ]
-
-    def code(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machine = compiled(sent.value)
-        for column in columns:
-            texts = column.to_pylist()
+def coded_slices(machine: Transducer, columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """``RESULT`` of the texts, an array for each slice of them."""
+    for column in columns:
+        for at in range(0, len(column), SLICE_ROWS):
+            texts = column.slice(at, SLICE_ROWS).to_pylist()
             coded = [None if text is None else machine.coded(text) for text in texts]
             decoded = [None if c is None else machine.text_of(c[1]) for c in coded]
             same = [None if text is None else back == text for text, back in zip(texts, decoded)]
             lists = _list_array([None if c is None else c[0] for c in coded])
             yield pa.StructArray.from_arrays(
-                [lists, pa.array(decoded, pa.string()), pa.array(same, pa.bool_())],
-                names=[name for name, _ in kind],
+                [lists, pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], names=FIELDS
             )
 
+
+def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids``, ``decoded`` and ``round_trip`` (decoded equals the text)."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def code(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from coded_slices(compiled(sent.value), columns)
+
     return attach(docs, F.arrow_udf(_typed(code), RESULT)(F.col(f"`{text_col}`")), FIELDS)
 
 

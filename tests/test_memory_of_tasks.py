@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
+from docquarry.llm import language_id, sentencepiece_fst
+from docquarry.llm.queries import PIECE_MODEL
 from docquarry.operators import chunking, index, inplace, integrity
 
 
@@ -53,3 +55,26 @@ def test_tables_are_cut_to_their_bases_before_they_are_compared(spark):
     ]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [kb_id") == 8
+
+
+def test_pieces_are_python_objects_by_slices():
+    """However many whole texts a batch has, what was made of one slice goes before the next."""
+    machine = sentencepiece_fst.Transducer(sentencepiece_fst.load_model(PIECE_MODEL))
+    texts = pa.array(["some words of a text " * 60, None, ""] * 2_000)
+
+    def code():
+        return [(len(a), a.field(0).null_count, len(a) - a.field(2).null_count - a.field(2).true_count) for a in sentencepiece_fst.coded_slices(machine, [texts])]
+
+    code()
+    found, peak = peak_of(code)
+    assert peak < 3e6
+    assert [sum(n) for n in zip(*found)] == [6_000, 2_000, 0] and max(n for n, *_ in found) <= 256
+    parts = pa.concat_arrays(sentencepiece_fst.coded_slices(machine, [texts.slice(250, 20)])).to_pylist()
+    assert [p["ids"] for p in parts] == [None if t is None else machine.encode(t) for t in texts.slice(250, 20).to_pylist()]
+
+
+def test_only_unseen_words_are_remembered():
+    model = language_id.Model(["x", "y"], {"known": {"x": 9}}, {"<u": {"y": 9}})
+    remembered = {}
+    assert model.predict("known known", remembered)[0] == "x" and not remembered
+    assert model.predict("known un un", remembered)[0] == "y" and list(remembered) == ["un"]
