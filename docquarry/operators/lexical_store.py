@@ -6,19 +6,27 @@ chunk ordinals, with the greatest term frequency and the smallest chunk length a
 replaces whole documents: it opens the blocks of their old and new terms, and writes the buckets these
 lie in; everything else stays as it is.
 
+A block's entries are (ordinal, dl, tf): what else a chunk has is found by its ordinal.  Postings are replaced
+in ``PARTS`` groups of buckets, one after the other; each takes one exchange of the old blocks, the new
+entries and the places of those that go, and one that deals the new blocks to their buckets.
+
 A search bounds what any chunk of a range can score by the blocks' heads, scores the ranges of the highest
 bounds, and then only those further ranges whose bound reaches the N-th best score.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import multiset, text
 from docquarry.operators.index import LexicalIndex, weighted_vocabulary
 from docquarry.params import Bm25Params
-from docquarry.session import ensure_checkpoint_dir, written
+from docquarry.session import ensure_checkpoint_dir, scratch_dir
+from docquarry.sources.appended import open_store
 from docquarry.sources.versions import Layout, Snapshot, VersionedTables
 
 # Chunk ordinals of one block; a term's entries of one range are one row.
@@ -26,6 +34,11 @@ RANGE = 4_096
 # Ranges that a question is scored on before its N-th best score is known.
 FIRST_RANGES = 4
 
+# Groups of buckets whose exchanges lie on disk one after the other.
+PARTS = 4
+# Rows of documents that change which may be sent to every task (about 40 bytes each).
+MAX_SENT_DOCUMENTS = 1 << 20
+
 _FACTS = ["kb_id", "doc_id", "chunk_id", "ordinal"]
 _BLOCK = ["kb_id", "term", "range"]
 
@@ -57,15 +70,48 @@ def _range(ordinal: Column, width: int) -> Column:
     return F.floor(ordinal / F.lit(width)).alias("range")
 
 
-def _blocks(entries: DataFrame) -> DataFrame:
-    """Entries of a term and range as one row; ordinals are unique in a base, so a row has at most RANGE."""
-    fields = ["ordinal", "chunk_id", "doc_id", "dl", "tf"]
-    return entries.groupBy(*_BLOCK).agg(
-        F.count("*").alias("n"),
-        F.max("tf").alias("max_tf"),
-        F.min("dl").alias("min_dl"),
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("entries"),
+def _blocks(old: DataFrame | None, added: DataFrame, gone: DataFrame, width: int) -> DataFrame:
+    """The blocks of ``old`` with the entries ``added`` (kb_id, ordinal, dl, term, tf) and without those at ``gone``
+    (kb_id, ordinal, term); ordinals are unique in a base, so a row has at most ``width`` entries."""
+    entry, none = "struct<ordinal:bigint,dl:int,tf:bigint>", F.lit(None)
+    key = ["kb_id", "term", _range(F.col("ordinal"), width)]
+    rows = added.select(
+        *key,
+        none.cast(f"array<{entry}>").alias("held"),
+        F.struct("ordinal", "dl", "tf").alias("new"),
+        none.cast("bigint").alias("less"),
+    ).unionByName(gone.select(*key, F.col("ordinal").alias("less")), allowMissingColumns=True)
+    if old is not None:
+        rows = rows.unionByName(old.select(*_BLOCK, F.col("entries").alias("held")), allowMissingColumns=True)
+    # Rows move as they are; aggregated before, their buffers would take more space.
+    met = rows.repartition(*_BLOCK).groupBy(*_BLOCK).agg(
+        F.coalesce(F.first("held", ignorenulls=True), F.array().cast(f"array<{entry}>")).alias("held"),
+        F.collect_list("new").alias("new"),
+        F.collect_list("less").alias("less"),
+    )
+    left = F.when(F.size("less") == 0, F.col("held")).otherwise(
+        F.filter("held", lambda e: ~F.array_contains(F.col("less"), e["ordinal"]))
     )
+    return (
+        met.filter(F.size("held") + F.size("new") > F.size("less"))
+        .select(*_BLOCK, F.array_sort(F.concat(left, F.col("new"))).alias("entries"))
+        .select(
+            *_BLOCK,
+            F.size("entries").cast("bigint").alias("n"),
+            F.array_max(F.transform("entries", lambda e: e["tf"])).alias("max_tf"),
+            F.array_min(F.transform("entries", lambda e: e["dl"])).alias("min_dl"),
+            "entries",
+        )
+    )
+
+
+def _discard(path: str) -> None:
+    """Delete a folder of this update; in stores that pyarrow has no file system for, it stays."""
+    try:
+        store, root = open_store(path)
+    except pa.ArrowInvalid:
+        return
+    store.delete_dir(root)
 
 
 def update(
@@ -76,16 +122,24 @@ def update(
     *,
     buckets: int = 256,
     width: int = RANGE,
+    keep: int | None = None,
 ) -> None:
     """Replace the documents of ``chunks`` (kb_id, doc_id, chunk_id, ordinal, text) and drop ``removed`` (kb_id, doc_id).
 
     Chunks of a document that is indexed already take the place of its old ones.  The first call makes the
-    index; ``buckets`` and ``width`` have to stay the same.
+    index; ``buckets`` and ``width`` have to stay the same.  With ``keep``, versions that none of the last
+    ``keep`` commits names are deleted; their readers must have ended.
     """
     tables = _tables(spark, path, buckets)
     before = tables.snapshot()
+    folder = scratch_dir(spark, "lexical-update")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        # As columns; a checkpoint of rows takes several times the space of the texts.
+        df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
     empty = "kb_id string, doc_id string, chunk_id string, ordinal long, text string"
-    # Written as columns; a checkpoint of rows takes several times the space of the texts.
     fresh = written(_counted(chunks if chunks is not None else spark.createDataFrame([], empty)), "counted")
     changed = fresh.select("kb_id", "doc_id")
     if removed is not None:
@@ -96,24 +150,20 @@ def update(
     added = fresh.select(*_FACTS, "dl", terms)
     held, gone = before.read("documents", documents), added.limit(0)
     if held is not None:
-        gone = written(held.join(changed, ["kb_id", "doc_id"], "left_semi"), "gone")
-        held = held.join(changed, ["kb_id", "doc_id"], "left_anti")
-    opened = written(
-        gone.unionByName(added)
-        .select("kb_id", F.explode("terms").alias("term"), _range(F.col("ordinal"), width))
-        .distinct(),
-        "opened",
-    )
-    postings = tables.layouts["postings"].touched(opened)
-    entries = fresh.select(*_FACTS, "dl", F.inline("counts")).select(
-        "kb_id", "term", _range(F.col("ordinal"), width), "ordinal", "chunk_id", "doc_id", "dl", "tf"
-    )
-    kept, blocks = before.read("postings", postings), None
-    if kept is not None:
-        blocks = kept.join(opened, _BLOCK, "left_anti")
-        left = kept.join(opened, _BLOCK, "left_semi").select(*_BLOCK, F.inline("entries"))
-        left = left.join(gone.select("kb_id", "chunk_id"), ["kb_id", "chunk_id"], "left_anti")
-        entries = left.unionByName(entries)
+        some = F.broadcast(changed) if changed.count() <= MAX_SENT_DOCUMENTS else changed
+        gone = written(held.join(some, ["kb_id", "doc_id"], "left_semi"), "gone")
+        held = held.join(some, ["kb_id", "doc_id"], "left_anti")
+    layout = tables.layouts["postings"]
+    entries = fresh.select("kb_id", "ordinal", "dl", F.inline("counts"))
+    places = gone.select("kb_id", "ordinal", F.explode("terms").alias("term"))
+    postings = layout.touched(entries.select("kb_id", "term").unionByName(places.select("kb_id", "term")))
+
+    def blocks() -> Iterator[DataFrame]:
+        for part in range(min(PARTS, len(postings)) or 1):
+            some = postings[part::PARTS]
+            old = before.read("postings", some)
+            yield _blocks(old, layout.of_buckets(entries, some), layout.of_buckets(places, some), width)
+
     sums = [F.sum(c).alias(c) for c in ("n", "counted", "total")]
 
     def counts(rows: DataFrame, sign: int) -> DataFrame:
@@ -128,16 +178,19 @@ def update(
     tables.publish(
         0 if before.version is None else before.version + 1,
         {
-            "documents": (_both(held, added), documents),
-            "postings": (_both(blocks, _blocks(entries)), postings),
+            "documents": (iter([_both(held, added)]), documents),
+            "postings": (blocks(), postings),
             "totals": (totals.groupBy("kb_id").agg(*sums).filter("n > 0"), bases),
         },
         before,
     )
+    _discard(folder)
+    if keep is not None:
+        tables.expire(keep)
 
 
 def _empty(spark: SparkSession) -> dict[str, DataFrame]:
-    entry = "array<struct<ordinal:long,chunk_id:string,doc_id:string,dl:int,tf:long>>"
+    entry = "array<struct<ordinal:long,dl:int,tf:long>>"
     return {
         "documents": spark.createDataFrame([], "kb_id string, doc_id string, chunk_id string, ordinal long, dl int, terms array<string>"),
         "postings": spark.createDataFrame([], f"kb_id string, term string, range long, n long, max_tf long, min_dl int, entries {entry}"),
@@ -170,9 +223,10 @@ def read(
     blocks = rows("postings", wanted)
     stats = rows("totals").select("kb_id", "n", (F.col("total") / F.col("counted")).alias("avgdl"))
     vocabulary = rows("postings").groupBy("kb_id", "term").agg(F.sum("n").alias("df"))
+    chunks = rows("documents").select(*_FACTS)
     return LexicalIndex(
-        chunks=rows("documents").select(*_FACTS),
-        postings=blocks.select("kb_id", "term", F.inline("entries")),
+        chunks=chunks,
+        postings=blocks.select("kb_id", "term", F.inline("entries")).join(chunks, ["kb_id", "ordinal"]),
         terms=weighted_vocabulary(vocabulary, stats, params),
         stats=stats,
         blocks=blocks,
@@ -190,7 +244,7 @@ def _gain(tf: str, dl: str, params: Bm25Params) -> Column:
 def best_of_blocks(
     weighted: DataFrame, blocks: DataFrame, top_n: int, params: Bm25Params, digits: int
 ) -> DataFrame:
-    """(query_id, kb_id, doc_id, chunk_id, ordinal, score) of all chunks that may be among a question's best N.
+    """(query_id, kb_id, ordinal, score) of all chunks that may be among a question's best N.
 
     A chunk that is left out scores less than N others.  A term of negative weight can only lower a score, so
     it adds nothing to a bound.
@@ -210,16 +264,16 @@ def best_of_blocks(
             blocks.select(*_BLOCK, "entries")
             .join(needed, _BLOCK)
             .select("query_id", "kb_id", "qtf", "idf", "avgdl", F.inline("entries"))
-            .groupBy("query_id", "kb_id", "chunk_id")
-            .agg(
-                F.first("doc_id").alias("doc_id"),
-                F.first("ordinal").alias("ordinal"),
-                F.round(F.sum(_gain("tf", "dl", params)), digits).alias("score"),
-            )
+            .groupBy("query_id", "kb_id", "ordinal")
+            .agg(F.round(F.sum(_gain("tf", "dl", params)), digits).alias("score"))
         )
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "ordinal")
-    known = scored(first).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top_n).checkpoint()
+
+    def foremost(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top_n)
+
+    known = foremost(scored(first)).checkpoint()
     worst = known.filter(F.col("place") == top_n).select("query_id", F.col("score").alias("worst"))
     rest = (
         bounds.join(first, ["query_id", "kb_id", "range"], "left_anti")
@@ -227,5 +281,4 @@ def best_of_blocks(
         # The bound is a sum of doubles as well; equal scores may still win by their ordinal.
         .filter(F.col("worst").isNull() | (F.col("bound") * (1 + 1e-9) + 10.0**-digits >= F.col("worst")))
     )
-    columns = ["query_id", "kb_id", "doc_id", "chunk_id", "ordinal", "score"]
-    return known.select(*columns).unionByName(scored(rest).select(*columns))
+    return known.unionByName(foremost(scored(rest))).drop("place")

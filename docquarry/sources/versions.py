@@ -17,6 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.session import release
 from docquarry.sources.appended import open_store
 
 _COMMIT = "table string, bucket int, since long"
@@ -38,6 +39,9 @@ class Layout:
         """Buckets of these rows; at most the number of buckets."""
         return sorted(r[0] for r in rows.select(self.bucket().alias("b")).distinct().collect())
 
+    def of_buckets(self, rows: DataFrame, some: Iterable[int]) -> DataFrame:
+        return rows.filter(self.bucket().isin(list(some)))
+
 
 class Snapshot:
     """One published version."""
@@ -81,16 +85,28 @@ class VersionedTables:
             self.spark, self.path, last, {(r["table"], r["bucket"]): r["since"] for r in held if r["bucket"] is not None}
         )
 
-    def publish(self, version: int, changes: dict[str, tuple[DataFrame, list[int]]], before: Snapshot) -> None:
-        """Replace the listed buckets of each table by the rows given for them, then commit."""
+    def publish(
+        self, version: int, changes: dict[str, tuple[DataFrame | Iterable[DataFrame], list[int]]], before: Snapshot
+    ) -> None:
+        """Replace the listed buckets of each table by the rows given for them, then commit.
+
+        Rows given in parts (one at least) are written one part after the other, so that only one's exchanges
+        lie on disk at once.
+        """
         held = dict(before.held)
         for table, (rows, touched) in changes.items():
             place = f"{self.path}/data/{table}/version={version}"
-            bucketed = rows.withColumn("bucket", self.layouts[table].bucket())
-            # AQE splits a large bucket over many writers.
-            bucketed.hint("rebalance", "bucket").write.mode("overwrite").option(
-                "partitionOverwriteMode", "static"
-            ).partitionBy("bucket").parquet(place)
+            mode = "overwrite"
+            for part in [rows] if isinstance(rows, DataFrame) else rows:
+                bucketed = part.withColumn("bucket", self.layouts[table].bucket())
+                # AQE splits a large bucket over many writers.
+                bucketed.hint("rebalance", "bucket").write.mode(mode).option(
+                    "partitionOverwriteMode", "static"
+                ).option("compression", "zstd").partitionBy("bucket").parquet(place)
+                mode = "append"
+                del part, bucketed
+                if not isinstance(rows, DataFrame):
+                    release(self.spark)
             for bucket in touched:
                 held.pop((table, bucket), None)
             for row in self._filled(place):

@@ -1,5 +1,6 @@
 """The maintained lexical index against an index built from all texts."""
 
+import glob
 import random
 
 import pytest
@@ -87,3 +88,27 @@ def test_bounds_leave_ranges_out(spark, tmp_path, monkeypatch):
     scored = lexical_store.best_of_blocks(weighted, stored.blocks, 3, lexical.Bm25Params(), 10)
     assert scored.count() <= 10 * lexical_store.FIRST_RANGES
     assert top(questions, stored, 3) == top(questions, index.build_lexical_index(spark.createDataFrame(rows, CHUNKS)), 3)
+
+
+def test_an_update_leaves_only_what_the_index_needs(spark, tmp_path):
+    """Old versions and the tables of an update go; an entry holds no names, so that little moves."""
+    path = str(tmp_path / "store")
+    first = [("a", f"d{n}", f"c{n}", n, "common " + f"w{n % 3} " * (n % 4)) for n in range(40)]
+    again = [(kb, doc, chunk, place, f"{text} again") for kb, doc, chunk, place, text in first[10:30]]
+    lexical_store.update(spark, path, spark.createDataFrame(first, CHUNKS), buckets=2, width=8, keep=1)
+    lexical_store.update(spark, path, spark.createDataFrame(again, CHUNKS), buckets=2, width=8, keep=1)
+    assert [p.name for p in (tmp_path / "store" / "data" / "postings").iterdir()] == ["version=1"]
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert not glob.glob(f"{root}/lexical-update-*")
+    stored = lexical_store.read(spark, path, buckets=2)
+    found = {(r["chunk_id"], r["term"]): (r["doc_id"], r["dl"], r["tf"]) for r in stored.postings.collect()}
+    expected = {}
+    for _, doc, chunk, _, text in first[:10] + again + first[30:]:
+        words = text.split()
+        expected |= {(chunk, word): (doc, len(words), words.count(word)) for word in words}
+    assert found == expected
+    heads = stored.blocks.collect()
+    assert {tuple(e.asDict()) for r in heads for e in r["entries"]} == {("ordinal", "dl", "tf")}
+    assert len(heads) == len({(r["term"], r["range"]) for r in heads})
+    for r in heads:
+        assert (r["n"], r["max_tf"], r["min_dl"]) == (len(r["entries"]), max(e["tf"] for e in r["entries"]), min(e["dl"] for e in r["entries"]))

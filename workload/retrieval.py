@@ -255,7 +255,8 @@ def bm25_top_chunks_in_scope(spark, sf):
 def bm25_top_chunks_from_store(spark, sf):
     """Three uploads: stale texts and documents that go again, the present texts of most languages, the rest."""
     path = scratch_dir(spark, "lexical-store")
-    settings = {"buckets": 16, "width": 256}
+    # Nobody else reads this store, so earlier versions may go.
+    settings = {"buckets": 16, "width": 256, "keep": 1}
     chunks = derive(spark, sf, CHUNKS_BY_LANG.replace("lang AS kb_id", "'src' AS kb_id, lang"))
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
     stale = chunks.withColumn("text", F.when(english, F.concat(F.lit("stale "), "text")).otherwise(F.col("text")))
