@@ -232,3 +232,26 @@ def test_texts_without_repeated_lines(spark):
         [(1, "one two\nthree four\n"), (2, "other"), (2, "other"), (3, None), (None, "five\nsix")], key=repr
     )
     assert line_dedup.remove_repeated(table(spark, [])).collect() == []
+
+
+def test_lines_are_cut_at_all_white_space(spark):
+    rows = [(1, "One\ttwo\x0bthree\x0cfour\rfive"), (2, " one  two three four five "), (3, "\n\t\none two three four six")]
+    got = {r.doc_id: r.removed for r in line_dedup.count_repeated(table(spark, rows)).collect()}
+    assert got == {1: [], 2: [0], 3: []}
+    assert brute_lines(rows) == {2: [0]}
+
+
+def test_variants_of_a_line_meet_one_partner_each(spark):
+    """The first pass gives a row for each variant, not one for each of its words."""
+    base = [f"b{k}" for k in range(40)]
+    lines = [" ".join(base)] + [" ".join(base[:-1] + [f"v{n}"]) for n in range(60)]
+    # Every other word of the base has an earliest set of its own.
+    rows = [(n, f"{word} x{n} y{n}") for n, word in enumerate(base)] + [(100 + n, line) for n, line in enumerate(lines)]
+    docs = table(spark, rows).selectExpr("doc_id", "xxhash64(text) AS th", "text")
+    levels = line_dedup.rarity_levels(docs)
+    cut = line_dedup.split_lines(docs, levels, line_dedup.BUCKETS)
+    sets = line_dedup.word_sets(line_dedup.described_lines(cut, 80))
+    pairs = line_dedup._nearest_heads(sets, 80).collect()
+    assert len({p.x for p in pairs}) == len(pairs) <= 60
+    got = {r.doc_id for r in line_dedup.count_repeated(table(spark, rows)).collect() if r.removed}
+    assert got == set(brute_lines(rows)) == set(range(101, 161))
