@@ -249,7 +249,7 @@ def test_variants_of_a_line_meet_one_partner_each(spark):
     rows = [(n, f"{word} x{n} y{n}") for n, word in enumerate(base)] + [(100 + n, line) for n, line in enumerate(lines)]
     docs = table(spark, rows).selectExpr("doc_id", "xxhash64(text) AS th", "text")
     levels = line_dedup.rarity_levels(docs)
-    cut = line_dedup.split_lines(docs, levels, line_dedup.BUCKETS)
+    cut = line_dedup.split_lines(line_dedup.ranked(docs)[0], levels, line_dedup.BUCKETS)
     sets = line_dedup.word_sets(line_dedup.described_lines(cut, 80))
     pairs = line_dedup._nearest_heads(sets, 80).collect()
     assert len({p.x for p in pairs}) == len(pairs) <= 60
