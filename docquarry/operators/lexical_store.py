@@ -18,15 +18,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import multiset, text
 from docquarry.operators.index import LexicalIndex, weighted_vocabulary
 from docquarry.params import Bm25Params
-from docquarry.session import ensure_checkpoint_dir, scratch_dir
-from docquarry.sources.appended import open_store
+from docquarry.session import discard, ensure_checkpoint_dir, scratch_dir
 from docquarry.sources.versions import Layout, Snapshot, VersionedTables
 
 # Chunk ordinals of one block; a term's entries of one range are one row.
@@ -105,15 +103,6 @@ def _blocks(old: DataFrame | None, added: DataFrame, gone: DataFrame, width: int
     )
 
 
-def _discard(path: str) -> None:
-    """Delete a folder of this update; in stores that pyarrow has no file system for, it stays."""
-    try:
-        store, root = open_store(path)
-    except pa.ArrowInvalid:
-        return
-    store.delete_dir(root)
-
-
 def update(
     spark: SparkSession,
     path: str,
@@ -184,7 +173,7 @@ def update(
         },
         before,
     )
-    _discard(folder)
+    discard(folder)
     if keep is not None:
         tables.expire(keep)
 

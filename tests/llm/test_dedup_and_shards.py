@@ -255,3 +255,45 @@ def test_variants_of_a_line_meet_one_partner_each(spark):
     assert len({p.x for p in pairs}) == len(pairs) <= 60
     got = {r.doc_id for r in line_dedup.count_repeated(table(spark, rows)).collect() if r.removed}
     assert got == set(brute_lines(rows)) == set(range(101, 161))
+
+
+def test_all_words_of_all_texts_are_counted(spark):
+    """20,000 texts and 100,000 words, each seen twice; neither texts nor words have a bound."""
+    docs = spark.range(20_000).selectExpr(
+        "id AS doc_id", "concat_ws(' ', 'common', transform(sequence(0, 9), k -> concat('W', (id * 10 + k) % 100000))) AS text"
+    )
+    rows = docs.selectExpr("doc_id", "xxhash64(text) AS th", "text")
+    mask = line_dedup.BUCKETS - 1
+    words = [f"w{n}" for n in range(100_000)]
+    places = spark.createDataFrame([(w,) for w in ["common", *words]], "w string").selectExpr("w", f"xxhash64(w) & {mask} AS b")
+    counts = {}
+    place = {r.w: r.b for r in places.collect()}
+    for word, b in place.items():
+        counts[b] = counts.get(b, 0) + (20_000 if word == "common" else 2)
+    levels = spark.range(1).select(line_dedup.rarity_levels(rows).alias("l")).first().l
+    assert len(levels) == line_dedup.BUCKETS
+    assert all(levels[b] > 0 for b in counts) and sum(level > 0 for level in levels) == len(counts)
+    # Never against the order of the counts, and at most a quarter is frequent.
+    ordered = [levels[b] for b in sorted(range(len(levels)), key=lambda b: counts.get(b, 0))]
+    assert ordered == sorted(ordered)
+    found = line_dedup.word_counts(rows)
+    assert {b: int(found[b]) for b in found.nonzero()[0]} == counts
+    assert 0 < sum(level >= line_dedup.FREQUENT for level in levels) <= line_dedup.BUCKETS // line_dedup.FREQUENT_SHARE
+
+
+def test_tables_on_the_way_go(spark):
+    """Line removal and near-duplicates leave no table that is read no more, nor files of their exchanges."""
+    import glob
+    import os
+
+    from docquarry.llm import near_sets
+    from docquarry.session import scratch_dir
+
+    root = os.path.dirname(scratch_dir(spark, "any")).removeprefix("file://")
+    before = set(glob.glob(f"{root}/*"))
+    docs = table(spark, noisy_rows(60, 3))
+    lines = line_dedup.remove_repeated(docs)
+    near = near_sets.deduplicate(docs, by_print=True)
+    left = {os.path.basename(p).rsplit("-", 1)[0] for p in set(glob.glob(f"{root}/*")) - before}
+    assert left == {"lines-found", "near-firsts", "near-repeats"}
+    assert lines.count() == 60 and near.count() <= 60
