@@ -1,6 +1,8 @@
 import corpus_pipeline
 import pytest
 
+from docquarry.llm import line_dedup
+
 SF = "/root/testdata/sf0.001"
 BENCH = "one two three four five six seven eight nine ten eleven twelve"
 
@@ -71,3 +73,13 @@ def test_run_equals_the_stages(spark):
     want = docs.collect()
     assert sorted((r.doc_id, r.text, r.n_ids) for r in got) == sorted((r.doc_id, r.text, r.n_ids) for r in want)
     assert len({r.doc_id for r in got}) == len(got)
+
+
+def test_line_removal_counts_the_words_of_all_documents(spark, folder, monkeypatch):
+    counted = []
+    count = line_dedup.word_counts
+    monkeypatch.setattr(line_dedup, "word_counts", lambda rows, buckets: counted.append(count(rows, buckets)) or counted[-1])
+    docs = docs_of(spark, [(n, f"one two n{n}\nthree", "aa") for n in range(9_000)])
+    lines = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, folder)
+    assert lines.count() == 9_000
+    assert [int(c.sum()) for c in counted] == [4 * 9_000]
