@@ -92,7 +92,7 @@ def _blocks(old: DataFrame | None, added: DataFrame, gone: DataFrame, width: int
     )
     return (
         met.filter(F.size("held") + F.size("new") > F.size("less"))
-        .select(*_BLOCK, F.array_sort(F.concat(left, F.col("new"))).alias("entries"))
+        .select(*_BLOCK, F.sort_array(F.concat(left, F.col("new"))).alias("entries"))
         .select(
             *_BLOCK,
             F.size("entries").cast("bigint").alias("n"),

@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.session import release
+from docquarry.session import exchanges_end
 from docquarry.sources.appended import open_store
 
 _COMMIT = "table string, bucket int, since long"
@@ -100,13 +100,11 @@ class VersionedTables:
             for part in [rows] if isinstance(rows, DataFrame) else rows:
                 bucketed = part.withColumn("bucket", self.layouts[table].bucket())
                 # AQE splits a large bucket over many writers.
-                bucketed.hint("rebalance", "bucket").write.mode(mode).option(
-                    "partitionOverwriteMode", "static"
-                ).option("compression", "zstd").partitionBy("bucket").parquet(place)
+                with exchanges_end(self.spark):
+                    bucketed.hint("rebalance", "bucket").write.mode(mode).option(
+                        "partitionOverwriteMode", "static"
+                    ).option("compression", "zstd").partitionBy("bucket").parquet(place)
                 mode = "append"
-                del part, bucketed
-                if not isinstance(rows, DataFrame):
-                    release(self.spark)
             for bucket in touched:
                 held.pop((table, bucket), None)
             for row in self._filled(place):
